@@ -4,7 +4,7 @@ The weights of a plan are spread over a tree domain - language - source: a sourc
 proportion to their tokens, and inner nodes hold the sum of their children. Budgets flow down the tree; a child that
 can't use its share (its tokens times the allowed repeats) passes the rest to its siblings by weight, and only what a
 whole subtree can't use goes to the subtrees beside it. Each leaf gives whole epochs of its documents and, of one more
-epoch in seeded order, the prefix that fits its budget.
+epoch in seeded order, the prefix nearest to its budget.
 
 The tree has one leaf per plan, source and language and is budgeted on the driver (at most MAX_LEAVES leaves); the
 prefixes come from a histogram over hash buckets, so no leaf is ever sorted as a whole.
@@ -182,7 +182,7 @@ def _select(docs: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
     out = [*leaf, "doc_id", "n_tokens"]
     sure = rows.filter((F.col("bucket") != at)).select(*out, (F.col("full") + (F.col("bucket") < at).cast("bigint")).alias("repeats"))
     upto = F.col("edge.before") + F.sum("n_tokens").over(Window.partitionBy(*leaf).orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    border = rows.filter(F.col("bucket") == at).select(*out, (F.col("full") + (upto <= F.col("rest")).cast("bigint")).alias("repeats"))
+    border = rows.filter(F.col("bucket") == at).select(*out, (F.col("full") + (upto - F.col("n_tokens") / 2 <= F.col("rest")).cast("bigint")).alias("repeats"))
     return sure.unionByName(border).filter(F.col("repeats") > 0).select("plan_id", "source", "doc_id", "n_tokens", F.col("repeats").cast("int").alias("repeats"))
 
 

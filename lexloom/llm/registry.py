@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import canonical, cutoff, knn, mixing, tokenizer
+from lexloom.llm import canonical, cutoff, knn, mixing, spans, tokenizer
 from lexloom.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +48,15 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_collapsed, p5_found, p5_cutoffs, p6_ids, p7_selection, p7_shares)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_spans(table(spark, folder, "documents"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_share(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_collapsed, p5_found, p5_cutoffs, p6_ids, p7_selection, p7_shares, p8_found, p8_shares)}
 
 _VALID_HINTS = """
     SELECT source, record_id, hint FROM (
@@ -63,6 +71,12 @@ _CUTOFFS = f"""
     WHERE n_kept >= target_fraction * n_valid GROUP BY ALL
 """
 ORACLES: dict[str, str] = {
+    "p8_found": """
+        WITH windows AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+        shared AS (SELECT h FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+        hits AS (SELECT doc_id, i, i - 200 > coalesce(lag(i) OVER w, -1000) AS fresh FROM windows SEMI JOIN shared USING (h) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        runs AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits)
+        SELECT doc_id, min(i) AS span_start, max(i) + 200 - min(i) AS span_len FROM runs GROUP BY doc_id, run""",
     "p5_cutoffs": _CUTOFFS,
     "p5_found": f"SELECT r.source, r.record_id FROM ({_VALID_HINTS}) r JOIN ({_CUTOFFS}) c ON r.source = c.source WHERE r.hint >= c.cutoff",
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexloom.llm import canonical, cutoff, knn, mixing, spans, tokenizer
+from lexloom.llm import canonical, cutoff, knn, langid, mixing, spans, tokenizer
 from lexloom.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,18 @@ def p2_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.collapse(canonical.keyed_records(table(spark, folder, "toxic_document")))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.wrong_labels(table(spark, folder, "toxic_document"), table(spark, folder, "lang_samples"))
+
+
+def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.segments(table(spark, folder, "toxic_document"), table(spark, folder, "lang_samples")).select("record_id", "seg_no", "segs", "lang", F.round("confidence", 4).alias("confidence"), "words")
+
+
+def p4_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.document_languages(table(spark, folder, "toxic_document"), table(spark, folder, "lang_samples"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return cutoff.keep_fraction(table(spark, folder, "toxic_document"), table(spark, folder, "keep_targets"))[0]
 
@@ -56,7 +69,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_collapsed, p5_found, p5_cutoffs, p6_ids, p7_selection, p7_shares, p8_found, p8_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_collapsed, p4_found, p4_segments, p4_documents, p5_found, p5_cutoffs, p6_ids, p7_selection, p7_shares, p8_found, p8_shares)}
 
 _VALID_HINTS = """
     SELECT source, record_id, hint FROM (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import canonical, cutoff, knn, langid, mixing, spans, tokenizer
+from lexloom.llm import abuse, canonical, cutoff, knn, langid, mixing, spans, tokenizer
 from lexloom.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,18 @@ def p2_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.collapse(canonical.keyed_records(table(spark, folder, "toxic_document")))
 
 
+def _p3_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, folder, "toxic_document"), table(spark, folder, "review_labels"), table(spark, folder, "unsafe_candidates")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.found(*_p3_tables(spark, folder))
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.rates(*_p3_tables(spark, folder))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return langid.wrong_labels(table(spark, folder, "toxic_document"), table(spark, folder, "lang_samples"))
 
@@ -69,7 +81,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_collapsed, p4_found, p4_segments, p4_documents, p5_found, p5_cutoffs, p6_ids, p7_selection, p7_shares, p8_found, p8_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_collapsed, p3_found, p3_rates, p4_found, p4_segments, p4_documents, p5_found, p5_cutoffs, p6_ids, p7_selection, p7_shares, p8_found, p8_shares)}
 
 _VALID_HINTS = """
     SELECT source, record_id, hint FROM (

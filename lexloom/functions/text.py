@@ -34,7 +34,7 @@ def nfkc_casefold(texts: pd.Series) -> pd.Series:
 def collapse_spaces(text: Column) -> Column:
     """Runs of blanks as one blank, line ends without blanks around, no blanks at the ends; an empty text for null."""
     one = F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\r\f\x0B]+", " ")
-    return F.trim(F.regexp_replace(one, r"[ \n]*\n[ \n]*", "\n"))
+    return F.trim(F.regexp_replace(one, r"[ \n]*\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def normalized(text: Column) -> Column:

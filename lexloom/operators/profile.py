@@ -33,7 +33,7 @@ def by_model(rows: DataFrame) -> DataFrame:
 
 def pivoted(rows: DataFrame, models: list[str]) -> DataFrame:
     """Documents per word, a column for each model; 0 where there are none."""
-    return rows.groupBy("word").pivot("model", models).agg(F.count("*")).fillna(0)
+    return rows.groupBy("word").pivot("model", models).agg(F.count(F.lit(1))).fillna(0)
 
 
 def totals(rows: DataFrame, most: int = 30) -> DataFrame:

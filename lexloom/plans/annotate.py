@@ -14,6 +14,8 @@ from lexloom.streaming import jobs
 from lexloom.tables import table
 
 plans = Plans()
+#: Terms that are matched besides the seeds which found a text.
+TERMS = ["committee", "librarian", "night bus driver", "scumbag", "such name"]
 
 _JSON = """(SELECT *, CASE WHEN json_valid(spans_json) THEN spans_json WHEN json_valid(mended) THEN mended END AS js FROM
     (SELECT *, replace(replace(spans_json, '''''', '"'), '""', '"') AS mended FROM unsafe_candidates))"""
@@ -43,7 +45,7 @@ def _holds(tokens: str, terms: str) -> str:
     return f"len(list_filter({terms}, lambda t: len(t) > 0 AND (contains({joined}, ' ' || array_to_string(t, ' ') || ' ') OR contains({joined}, ' ' || array_to_string(t, ' ') || 's ') OR contains({joined}, ' ' || array_to_string(t, ' ') || '''s ') OR contains({joined}, ' ' || array_to_string(t, ' ') || '’s ')))) > 0"
 
 
-_FORMS = f"(SELECT text, words, {_TERMS} AS terms, {_sentences('text')} AS sents FROM {_BY_TEXT})"
+_FORMS = f"(SELECT text, words, {_TERMS} AS terms, {_sentences('text')} AS sents FROM (SELECT text, words || {TERMS} AS words FROM {_BY_TEXT}))"
 _MATCHED = f"(SELECT * FROM {_FORMS} WHERE len(list_filter(sents, lambda s: {_holds(_words('s'), 'terms')})) > 0)"
 
 
@@ -80,6 +82,10 @@ def _augmented_sentences(t: annotate.TokenTable) -> str:
     return f"SELECT array_to_string(words, '|') AS words, text, token, position, {cols} FROM {whole}"
 
 
+def _with_terms(rows: DataFrame) -> DataFrame:
+    return annotate.by_text(rows).withColumn("words", F.array_union("words", F.array(*[F.lit(t) for t in TERMS])))
+
+
 def _candidates(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "unsafe_candidates")
 
@@ -121,12 +127,12 @@ def stream_screening(spark: SparkSession, folder: str) -> DataFrame:
 
 @plans.query(f"SELECT text, array_to_string(words, '|') AS words, len(sents) AS sentences FROM {_MATCHED}")
 def match_inflected(spark: SparkSession, folder: str) -> DataFrame:
-    rows = annotate.matched(annotate.by_text(annotate.standardised(_candidates(spark, folder))))
+    rows = annotate.matched(_with_terms(annotate.standardised(_candidates(spark, folder))))
     return rows.select("text", F.array_join("words", "|").alias("words"), F.size(text.sentences(F.col("text"))).alias("sentences"))
 
 
 def _sentence_query(spark: SparkSession, folder: str, t: annotate.TokenTable) -> DataFrame:
-    rows = annotate.augment_sentences(annotate.by_text(annotate.standardised(_candidates(spark, folder))), t)
+    rows = annotate.augment_sentences(_with_terms(annotate.standardised(_candidates(spark, folder))), t)
     return rows.withColumn("words", F.array_join("words", "|"))
 
 
@@ -140,7 +146,7 @@ def aug_sentence_unsafe(spark: SparkSession, folder: str) -> DataFrame:
     """Insertion into the texts that the screening found unsafe."""
     unsafe = screen.screened(_candidates(spark, folder)).filter(text.truthy(F.col("is_unsafe")))
     rows = unsafe.select(F.trim("word").alias("word"), "text").filter(F.col("word") != "")
-    return annotate.augment_sentences(annotate.by_text(rows), annotate.SENTENCE_UNSAFE).withColumn("words", F.array_join("words", "|"))
+    return annotate.augment_sentences(_with_terms(rows), annotate.SENTENCE_UNSAFE).withColumn("words", F.array_join("words", "|"))
 
 
 _AUG = ", ".join(f"aug_{p}" for p in annotate.POSITIONS)

@@ -10,10 +10,10 @@ from lexloom.plans.base import Plans
 from lexloom.tables import table
 
 plans = Plans()
-TARGET = 1_000
+TARGET = 500
 
 RECORDS = "(SELECT DISTINCT record_id, text, hint, lower(trim(source)) AS source, lang, thread_id, created_at FROM toxic_document WHERE record_id IS NOT NULL)"
-COLLAPSED = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\r\f\x0B]+', ' ', 'g'), '[ \n]*\n[ \n]*', chr(10), 'g'))"
+COLLAPSED = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\r\f\x0B]+', ' ', 'g'), '[ \n]*\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
 _LANG = "lower(regexp_split_to_array(trim(lang), '[-_]')[1])"
 GATED = f"""(SELECT source, record_id AS ord, {COLLAPSED} AS text, hint FROM {RECORDS}
     WHERE hint IS NOT NULL AND NOT isnan(hint) AND hint >= 0.5 AND source IS NOT NULL

@@ -26,7 +26,8 @@ def screened_by_stream(spark: SparkSession, source: str) -> DataFrame:
     """The result of :func:`screen_stream` into a fresh place in the shared folder."""
     at = f"{shared_dir(spark)}/lexloom/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(source).schema
-    screen_stream(spark, source, schema, f"{at}/out", f"{at}/checkpoint")
+    pattern = f"{source[:-1]}[{source[-1]}]"  # a pattern may also name a single file, which a plain path to watch may not
+    screen_stream(spark, pattern, schema, f"{at}/out", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out")
 
 

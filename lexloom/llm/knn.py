@@ -234,7 +234,8 @@ def best_in_lists(x: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray]], k
     q, o, s = q[other], o[other], s[other]
     order = np.lexsort((o, -s, q))
     q, o, s = q[order], o[order], s[order]
-    fresh = np.r_[True, (q[1:] != q[:-1]) | (o[1:] != o[:-1])]  # a replica has the same similarity up to rounding
+    fresh = np.ones(len(q), bool)  # a replica has the same similarity up to rounding
+    fresh[1:] = (q[1:] != q[:-1]) | (o[1:] != o[:-1])
     q, o, s = q[fresh], o[fresh], s[fresh]
     if len(q):
         starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
@@ -344,7 +345,8 @@ def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     o, s = lists.flatten().to_numpy(), table["sims"].combine_chunks().flatten().to_numpy()
     order = np.lexsort((-s, o, q))
     q, o, s = q[order], o[order], s[order]
-    fresh = np.r_[True, (q[1:] != q[:-1]) | (o[1:] != o[:-1])]
+    fresh = np.ones(len(q), bool)
+    fresh[1:] = (q[1:] != q[:-1]) | (o[1:] != o[:-1])
     q, o, s = q[fresh], o[fresh], s[fresh]
     order = np.lexsort((o, -s, q))
     q, o, s = q[order], o[order], s[order]

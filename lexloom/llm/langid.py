@@ -342,7 +342,7 @@ def fit_model(samples: DataFrame, records: DataFrame | None = None) -> LanguageM
     """The model of a table of (sample_id, lang, text), of at most MAX_SAMPLES rows.
 
     If labelled ``records`` (record_id, lang, text) are given, the first model reads MORE_PER_LANGUAGE of them for each
-    language, and those whose label it confirms take part in a second fit, for a wider vocabulary.
+    language, of 40 to 5,000 characters, and those whose label it confirms take part in a second fit, for a wider vocabulary.
     """
     rows = samples.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("sample_id", F.lower("lang").alias("lang"), "text")
     sure = [(r.lang, r.text) for r in rows.orderBy("sample_id", "lang", "text").limit(MAX_SAMPLES).collect()]
@@ -350,7 +350,7 @@ def fit_model(samples: DataFrame, records: DataFrame | None = None) -> LanguageM
     if records is None or not model.languages:
         return model
     label = F.lower(F.element_at(F.split(F.trim("lang"), "[-_]"), 1))
-    labelled = records.select("record_id", label.alias("label"), F.left("text", F.lit(2000)).alias("text")).filter(F.col("label").isin(model.languages) & (F.length("text") >= 40))
+    labelled = records.select("record_id", label.alias("label"), "text").filter(F.col("record_id").isNotNull() & F.col("label").isin(model.languages) & F.length("text").between(40, 5_000))
     by = Window.partitionBy("label").orderBy(F.xxhash64("record_id"), "text")
     picked = sorted(labelled.withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= MORE_PER_LANGUAGE).select("label", "record_id", "text").collect())
     found = Segmenter(model).segments([r.text for r in picked])

@@ -35,10 +35,10 @@ MAX_SAMPLE = 100_000
 COPY_RATIO, MAX_COPIES = 1.06, 2
 PROBE_RATIO, MAX_PROBES = 1.15, 5
 #: Graph neighbours of a centroid, and the hubs from which each search starts.
-DEGREE = 12
-ENTRIES = 4
+DEGREE = 24
+ENTRIES = 12
 #: Nearest nodes of a query that must be expanded before its search ends.
-BEAM = 4
+BEAM = 6
 #: Lists per partition, at least; and the most partitions.
 MIN_LISTS_PER_PART = 8
 

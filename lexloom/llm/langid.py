@@ -31,7 +31,7 @@ MORE_PER_LANGUAGE = 300
 DIMENSIONS = 1 << 15
 LONGEST_GRAM = 4
 #: Cost of a change of language between two words, inside a clause and at its boundary, and the least words of a segment.
-INSIDE_COST, BOUNDARY_COST, LEAST_WORDS = 9.0, 3.0, 3
+INSIDE_COST, BOUNDARY_COST, LEAST_WORDS = 9.0, 5.0, 3
 #: Weights of words that the fitted sentences don't have, of those that look like names,
 #: and of single letters.
 UNSEEN, NAMELIKE, SINGLE = 0.7, 0.2, 0.25

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.sampling import even_stride
 from lexloom.functions.text import words
+from lexloom.operators.ranks import numbered
 
 #: Terms of all queries together, at most; their table is broadcast.
 MAX_TERMS = 100_000
@@ -73,8 +74,7 @@ def harvest(documents: DataFrame, queries: list[str], per_query: int, shards: in
     queries the first query by name stands.
     """
     hits = matching(documents, queries).select("query", "doc_id", F.pmod("doc_id", F.lit(shards)).alias("shard"))
-    place = F.row_number().over(Window.partitionBy("query", "shard").orderBy("doc_id")) - 1
-    hits = hits.withColumn("rank", place.cast("bigint"))
+    hits = numbered(hits, ["query", "shard"], "doc_id")
     sizes = hits.groupBy("query", "shard").agg(F.count("*").alias("n"))
     wanted = sizes.select("query", "shard", F.explode(even_stride(F.lit(0).cast("bigint"), F.col("n"), max(1, per_query // shards))).alias("rank"))
     chosen = first_per_document(hits.join(wanted, ["query", "shard", "rank"]))

@@ -207,3 +207,14 @@ def test_files(spark):
     with pytest.raises(Exception):
         files.read_jsonl(spark, at + "/j", "id bigint", strict=True).collect()
     assert math.isclose(files.read_lines(spark, at + "/j", 1).count(), 1)
+
+
+def test_numbers_in_groups_across_ranges(spark, monkeypatch):
+    from lexloom.operators import ranks
+
+    monkeypatch.setattr(ranks, "ROWS_PER_RANGE", 30)
+    df = spark.range(400).select((F.col("id") * 7919 % 401).alias("o"), F.when(F.col("id") % 10 == 0, "small").otherwise("hot").alias("g"))
+    rows = ranks.numbered(df, ["g"], "o").collect()
+    for g in ("hot", "small"):
+        own = sorted((r.o, r["rank"]) for r in rows if r.g == g)
+        assert [n for _, n in own] == list(range(len(own)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from lexloom.plans import quotas
 from lexloom.plans.base import Plans
 from lexloom.plans.annotate import _DOC_WORDS
 from lexloom.sources import files
-from lexloom.storage import shared_dir
+from lexloom.storage import fresh_path
 from lexloom.tables import table
 
 plans = Plans()
@@ -21,7 +19,7 @@ _DOCS = "SELECT doc_id, text, source FROM documents WHERE text IS NOT NULL"
 
 
 def _place(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/lexloom/files-{uuid.uuid4().hex}"
+    return fresh_path(spark, "files")
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +72,7 @@ def io_document_tree(spark: SparkSession, folder: str) -> DataFrame:
                     f.write(text)
             yield batch[["doc_id"]]
 
-    if at.startswith("file:"):
+    if at.startswith("file:") or at.startswith("/") and spark.sparkContext.master.startswith("local["):
         rows.mapInPandas(write, "doc_id bigint").count()
         tree = files.read_documents(spark, at)
     else:  # a folder that executors can't open as files

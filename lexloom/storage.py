@@ -27,6 +27,13 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what is written there goes away when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
+    _delete_on_exit(spark, path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
@@ -34,7 +41,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     The files go away when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

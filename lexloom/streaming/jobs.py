@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators.screen import screened
 from lexloom.sources.files import append_new
-from lexloom.storage import shared_dir
+from lexloom.storage import fresh_path
 
 
 def screen_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str) -> None:
@@ -24,7 +22,7 @@ def screen_stream(spark: SparkSession, source: str, schema, target: str, checkpo
 
 def screened_by_stream(spark: SparkSession, source: str) -> DataFrame:
     """The result of :func:`screen_stream` into a fresh place in the shared folder."""
-    at = f"{shared_dir(spark)}/lexloom/stream-{uuid.uuid4().hex}"
+    at = fresh_path(spark, "stream")
     schema = spark.read.parquet(source).schema
     pattern = f"{source[:-1]}[{source[-1]}]"  # a pattern may also name a single file, which a plain path to watch may not
     screen_stream(spark, pattern, schema, f"{at}/out", f"{at}/checkpoint")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import annotate, genplan, index, phono, projections, quota, screen, similarity, vocab
 from lexloom.sources import files
-from lexloom.storage import shared_dir
+from lexloom.storage import fresh_path
 
 
 def caps(spark, counts, total):
@@ -189,7 +189,7 @@ def test_syllables(spark):
 
 
 def test_files(spark):
-    at = f"{shared_dir(spark)}/t-files"
+    at = fresh_path(spark, "t-files")
     rows = spark.createDataFrame([(1, 'a "quoted"\nline', "x"), (2, "b", "y")], "id bigint, text string, k string")
     files.append_new(rows.filter("id = 1"), at + "/a", "id")
     files.append_new(rows, at + "/a", "id")

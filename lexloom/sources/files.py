@@ -19,8 +19,12 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, root: str, depth: int = 2) -> DataFrame:
-    """(model, word, name, text) of one file per document under ``root``/model/word."""
-    rows = spark.read.text(root + "/*" * depth + "/*.txt", wholetext=True)
+    """(model, word, name, text) of one file per document under ``root``/model/word; no rows if there is no file."""
+    pattern = root + "/*" * depth + "/*.txt"
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+        return spark.createDataFrame([], "model string, word string, name string, text string")
+    rows = spark.read.text(pattern, wholetext=True)
     parts = F.split(F.col("_metadata.file_path"), "/")
     return rows.select(F.element_at(parts, -3).alias("model"), F.element_at(parts, -2).alias("word"), F.element_at(parts, -1).alias("name"), F.col("value").alias("text"))
 

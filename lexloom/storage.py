@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -21,10 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_made: dict[str, SparkSession] = {}
+
+
 def _delete_on_exit(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if not _made:
+        atexit.register(_delete_made)
+    _made[path] = spark
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # also if Python ends before
+
+
+def _delete_made() -> None:
+    for path, spark in _made.items():
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the JVM is gone and has deleted them, or can't
+            return
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -30,10 +30,10 @@ MAX_LISTS = 65_536
 #: Sample for the centroids: so many per list, and at most MAX_SAMPLE.
 SAMPLE_PER_LIST = 32
 MAX_SAMPLE = 100_000
-#: A vector is stored in lists up to this distance ratio of the nearest, at most MAX_COPIES; it visits lists up to
-#: PROBE_RATIO, at most MAX_PROBES.
+#: A vector is stored in lists up to this distance ratio of the nearest, at most MAX_COPIES; it visits all lists up to
+#: PROBE_RATIO. PROBES are looked for at first, and all centroids are measured where the last of them is that near too.
 COPY_RATIO, MAX_COPIES = 1.06, 2
-PROBE_RATIO, MAX_PROBES = 1.15, 5
+PROBE_RATIO, PROBES = 1.15, (8, 32)
 #: Graph neighbours of a centroid, and the hubs from which each search starts.
 DEGREE = 24
 ENTRIES = 12
@@ -41,6 +41,10 @@ ENTRIES = 12
 BEAM = 6
 #: Lists per partition, at least; and the most partitions.
 MIN_LISTS_PER_PART = 8
+#: A partition that more vectors visit is split by visitor; so many sampled vectors tell which.
+VISITORS_PER_TASK, ROUTED_SAMPLE = 100_000, 4_000
+#: Queries whose neighbours are held at once while lists are compared.
+QUERIES_AT_ONCE = 16_384
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -133,14 +137,14 @@ class CentroidGraph:
         edges = np.unique(np.concatenate([np.stack([tails, heads]), np.stack([heads, tails])], 1), axis=1) if n else np.empty((2, 0), np.int32)
         return cls(centroids, np.split(edges[1], np.searchsorted(edges[0], np.arange(1, n))), hubs)
 
-    def search(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Per row the k nearest centroids found and their distances, nearest first (-1 and inf where there are fewer).
 
         A beam search of many queries at once: the queries that expand the same node are compared with its neighbours
-        by one matrix product. Each enters by its nearest hubs and ends when its nearest BEAM nodes are all expanded.
+        by one matrix product. Each enters by its nearest hubs and ends when its nearest ``beam`` nodes are all expanded.
         """
         c, half = self.centroids, 0.5 * (self.centroids * self.centroids).sum(1)
-        width = max(k, BEAM)
+        width = max(k, beam)
         ids = np.full((len(x), width), -1, np.int32)
         dist = np.full((len(x), width), np.inf, np.float32)
         done = np.ones((len(x), width), bool)
@@ -149,16 +153,16 @@ class CentroidGraph:
         entries = min(ENTRIES, len(self.hubs))
         starts = self.hubs[np.argpartition(-to_hubs, entries - 1, 1)[:, :entries]] if entries < len(self.hubs) else np.tile(self.hubs, (len(x), 1))
         live = np.arange(len(x))
-        for turn in range(entries + 4 * BEAM):
+        for turn in range(entries + 4 * beam):
             if turn < entries:
                 nodes = starts[:, turn]
                 done |= ids == nodes[:, None]
             else:
-                waiting = ~done[live, :BEAM]
+                waiting = ~done[live, :beam]
                 live = live[waiting.any(1)]
                 if not len(live):
                     break
-                rank = (~done[live, :BEAM]).argmax(1)
+                rank = (~done[live, :beam]).argmax(1)
                 nodes = ids[live, rank]
                 done[live, rank] = True
             for node, at in _groups(np.arange(len(live)), nodes):
@@ -192,27 +196,56 @@ def _groups(rows: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarra
 
 @dataclass
 class Index:
-    """What the executors need: the graph and the first list of each partition."""
+    """What the executors need: the graph, the partition of each list, and into how many tasks each partition is split."""
 
     graph: CentroidGraph
     part_of: np.ndarray
-    parts: int
+    splits: np.ndarray
 
 
 def route(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For unit vectors: (row, list, stored, visited) of each list that a vector has to do with."""
-    ids, dist = index.graph.search(x, MAX_PROBES)
-    first = np.maximum(dist[:, :1], 1e-6)
-    rank = np.arange(ids.shape[1])
-    stored = (dist <= COPY_RATIO * first) & (rank < MAX_COPIES)
-    visited = (dist <= PROBE_RATIO * first) & (ids >= 0)
-    stored[:, 0] = visited[:, 0] = True
-    row, at = np.nonzero(visited | stored)
-    return row, ids[row, at], stored[row, at], visited[row, at]
+    graph, out, left = index.graph, [], np.arange(len(x))
+    n = len(graph.centroids)
+    for probes in (*PROBES, n):
+        if not len(left):
+            break
+        exact = probes >= n
+        step = max(1, 4_000_000 // n) if exact else len(left)
+        wide = []
+        for at in range(0, len(left), step):
+            rows = left[at : at + step]
+            if exact:  # as many as the ratio lets in
+                far = np.sqrt(np.maximum((x[rows] ** 2).sum(1)[:, None] - 2 * (x[rows] @ graph.centroids.T - 0.5 * (graph.centroids**2).sum(1)), 0))
+                most = int((far <= PROBE_RATIO * np.maximum(far.min(1, keepdims=True), 1e-6)).sum(1).max())
+                most = min(n, max(most, MAX_COPIES))
+                ids = np.argpartition(far, most - 1, 1)[:, :most] if most < n else np.tile(np.arange(n), (len(rows), 1))
+                ids = np.take_along_axis(ids, np.argsort(np.take_along_axis(far, ids, 1), 1, kind="stable"), 1)
+                dist = np.take_along_axis(far, ids, 1)
+            else:
+                ids, dist = graph.search(x[rows], probes, max(BEAM, probes // 2))
+            first = np.maximum(dist[:, :1], 1e-6)
+            stored = (dist <= COPY_RATIO * first) & (np.arange(ids.shape[1]) < MAX_COPIES)
+            visited = (dist <= PROBE_RATIO * first) & (ids >= 0)
+            stored[:, 0] = visited[:, 0] = True
+            more = visited[:, -1] & (not exact)
+            wide.append(rows[more])
+            row, place = np.nonzero((visited | stored) & ~more[:, None])
+            out.append((rows[row], ids[row, place], stored[row, place], visited[row, place]))
+        left = np.concatenate(wide)
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def best_in_lists(x: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, other, similarity): for each list (stored rows, visiting rows) the k + 1 best of each visitor, then the k best per query."""
+    """(query, other, similarity): for each list (stored rows, visiting rows in order) the k + 1 best of each visitor, then the k best per query."""
+    found = []
+    for low in range(0, len(x), QUERIES_AT_ONCE):
+        some = [(stored, visiting[np.searchsorted(visiting, low) : np.searchsorted(visiting, low + QUERIES_AT_ONCE)]) for stored, visiting in entries]
+        found.append(_best_of_some(x, some, k))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else _best_of_some(x, [], k)
+
+
+def _best_of_some(x: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     qs, os_, ss = [], [], []
     for stored, visiting in entries:
         if not len(stored) or not len(visiting):
@@ -302,23 +335,40 @@ def build_index(units: DataFrame, size: int, list_size: int = LIST_SIZE) -> Inde
     graph = CentroidGraph.build(fit_centroids(_matrix(picked["vec"], size), lists))
     n = len(graph.centroids)
     parts = max(1, min(n // MIN_LISTS_PER_PART, 24 + n // 64))
-    return Index(graph, (np.arange(n) * parts // n).astype(np.int32), parts)
+    index = Index(graph, (np.arange(n) * parts // n).astype(np.int32), np.ones(parts, np.int64))
+    some = _matrix(picked["vec"].slice(0, ROUTED_SAMPLE), size)
+    row, lists, _, visited = route(index, some)
+    pairs = np.unique(row[visited] * parts + index.part_of[lists[visited]])
+    visitors = np.bincount(pairs % parts, minlength=parts) * (total / len(some))
+    return Index(graph, index.part_of, np.maximum(1, np.ceil(visitors / VISITORS_PER_TASK)).astype(np.int64))
 
 
 def _routed(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa.RecordBatch]:
     index = shared.value
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        row, lists, stored, visited = route(index, _matrix(batch.column("vec"), size))
-        part = index.part_of[lists]
-        order = np.lexsort((lists, part, row))
-        row, lists, part = row[order], lists[order], part[order]
-        code = (lists.astype(np.int32) << 2) | (stored[order].astype(np.int32) << 1) | visited[order]
-        starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
-        at = pa.array(row[starts])
-        offsets = pa.array(np.r_[starts, len(row)].astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(part[starts]), batch.column("id").take(at), batch.column("vec").take(at), pa.ListArray.from_arrays(offsets, pa.array(code))], ["part", "id", "vec", "lists"])
+    start = np.r_[0, np.cumsum(index.splits)[:-1]]
+    for whole in batches:
+        done = 0
+        while done < whole.num_rows:  # fewer rows at once where each may visit many lists
+            batch = whole.slice(done, max(256, 8_000_000 // len(index.part_of)))
+            done += batch.num_rows
+            row, lists, stored, visited = route(index, _matrix(batch.column("vec"), size))
+            code = (lists.astype(np.int32) << 2) | (stored.astype(np.int32) << 1) | visited
+            part = index.part_of[lists]
+            splits = index.splits[part]
+            own = (batch.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)[row] % splits
+            # a visitor goes to one task of a split partition, what is stored to all of them
+            copies = np.where(stored, splits, 1)
+            at = np.repeat(np.arange(len(row)), copies)
+            turn = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+            turn = (own[at] + turn) % splits[at]
+            code = np.where(turn == own[at], code[at], code[at] & ~1)
+            row, part = row[at], (start[part[at]] + turn).astype(np.int32)
+            order = np.lexsort((code, part, row))
+            row, part, code = row[order], part[order], code[order].astype(np.int32)
+            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
+            at = pa.array(row[starts])
+            offsets = pa.array(np.r_[starts, len(row)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), batch.column("id").take(at), batch.column("vec").take(at), pa.ListArray.from_arrays(offsets, pa.array(code))], ["part", "id", "vec", "lists"])
 
 
 def _searched(table: pa.Table, size: int, k: int) -> pa.Table:

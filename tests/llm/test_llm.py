@@ -36,6 +36,21 @@ def test_neighbours_have_recall(spark):
     assert np.mean([len(got[i] & set(true[i].tolist())) / 10 for i in range(4000)]) > 0.95
 
 
+def test_tight_cluster_keeps_its_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(knn, "VISITORS_PER_TASK", 700, raising=False)  # so that partitions are split too
+    rng = np.random.default_rng(5)
+    tight = rng.normal(size=64) + 0.3 * rng.normal(size=(2000, 64))
+    x = np.concatenate([tight, rng.normal(size=(4000, 64))])
+    got = defaultdict(set)
+    for r in knn.nearest_neighbours(vectors(spark, enumerate(x)), size=64, k=10, list_size=50).collect():
+        got[r.id].add(r.other)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit[:2000] @ unit.T
+    sims[np.arange(2000), np.arange(2000)] = -2
+    true = np.argpartition(-sims, 10, 1)[:, :10]
+    assert np.mean([len(got[i] & set(true[i].tolist())) / 10 for i in range(2000)]) > 0.8
+
+
 def test_invalid_vectors_and_hot_copies(spark, monkeypatch):
     monkeypatch.setattr(knn, "HOT_ROWS", 20)
     rng = np.random.default_rng(2)

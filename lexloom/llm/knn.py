@@ -5,9 +5,9 @@
 2. A graph over the centroids (nearest neighbours, entered through hubs) is searched in memory for each vector. The
    vector is stored in its nearest list and replicated to others whose centroid is almost as near (boundary vectors);
    as a query it visits the lists within a distance ratio of the nearest.
-3. One shuffle sends a vector once to every partition that holds one of its lists, with half-precision numbers. Each
-   list is compared with its queries by a matrix product, and the best of a query in a partition go to a last
-   aggregation by query.
+3. One shuffle sends a vector once to every partition that holds one of its lists, with float32 numbers. Each
+   list is compared with its queries by a matrix product around its mean; what rounding can't tell from the best is
+   measured in double precision, and the best of a query in a partition go to a last aggregation by query.
 
 Every valid vector is indexed and is a query. Recall is measured in the tests and stated in the README.
 """
@@ -34,6 +34,8 @@ MAX_SAMPLE = 100_000
 #: PROBE_RATIO. PROBES are looked for at first, and all centroids are measured where the last of them is that near too.
 COPY_RATIO, MAX_COPIES = 1.06, 2
 PROBE_RATIO, PROBES = 1.15, (8, 32)
+#: A query goes on, whatever the ratio, until its lists hold about so many vectors for each neighbour that is wanted.
+LEAST_MET = 5
 #: Graph neighbours of a centroid, and the hubs from which each search starts.
 DEGREE = 24
 ENTRIES = 12
@@ -196,11 +198,13 @@ def _groups(rows: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarra
 
 @dataclass
 class Index:
-    """What the executors need: the graph, the partition of each list, and into how many tasks each partition is split."""
+    """What the executors need: the graph, the partition of each list, into how many tasks each partition is split, about how many vectors each list holds, and how many a query should meet at least."""
 
     graph: CentroidGraph
     part_of: np.ndarray
     splits: np.ndarray
+    held: np.ndarray
+    need: int
 
 
 def route(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -218,7 +222,7 @@ def route(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
             if exact:  # as many as the ratio lets in
                 far = np.sqrt(np.maximum((x[rows] ** 2).sum(1)[:, None] - 2 * (x[rows] @ graph.centroids.T - 0.5 * (graph.centroids**2).sum(1)), 0))
                 most = int((far <= PROBE_RATIO * np.maximum(far.min(1, keepdims=True), 1e-6)).sum(1).max())
-                most = min(n, max(most, MAX_COPIES))
+                most = min(n, max(most, MAX_COPIES, PROBES[-1]))
                 ids = np.argpartition(far, most - 1, 1)[:, :most] if most < n else np.tile(np.arange(n), (len(rows), 1))
                 ids = np.take_along_axis(ids, np.argsort(np.take_along_axis(far, ids, 1), 1, kind="stable"), 1)
                 dist = np.take_along_axis(far, ids, 1)
@@ -226,7 +230,8 @@ def route(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
                 ids, dist = graph.search(x[rows], probes, max(BEAM, probes // 2))
             first = np.maximum(dist[:, :1], 1e-6)
             stored = (dist <= COPY_RATIO * first) & (np.arange(ids.shape[1]) < MAX_COPIES)
-            visited = (dist <= PROBE_RATIO * first) & (ids >= 0)
+            held = index.held[ids]
+            visited = ((dist <= PROBE_RATIO * first) | (np.cumsum(held, 1) - held < index.need)) & (ids >= 0)
             stored[:, 0] = visited[:, 0] = True
             more = visited[:, -1] & (not exact)
             wide.append(rows[more])
@@ -236,6 +241,21 @@ def route(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+#: Bound of the error of a float32 product of two vectors, relative to their lengths.
+ROUNDING = 4e-6
+
+
+def _cosines(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of rows, as right for near vectors as their float32 numbers allow; 1 for equal ones."""
+    out = np.empty(len(a))
+    for at in range(0, len(a), 65_536):
+        u, v = x[a[at : at + 65_536]].astype(np.float64), x[b[at : at + 65_536]].astype(np.float64)
+        n, m = np.sqrt((u * u).sum(1)), np.sqrt((v * v).sum(1))
+        u -= v
+        out[at : at + 65_536] = 1 - ((u * u).sum(1) - (n - m) ** 2) / (2 * n * m)
+    return out
+
+
 def best_in_lists(x: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, other, similarity): for each list (stored rows, visiting rows in order) the k + 1 best of each visitor, then the k best per query."""
     found = []
@@ -252,22 +272,29 @@ def _best_of_some(x: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray]], k
             continue
         m = min(k + 1, len(stored))
         block = max(1, 4_000_000 // len(stored))
-        base = x[stored].T.copy()
+        middle = x[stored].mean(0)
+        base = x[stored] - middle
+        half = 0.5 * (base * base).sum(1)
+        longest = np.sqrt(2 * half.max())
+        base = base.T.copy()
         for at in range(0, len(visiting), block):
             q = visiting[at : at + block]
-            sim = x[q] @ base
-            best = np.argpartition(sim, len(stored) - m, 1)[:, len(stored) - m :] if m < len(stored) else np.tile(np.arange(m), (len(q), 1))
-            qs.append(np.repeat(q, m))
-            os_.append(stored[best].ravel())
-            ss.append(np.take_along_axis(sim, best, 1).ravel())
+            y = x[q] - middle
+            near = y @ base - half
+            least = np.partition(near, len(stored) - m, 1)[:, len(stored) - m]
+            least -= ROUNDING * longest * (np.sqrt((y * y).sum(1)) + longest)
+            row, col = np.nonzero(near >= least[:, None])
+            qs.append(q[row])
+            os_.append(stored[col])
+            ss.append(_cosines(x, q[row], stored[col]))
     if not qs:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     q, o, s = np.concatenate(qs), np.concatenate(os_), np.concatenate(ss)
     other = q != o
     q, o, s = q[other], o[other], s[other]
     order = np.lexsort((o, -s, q))
     q, o, s = q[order], o[order], s[order]
-    fresh = np.ones(len(q), bool)  # a replica has the same similarity up to rounding
+    fresh = np.ones(len(q), bool)  # a replica has the same similarity
     fresh[1:] = (q[1:] != q[:-1]) | (o[1:] != o[:-1])
     q, o, s = q[fresh], o[fresh], s[fresh]
     if len(q):
@@ -294,15 +321,15 @@ def _unit(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
         norm = np.sqrt((x * x).sum(1))
         good = np.isfinite(norm) & (norm > 0)
-        half = (x[good] / norm[good, None]).astype(np.float16)
-        raw = [row.tobytes() for row in half]
+        unit = (x[good] / norm[good, None]).astype(np.float32) + np.float32(0)  # no -0.0
+        raw = [row.tobytes() for row in unit]
         keys = batch.column(0).take(pa.array(right[good]))
         directions = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([keys, pa.array(directions), pa.array(raw, pa.binary())], ["id", "direction", "vec"])
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """(id, direction, vec) of each valid row as a staged table: half-precision unit vectors and a hash of them.
+    """(id, direction, vec) of each valid row as a staged table: float32 unit vectors and a hash of them.
 
     Rows are left out whose key or vector is null, whose vector has another size, a null, NaN or infinite number, or is
     all zeros. A key that comes twice keeps the vector with the greatest bytes.
@@ -318,10 +345,10 @@ def unit_vectors(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
 
 def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
     parts = column.to_pylist()
-    return np.frombuffer(b"".join(parts), np.float16).reshape(len(parts), size).astype(np.float32)
+    return np.frombuffer(b"".join(parts), np.float32).reshape(len(parts), size)
 
 
-def build_index(units: DataFrame, size: int, list_size: int = LIST_SIZE) -> Index | None:
+def build_index(units: DataFrame, size: int, list_size: int = LIST_SIZE, k: int = 10) -> Index | None:
     """The index over staged unit vectors, fitted on a sample by key hash; None if there are no vectors."""
     total = units.count()
     if not total:
@@ -332,15 +359,19 @@ def build_index(units: DataFrame, size: int, list_size: int = LIST_SIZE) -> Inde
     picked = units.filter(F.pmod(F.xxhash64("id"), F.lit(2**20)) < threshold).select("id", "vec").limit(MAX_SAMPLE).toArrow().sort_by("id")
     if not picked.num_rows:
         picked = units.select("id", "vec").orderBy("id").limit(1).toArrow()
-    graph = CentroidGraph.build(fit_centroids(_matrix(picked["vec"], size), lists))
+    sample = _matrix(picked["vec"], size)
+    graph = CentroidGraph.build(fit_centroids(sample, lists))
     n = len(graph.centroids)
     parts = max(1, min(n // MIN_LISTS_PER_PART, 24 + n // 64))
-    index = Index(graph, (np.arange(n) * parts // n).astype(np.int32), np.ones(parts, np.int64))
-    some = _matrix(picked["vec"].slice(0, ROUTED_SAMPLE), size)
+    own = np.concatenate([_nearest(sample[at : at + 8192], graph.centroids) for at in range(0, len(sample), 8192)])
+    held = np.bincount(own, minlength=n) * (total / len(sample))
+    index = Index(graph, (np.arange(n) * parts // n).astype(np.int32), np.ones(parts, np.int64), held, LEAST_MET * k)
+    some = sample[:ROUTED_SAMPLE]
     row, lists, _, visited = route(index, some)
     pairs = np.unique(row[visited] * parts + index.part_of[lists[visited]])
     visitors = np.bincount(pairs % parts, minlength=parts) * (total / len(some))
-    return Index(graph, index.part_of, np.maximum(1, np.ceil(visitors / VISITORS_PER_TASK)).astype(np.int64))
+    index.splits = np.maximum(1, np.ceil(visitors / VISITORS_PER_TASK)).astype(np.int64)
+    return index
 
 
 def _routed(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa.RecordBatch]:
@@ -381,7 +412,7 @@ def _searched(table: pa.Table, size: int, k: int) -> pa.Table:
     q, o, s = best_in_lists(x, [(row[a], row[b]) for a, b in entries], k)
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
     offsets = pa.array(np.r_[starts, len(q)].astype(np.int32))
-    found = [pa.array(keys[q[starts]]), pa.ListArray.from_arrays(offsets, pa.array(keys[o])), pa.ListArray.from_arrays(offsets, pa.array(s.astype(np.float32)))]
+    found = [pa.array(keys[q[starts]]), pa.ListArray.from_arrays(offsets, pa.array(keys[o])), pa.ListArray.from_arrays(offsets, pa.array(s))]
     return pa.Table.from_arrays(found, ["id", "others", "sims"])
 
 
@@ -403,7 +434,7 @@ def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
     rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)])) + 1
     keep = rank <= k
-    for b in pa.Table.from_arrays([pa.array(q[keep]), pa.array(o[keep]), pa.array(s[keep].astype(np.float64)), pa.array(rank[keep].astype(np.int32))], ["id", "other", "similarity", "rank"]).to_batches(50_000):
+    for b in pa.Table.from_arrays([pa.array(q[keep]), pa.array(o[keep]), pa.array(s[keep]), pa.array(rank[keep].astype(np.int32))], ["id", "other", "similarity", "rank"]).to_batches(50_000):
         yield b
 
 
@@ -411,7 +442,7 @@ def nearest_neighbours(df: DataFrame, key: str = "row_ix", vector: str = "matrix
     """(id, other, similarity, rank): for each valid row its ``k`` most similar other valid rows by cosine.
 
     Equal similarities rank by key. Fewer rows come out only where the visited lists hold fewer others. Similarities are
-    those of the half-precision unit vectors. An empty table, or one without a valid row, gives an empty result.
+    those of the float32 unit vectors, in double precision. An empty table, or one without a valid row, gives an empty result.
     """
     spark = df.sparkSession
     units = unit_vectors(df, key, vector, size)
@@ -430,12 +461,12 @@ def nearest_neighbours(df: DataFrame, key: str = "row_ix", vector: str = "matrix
         copies = rest.select("id", F.posexplode("first").alias("at", "other")).select("id", "other", F.lit(1.0).alias("similarity"), (F.col("at") + 1).cast("int").alias("rank"))
         units = staged(tagged.filter(F.col("first").isNull() | F.array_contains("first", F.col("id"))).select("id", "direction", "vec"), "unit-vectors")
     schema = "id bigint, other bigint, similarity double, rank int"
-    index = build_index(units, size, list_size)
+    index = build_index(units, size, list_size, k)
     if index is None:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(index)
     routed = units.select("id", "vec").mapInArrow(lambda it: _routed(it, shared, size), "part int, id bigint, vec binary, lists array<int>")
-    found = routed.groupBy("part").applyInArrow(lambda t: _searched(t, size, k), "id bigint, others array<bigint>, sims array<float>")
+    found = routed.groupBy("part").applyInArrow(lambda t: _searched(t, size, k), "id bigint, others array<bigint>, sims array<double>")
     tasks = max(1, -(-total * k * 3 // ROWS_PER_TASK))
     best = found.repartition(tasks, "id").mapInArrow(lambda it: _best(it, k), schema)
     return best if copies is None else best.unionByName(copies)

@@ -51,6 +51,21 @@ def test_tight_cluster_keeps_its_neighbours(spark, monkeypatch):
     assert np.mean([len(got[i] & set(true[i].tolist())) / 10 for i in range(2000)]) > 0.8
 
 
+def test_near_vectors_rank_by_float32(spark, monkeypatch):
+    monkeypatch.setattr(knn, "HOT_ROWS", 20)
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=64) + 1e-4 * rng.normal(size=(400, 64))).astype(np.float32)  # alike in half precision
+    got = defaultdict(list)
+    for r in knn.nearest_neighbours(vectors(spark, enumerate(x)), size=64, k=10).orderBy("id", "rank").collect():
+        got[r.id].append(r.other)
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    far = ((unit[:, None] - unit[None]) ** 2).sum(2)
+    np.fill_diagonal(far, 9)
+    true = np.argsort(far, 1)[:, :10]
+    assert np.mean([len({*got[i]} & {*true[i].tolist()}) / 10 for i in range(400)]) > 0.99
+
+
 def test_invalid_vectors_and_hot_copies(spark, monkeypatch):
     monkeypatch.setattr(knn, "HOT_ROWS", 20)
     rng = np.random.default_rng(2)

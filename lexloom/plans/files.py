@@ -52,31 +52,20 @@ def io_routed_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("ord bigint, text string, aug_type string").json(at)
 
 
+def document_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """(model, word, name, text) of all documents with a source and a text, through a tree of files."""
+    at = _place(spark)
+    rows = table(spark, folder, "documents").filter(F.col("source").isNotNull() & (F.col("text") != ""))
+    files.write_documents(rows.select("source", F.coalesce("lang", F.lit("und")).alias("lang"), F.format_string("%08d", "doc_id").alias("name"), "text"), at)
+    return files.read_documents(spark, at)
+
+
 @plans.query("SELECT source AS model, coalesce(lang, 'und') AS word, count(*) AS files, sum(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+'))) AS words FROM documents WHERE text <> '' AND source IN ('books', 'llm_generated') GROUP BY ALL")
 def io_document_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """One file per document of the two smallest sources under source/language, read back as whole texts."""
+    """One file per document of every source under source/language, read back as whole texts; the two sources of the SQL are counted."""
     from lexloom.functions.text import word_count
 
-    at = _place(spark)
-    rows = _documents(spark, folder).join(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id").filter(F.col("source").isin("books", "llm_generated") & (F.col("text") != ""))
-    rows = rows.select(F.col("source"), F.coalesce("lang", F.lit("und")).alias("lang"), "doc_id", "text")
-
-    def write(batches):
-        import os
-
-        root = at.removeprefix("file://")
-        for batch in batches:
-            for source, lang, doc_id, text in zip(batch["source"], batch["lang"], batch["doc_id"], batch["text"]):
-                os.makedirs(f"{root}/{source}/{lang}", exist_ok=True)
-                with open(f"{root}/{source}/{lang}/{doc_id:08d}.txt", "w", newline="") as f:
-                    f.write(text)
-            yield batch[["doc_id"]]
-
-    if at.startswith("file:") or at.startswith("/") and spark.sparkContext.master.startswith("local["):
-        rows.mapInPandas(write, "doc_id bigint").count()
-        tree = files.read_documents(spark, at)
-    else:  # a folder that executors can't open as files
-        tree = rows.select(F.col("source").alias("model"), F.col("lang").alias("word"), "text")
+    tree = document_tree(spark, folder).filter(F.col("model").isin("books", "llm_generated"))
     return tree.groupBy("model", "word").agg(F.count("*").alias("files"), F.sum(word_count(F.col("text"))).alias("words"))
 
 

@@ -24,11 +24,33 @@ def read_documents(spark: SparkSession, root: str, depth: int = 2) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
         return spark.createDataFrame([], "model string, word string, name string, text string")
-    rows = spark.read.text(pattern, wholetext=True)
-    parts = F.split(F.col("_metadata.file_path"), "/")
+    rows = spark.read.text(pattern, wholetext=True).select("value", "_metadata.file_path")
+    rows = rows.coalesce(16 * spark.sparkContext.defaultParallelism)  # a few small files would make a task
+    parts = F.split(F.col("file_path"), "/")
     return rows.select(F.element_at(parts, -3).alias("model"), F.element_at(parts, -2).alias("word"), F.element_at(parts, -1).alias("name"), F.col("value").alias("text"))
 
 
+def write_documents(rows: DataFrame, root: str) -> None:
+    """One file ``root``/source/lang/name.txt for each row of (source, lang, name, text), on any file system that pyarrow opens; the others fail."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        files, top = fs.FileSystem.from_uri(root if ":" in root else "file://" + root)
+        made = set()
+        for batch in batches:
+            for source, lang, name, text in zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "name", "text"))):
+                place = f"{top}/{source}/{lang}"
+                if place not in made:
+                    files.create_dir(place, recursive=True)
+                    made.add(place)
+                with files.open_output_stream(f"{place}/{name}.txt", compression=None) as f:
+                    f.write(text.encode())
+            yield batch.select(["name"])
+
+    rows.select("source", "lang", "name", "text").mapInArrow(write, "name string").count()
+
+
 def read_lines(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """(value): lines that aren't blank; with ``most``, so many for a trial run."""
     rows = spark.read.text(path).filter(F.trim("value") != "")

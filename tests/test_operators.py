@@ -218,3 +218,11 @@ def test_numbers_in_groups_across_ranges(spark, monkeypatch):
     for g in ("hot", "small"):
         own = sorted((r.o, r["rank"]) for r in rows if r.g == g)
         assert [n for _, n in own] == list(range(len(own)))
+
+
+def test_document_tree_holds_all_sources(spark, data):
+    from lexloom.plans import files as plans
+
+    rows = spark.read.parquet(f"{data}/documents.parquet").filter("text <> '' AND source IS NOT NULL").selectExpr("source", "coalesce(lang, 'und')", "format_string('%08d.txt', doc_id)", "text")
+    got = plans.document_tree(spark, data).select("model", "word", "name", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, rows.collect())) and len({r.model for r in got}) > 2

@@ -1,13 +1,16 @@
 """The k most similar vectors of every vector, by cosine, through balanced posting lists.
 
-1. Centroids are fitted by recursive balanced k-means on a bounded sample; in the order of the splitting tree,
-   neighbouring lists are similar, and runs of lists form the partitions.
+1. Centroids are fitted by recursive balanced k-means on a sample that grows with the lists: coarse cells on the driver,
+   the lists of each cell on the executors. In the order of the splitting trees neighbouring lists are similar, and runs
+   of lists form the partitions.
 2. A graph over the centroids (nearest neighbours, entered through hubs) is searched in memory for each vector. The
    vector is stored in its nearest list and replicated to others whose centroid is almost as near (boundary vectors);
-   as a query it visits the lists within a distance ratio of the nearest.
+   as a query it visits the lists within a distance ratio of the nearest. The ratio of each region of lists is fitted:
+   so large that a share WANTED of the true neighbours of sampled queries, found by comparing them with all, is met.
 3. One shuffle sends a vector once to every partition that holds one of its lists, with float32 numbers. Each
    list is compared with its queries by a matrix product around its mean; what rounding can't tell from the best is
-   measured in double precision, and the best of a query in a partition go to a last aggregation by query.
+   measured in double precision, and the best of a query in a partition go to a last aggregation by query. A list that
+   is too long (there are at most MAX_LISTS) is split again, in its task, by the same rules.
 
 Every valid vector is indexed and is a query. Recall is measured in the tests and stated in the README.
 """
@@ -19,21 +22,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.storage import staged
 
 #: Vectors per list, and the bound on the number of lists: centroids take at most MAX_LISTS * dimension * 4 bytes.
 LIST_SIZE = 400
-MAX_LISTS = 65_536
-#: Sample for the centroids: so many per list, and at most MAX_SAMPLE.
+MAX_LISTS = 262_144
+#: A list that holds more than so many times LIST_SIZE is split in its task.
+LONG = 4
+#: Sampled vectors per list, and lists per cell: the driver fits one centroid for each cell.
 SAMPLE_PER_LIST = 32
-MAX_SAMPLE = 100_000
+LISTS_PER_CELL = 256
 #: A vector is stored in lists up to this distance ratio of the nearest, at most MAX_COPIES; it visits all lists up to
-#: PROBE_RATIO. PROBES are looked for at first, and all centroids are measured where the last of them is that near too.
+#: the ratio of its region. PROBES are looked for at first, and all centroids are measured where the last is near too.
 COPY_RATIO, MAX_COPIES = 1.06, 2
-PROBE_RATIO, PROBES = 1.15, (8, 32)
+PROBES = (8, 32)
+#: The ratios are fitted so that this share of neighbours is met, on so many queries, with so many neighbours to a region.
+WANTED, FITTED_QUERIES, PAIRS_PER_REGION = 0.998, 2_048, 2_000
 #: A query goes on, whatever the ratio, until its lists hold about so many vectors for each neighbour that is wanted.
 LEAST_MET = 5
 #: Graph neighbours of a centroid, and the hubs from which each search starts.
@@ -41,10 +48,12 @@ DEGREE = 24
 ENTRIES = 12
 #: Nearest nodes of a query that must be expanded before its search ends.
 BEAM = 6
-#: Lists per partition, at least; and the most partitions.
-MIN_LISTS_PER_PART = 8
-#: A partition that more vectors visit is split by visitor; so many sampled vectors tell which.
-VISITORS_PER_TASK, ROUTED_SAMPLE = 100_000, 4_000
+#: Queries that expand one node, on average, from which on they are compared by one product for each node.
+DENSE = 8
+#: Lists per partition, at least and as a rule; the vectors that a partition of several lists holds at most.
+MIN_LISTS_PER_PART, LISTS_PER_PART, VECTORS_PER_PART = 8, 64, 50_000
+#: A partition that more vectors visit is split by visitor.
+VISITORS_PER_TASK = 100_000
 #: Queries whose neighbours are held at once while lists are compared.
 QUERIES_AT_ONCE = 16_384
 
@@ -116,34 +125,48 @@ def fit_centroids(sample: np.ndarray, lists: int, seed: int = 7, branch: int = 8
 
 @dataclass
 class CentroidGraph:
-    """Centroids, an undirected graph of near neighbours and of each hub with the centroids nearest to it, and the hubs, by which searches enter."""
+    """Centroids, an undirected graph of near neighbours and of each hub with the centroids nearest to it, and the hubs, by which searches enter.
+
+    The neighbours of node i are ``heads[starts[i] : starts[i + 1]]``.
+    """
 
     centroids: np.ndarray
-    near: list[np.ndarray]
+    starts: np.ndarray
+    heads: np.ndarray
     hubs: np.ndarray
 
     @classmethod
-    def build(cls, centroids: np.ndarray, degree: int = DEGREE) -> CentroidGraph:
+    def build(cls, centroids: np.ndarray, degree: int = DEGREE, block: int = 512, blocks: int = 32) -> CentroidGraph:
+        """Neighbours are looked for in the ``blocks`` nearest runs of ``block`` centroids, by the means of the runs."""
         n = len(centroids)
         degree = min(degree, n)
         near = np.empty((n, degree), np.int32)
         half = 0.5 * (centroids * centroids).sum(1)
-        for at in range(0, n, 2048):
-            score = centroids[at : at + 2048] @ centroids.T - half
-            best = np.argpartition(-score, degree - 1, 1)[:, :degree] if degree < n else np.tile(np.arange(n), (len(score), 1))
-            near[at : at + 2048] = np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), 1, kind="stable"), 1)
+        runs = [np.arange(at, min(n, at + block)) for at in range(0, n, block)]
+        means = np.array([centroids[r].mean(0) for r in runs]) if n else centroids
+        for run in runs:
+            if len(runs) > blocks:
+                close = np.argpartition(-(means @ centroids[run].mean(0) - 0.5 * (means * means).sum(1)), blocks)[:blocks]
+                cand = np.concatenate([runs[j] for j in np.sort(close)])
+            else:
+                cand = np.arange(n)
+            score = centroids[run] @ centroids[cand].T - half[cand]
+            best = np.argpartition(-score, degree - 1, 1)[:, :degree] if degree < len(cand) else np.tile(np.arange(len(cand)), (len(run), 1))
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), 1, kind="stable"), 1)
+            near[run] = cand[best]
         hubs = np.arange(0, n, max(1, int(np.sqrt(n) / 4)), dtype=np.int32)
-        cell = hubs[np.argmax(centroids @ centroids[hubs].T - half[hubs], 1)] if n else hubs
-        tails = np.concatenate([np.repeat(np.arange(n, dtype=np.int32), degree), cell])
-        heads = np.concatenate([near.ravel(), np.arange(n, dtype=np.int32)])
-        edges = np.unique(np.concatenate([np.stack([tails, heads]), np.stack([heads, tails])], 1), axis=1) if n else np.empty((2, 0), np.int32)
-        return cls(centroids, np.split(edges[1], np.searchsorted(edges[0], np.arange(1, n))), hubs)
+        cell = np.concatenate([hubs[np.argmax(centroids[r] @ centroids[hubs].T - half[hubs], 1)] for r in runs]) if n else hubs
+        tails = np.concatenate([np.repeat(np.arange(n, dtype=np.int64), degree), cell])
+        heads = np.concatenate([near.ravel(), np.arange(n, dtype=np.int32)]).astype(np.int64)
+        edges = np.unique(np.concatenate([tails * n + heads, heads * n + tails]))
+        return cls(centroids, np.searchsorted(edges, np.arange(n + 1) * n), (edges % max(n, 1)).astype(np.int32), hubs)
 
     def search(self, x: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Per row the k nearest centroids found and their distances, nearest first (-1 and inf where there are fewer).
 
-        A beam search of many queries at once: the queries that expand the same node are compared with its neighbours
-        by one matrix product. Each enters by its nearest hubs and ends when its nearest ``beam`` nodes are all expanded.
+        A beam search of many queries at once. Where many queries expand the same nodes, those of a node are compared
+        with its neighbours by one matrix product; else all are compared together, each with its own neighbours. Each
+        enters by its nearest hubs and ends when its nearest ``beam`` nodes are all expanded.
         """
         c, half = self.centroids, 0.5 * (self.centroids * self.centroids).sum(1)
         width = max(k, beam)
@@ -151,6 +174,40 @@ class CentroidGraph:
         dist = np.full((len(x), width), np.inf, np.float32)
         done = np.ones((len(x), width), bool)
         norm = (x * x).sum(1)
+
+        def merge(rows: np.ndarray, nodes: np.ndarray, cand: np.ndarray, far: np.ndarray) -> None:
+            m = min(width, cand.shape[1])
+            if m < cand.shape[1]:
+                best = np.argpartition(far, m - 1, 1)[:, :m]
+                cand, far = np.take_along_axis(cand, best, 1), np.take_along_axis(far, best, 1)
+            known = (cand[:, :, None] == ids[rows][:, None, :]).any(2)
+            all_ids = np.concatenate([ids[rows], cand], 1)
+            all_dist = np.concatenate([dist[rows], np.where(known, np.inf, far).astype(np.float32)], 1)
+            all_done = np.concatenate([done[rows], cand == nodes[:, None]], 1)
+            order = np.argsort(all_dist, 1, kind="stable")[:, :width]
+            all_dist = np.take_along_axis(all_dist, order, 1)
+            none = np.isinf(all_dist)
+            dist[rows] = all_dist
+            ids[rows] = np.where(none, -1, np.take_along_axis(all_ids, order, 1))
+            done[rows] = none | np.take_along_axis(all_done, order, 1)
+
+        def expand(rows: np.ndarray, nodes: np.ndarray) -> None:
+            if len(rows) >= DENSE * len(np.unique(nodes)):
+                for node, at in _groups(np.arange(len(rows)), nodes):
+                    own, cand = rows[at], self.heads[self.starts[node] : self.starts[node + 1]]
+                    far = np.sqrt(np.maximum(norm[own][:, None] - 2 * (x[own] @ c[cand].T - half[cand]), 0))
+                    merge(own, nodes[at], np.tile(cand, (len(own), 1)), far)
+                return
+            for at in range(0, len(rows), 1_024):
+                own, node = rows[at : at + 1_024], nodes[at : at + 1_024]
+                size = self.starts[node + 1] - self.starts[node]
+                slot = np.arange(int(size.max()))
+                real = slot < size[:, None]
+                cand = np.where(real, self.heads[np.where(real, self.starts[node][:, None] + slot, 0)], -1)
+                near = np.matmul(c[cand], x[own][:, :, None])[:, :, 0]
+                far = np.where(real, np.sqrt(np.maximum(norm[own][:, None] - 2 * (near - half[cand]), 0)), np.inf)
+                merge(own, node, cand, far)
+
         to_hubs = x @ c[self.hubs].T - half[self.hubs]
         entries = min(ENTRIES, len(self.hubs))
         starts = self.hubs[np.argpartition(-to_hubs, entries - 1, 1)[:, :entries]] if entries < len(self.hubs) else np.tile(self.hubs, (len(x), 1))
@@ -167,25 +224,7 @@ class CentroidGraph:
                 rank = (~done[live, :beam]).argmax(1)
                 nodes = ids[live, rank]
                 done[live, rank] = True
-            for node, at in _groups(np.arange(len(live)), nodes):
-                rows, cand = live[at], self.near[node]
-                far = np.sqrt(np.maximum(norm[rows][:, None] - 2 * (x[rows] @ c[cand].T - half[cand]), 0))
-                m = min(width, len(cand))
-                if m < len(cand):
-                    best = np.argpartition(far, m - 1, 1)[:, :m]
-                    near, far = cand[best], np.take_along_axis(far, best, 1)
-                else:
-                    near = np.tile(cand, (len(rows), 1))
-                known = (near[:, :, None] == ids[rows][:, None, :]).any(2)
-                all_ids = np.concatenate([ids[rows], near], 1)
-                all_dist = np.concatenate([dist[rows], np.where(known, np.inf, far).astype(np.float32)], 1)
-                all_done = np.concatenate([done[rows], near == node], 1)
-                order = np.argsort(all_dist, 1, kind="stable")[:, :width]
-                all_dist = np.take_along_axis(all_dist, order, 1)
-                none = np.isinf(all_dist)
-                dist[rows] = all_dist
-                ids[rows] = np.where(none, -1, np.take_along_axis(all_ids, order, 1))
-                done[rows] = none | np.take_along_axis(all_done, order, 1)
+            expand(live, nodes)
         return ids[:, :k], dist[:, :k]
 
 
@@ -198,15 +237,28 @@ def _groups(rows: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarra
 
 @dataclass
 class Index:
-    """What the executors need: the graph, the partition of each list, into how many tasks each partition is split, about how many vectors each list holds, and how many a query should meet at least."""
+    """What the executors need: the graph, the partition of each list, into how many tasks each partition is split, about how many vectors each list holds, the distance ratio of those nearest to each list, and how many vectors a query should meet at least."""
 
     graph: CentroidGraph
     part_of: np.ndarray
     splits: np.ndarray
     held: np.ndarray
+    ratio: np.ndarray
     need: int
 
 
+def _measured(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distances of rows to all centroids."""
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * (x @ c.T - 0.5 * (c**2).sum(1)), 0))
+
+
+def _nearest_first(far: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` nearest places of each row, nearest first, and their distances."""
+    ids = np.argpartition(far, most - 1, 1)[:, :most] if most < far.shape[1] else np.tile(np.arange(far.shape[1]), (len(far), 1))
+    ids = np.take_along_axis(ids, np.argsort(np.take_along_axis(far, ids, 1), 1, kind="stable"), 1)
+    return ids, np.take_along_axis(far, ids, 1)
+
+
 def route(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For unit vectors: (row, list, stored, visited) of each list that a vector has to do with."""
     graph, out, left = index.graph, [], np.arange(len(x))
@@ -220,18 +272,16 @@ def route(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
         for at in range(0, len(left), step):
             rows = left[at : at + step]
             if exact:  # as many as the ratio lets in
-                far = np.sqrt(np.maximum((x[rows] ** 2).sum(1)[:, None] - 2 * (x[rows] @ graph.centroids.T - 0.5 * (graph.centroids**2).sum(1)), 0))
-                most = int((far <= PROBE_RATIO * np.maximum(far.min(1, keepdims=True), 1e-6)).sum(1).max())
-                most = min(n, max(most, MAX_COPIES, PROBES[-1]))
-                ids = np.argpartition(far, most - 1, 1)[:, :most] if most < n else np.tile(np.arange(n), (len(rows), 1))
-                ids = np.take_along_axis(ids, np.argsort(np.take_along_axis(far, ids, 1), 1, kind="stable"), 1)
-                dist = np.take_along_axis(far, ids, 1)
+                far = _measured(x[rows], graph.centroids)
+                ratio = index.ratio[far.argmin(1)]
+                most = int((far <= ratio[:, None] * np.maximum(far.min(1, keepdims=True), 1e-6)).sum(1).max())
+                ids, dist = _nearest_first(far, min(n, max(most, MAX_COPIES, PROBES[-1])))
             else:
                 ids, dist = graph.search(x[rows], probes, max(BEAM, probes // 2))
             first = np.maximum(dist[:, :1], 1e-6)
             stored = (dist <= COPY_RATIO * first) & (np.arange(ids.shape[1]) < MAX_COPIES)
             held = index.held[ids]
-            visited = ((dist <= PROBE_RATIO * first) | (np.cumsum(held, 1) - held < index.need)) & (ids >= 0)
+            visited = ((dist <= index.ratio[ids[:, :1]] * first) | (np.cumsum(held, 1) - held < index.need)) & (ids >= 0)
             stored[:, 0] = visited[:, 0] = True
             more = visited[:, -1] & (not exact)
             wide.append(rows[more])
@@ -241,6 +291,36 @@ def route(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def needed_ratio(c: np.ndarray, x: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``x`` its nearest list, and the distance ratio up to which it must go on to meet the same row of ``others``."""
+    own, ratio = [], []
+    for at in range(0, len(x), max(1, 4_000_000 // max(1, len(c)))):
+        part = slice(at, at + max(1, 4_000_000 // len(c)))
+        mine, theirs = _measured(x[part], c), _measured(others[part], c)
+        holds = np.full(len(mine), np.inf)
+        ids, dist = _nearest_first(theirs, min(MAX_COPIES, len(c)))
+        for j in range(ids.shape[1]):
+            held = (dist[:, j] <= COPY_RATIO * np.maximum(dist[:, 0], 1e-6)) | (j == 0)
+            holds = np.where(held, np.minimum(holds, np.take_along_axis(mine, ids[:, j : j + 1], 1)[:, 0]), holds)
+        own.append(mine.argmin(1))
+        ratio.append(holds / np.maximum(mine.min(1), 1e-6))
+    return np.concatenate(own), np.concatenate(ratio)
+
+
+def fitted_ratios(lists: int, own: np.ndarray, needed: np.ndarray, wanted: float = WANTED, per_region: int = PAIRS_PER_REGION) -> np.ndarray:
+    """The ratio of each list: of its region (a run of lists) the quantile ``wanted`` of the ratios that the pairs of its sampled queries need."""
+    out = np.ones(lists)
+    order = np.argsort(own, kind="stable")
+    regions = max(1, len(own) // per_region)
+    edges = own[order][np.arange(regions) * len(own) // regions] if len(own) else np.zeros(1, int)
+    edges[0] = 0
+    edges = np.unique(edges)
+    for a, b in zip(edges, [*edges[1:], lists]):
+        mine = needed[(own >= a) & (own < b)]
+        out[a:b] = np.quantile(mine, wanted) if len(mine) else np.quantile(needed, wanted) if len(needed) else 1.15
+    return out * (1 + 1e-6)
+
+
 #: Bound of the error of a float32 product of two vectors, relative to their lengths.
 ROUNDING = 4e-6
 
@@ -305,13 +385,35 @@ def _best_of_some(x: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray]], k
     return q, o, s
 
 
+def split_list(x: np.ndarray, stored: np.ndarray, visiting: np.ndarray, ratio: float, list_size: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A long list as several: its stored rows are divided among centroids of their own, which its visitors search by the same ratio."""
+    lists = max(1, round(len(stored) / list_size))
+    graph = CentroidGraph.build(fit_centroids(x[stored[:: max(1, list_size // SAMPLE_PER_LIST)]], lists))
+    n = len(graph.centroids)
+    held = np.full(n, len(stored) / n)
+    index = Index(graph, np.zeros(n, np.int32), np.ones(1, np.int64), held, np.full(n, ratio), LEAST_MET * k)
+    rows = np.union1d(stored, visiting)
+    is_stored, is_visiting = np.isin(rows, stored), np.isin(rows, visiting)
+    row, lists_, stores, visits = (np.concatenate(c) for c in zip(*(_shifted(route(index, x[rows[at : at + 10_000]]), at) for at in range(0, len(rows), 10_000))))
+    stores, visits = stores & is_stored[row], visits & is_visiting[row]
+    return [(np.sort(rows[row[at[stores[at]]]]), np.sort(rows[row[at[visits[at]]]])) for _, at in _groups(np.arange(len(row)), lists_)]
+
+
+def _shifted(routed: tuple, at: int) -> tuple:
+    return (routed[0] + at, *routed[1:])
+
+
 #: A direction that this many vectors share is hot: only its k + 1 smallest keys are indexed, which changes no result,
 #: as equally similar vectors rank by key. At most 1 / HOT_SHARE of all directions can be hot.
 HOT_ROWS, HOT_SHARE = 1_000, 1_000
 ROWS_PER_TASK = 400_000
 
 
-def _unit(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _hash() -> Column:
+    return F.shiftrightunsigned(F.xxhash64("id"), 1)
+
+
+def _unit(batches: Iterator[pa.RecordBatch], size: int, whole: bool) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
@@ -324,23 +426,43 @@ def _unit(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         unit = (x[good] / norm[good, None]).astype(np.float32) + np.float32(0)  # no -0.0
         raw = [row.tobytes() for row in unit]
         keys = batch.column(0).take(pa.array(right[good]))
-        directions = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([keys, pa.array(directions), pa.array(raw, pa.binary())], ["id", "direction", "vec"])
+        directions = pa.array(np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64))
+        columns = [keys, directions, pa.array(raw, pa.binary())] if whole else [keys, directions]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "direction", "vec"][: len(columns)])
 
 
-def unit_vectors(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """(id, direction, vec) of each valid row as a staged table: float32 unit vectors and a hash of them.
+class Units:
+    """Float32 unit vectors (id, direction, vec) of the valid rows of a table, ``direction`` a hash of the vector; read anew for each pass.
 
     Rows are left out whose key or vector is null, whose vector has another size, a null, NaN or infinite number, or is
-    all zeros. A key that comes twice keeps the vector with the greatest bytes.
+    all zeros. A key that comes twice keeps the vector with the greatest hash. ``keys`` is (id, direction), staged.
     """
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
-    rows = rows.filter(~F.exists("v", lambda x: x.isNull()))
-    units = staged(rows.mapInArrow(lambda it: _unit(it, size), "id bigint, direction bigint, vec binary"), "unit-vectors")
-    twice = units.groupBy("id").count().filter("count > 1").limit(1).count()
-    if twice:
-        units = staged(units.groupBy("id").agg(F.max(F.struct("direction", "vec")).alias("x")).select("id", "x.*"), "unit-vectors")
-    return units
+
+    def __init__(self, df: DataFrame, key: str, vector: str, size: int) -> None:
+        rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
+        self._rows, self._size, self._single, self._first = rows.filter(~F.exists("v", lambda x: x.isNull())), size, None, None
+        keys = self._rows.mapInArrow(lambda it: _unit(it, size, False), "id bigint, direction bigint")
+        self.keys = staged(keys, "vector-keys")
+        if self.keys.groupBy("id").count().filter("count > 1").limit(1).count():
+            self._single = staged(self.vectors().groupBy("id").agg(F.max(F.struct("direction", "vec")).alias("x")).select("id", "x.*"), "unit-vectors")
+            self.keys = staged(self._single.select("id", "direction"), "vector-keys")
+
+    def only_first(self, first: DataFrame) -> None:
+        """From now on, of the directions in ``first`` (direction, first) only the keys listed there."""
+        self._first = first
+
+    def vectors(self, share: float = 1.0, of: DataFrame | None = None) -> DataFrame:
+        """The vectors, or those of the ``share`` of all keys with the least hashes, or those of the few keys ``of`` (id)."""
+        where = _hash() < int(2**63 * share) if share < 1 else F.lit(True)
+        some = lambda rows: rows.filter(where) if of is None else rows.filter(where).join(F.broadcast(of), "id", "left_semi")
+        if self._single is None:
+            size = self._size
+            out = some(self._rows).mapInArrow(lambda it: _unit(it, size, True), "id bigint, direction bigint, vec binary")
+        else:
+            out = some(self._single)
+        if self._first is not None:
+            out = out.join(F.broadcast(self._first), "direction", "left").filter(F.col("first").isNull() | F.array_contains("first", F.col("id"))).select("id", "direction", "vec")
+        return out
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
@@ -348,28 +470,76 @@ def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(parts), np.float32).reshape(len(parts), size)
 
 
-def build_index(units: DataFrame, size: int, list_size: int = LIST_SIZE, k: int = 10) -> Index | None:
-    """The index over staged unit vectors, fitted on a sample by key hash; None if there are no vectors."""
-    total = units.count()
+def _cells(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa.RecordBatch]:
+    c = shared.value
+    for batch in batches:
+        cell = _nearest(_matrix(batch.column("vec"), size), c) if len(c) > 1 else np.zeros(batch.num_rows, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column("id"), batch.column("vec")], ["cell", "id", "vec"])
+
+
+def _fitted(table: pa.Table, size: int, per_list: float) -> pa.Table:
+    table = table.sort_by("id")
+    x = _matrix(table["vec"], size)
+    c = fit_centroids(x, max(1, round(len(x) / per_list)))
+    n = np.bincount(np.concatenate([_nearest(x[at : at + 8192], c) for at in range(0, len(x), 8192)]), minlength=len(c))
+    cell = pa.array(np.full(len(c), table["cell"][0].as_py(), np.int32))
+    return pa.Table.from_arrays([cell, pa.array(np.arange(len(c), dtype=np.int32)), pa.array(n), pa.array([row.tobytes() for row in c], pa.binary())], ["cell", "at", "n", "vec"])
+
+
+def _nearest_of_all(batches: Iterator[pa.RecordBatch], shared, size: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Of each query the ``k`` nearest vectors of all batches but those of its own key."""
+    keys, q = shared.value
+    best, who = np.full((len(q), k), -np.inf, np.float32), np.zeros((len(q), k), np.int64)
+    for batch in batches:
+        ids = batch.column("id").to_numpy()
+        near = q @ _matrix(batch.column("vec"), size).T
+        near[keys[:, None] == ids] = -np.inf
+        row, at = np.nonzero(near > best[:, :1])  # the first is the least of the best
+        for rows in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row)) + 1) if len(row) else []:
+            i = row[rows[0]]
+            found, own = np.concatenate([best[i], near[i, at[rows]]]), np.concatenate([who[i], ids[at[rows]]])
+            top = np.lexsort((-own, found))[-k:]
+            best[i], who[i] = found[top], own[top]
+    row, at = np.nonzero(np.isfinite(best))
+    yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(best[row, at]), pa.array(who[row, at])], ["q", "near", "id"])
+
+
+def build_index(units: Units, total: int, size: int, list_size: int = LIST_SIZE, k: int = 10) -> Index | None:
+    """The index over ``total`` unit vectors, fitted on a sample by key hash that grows with the lists; None if there are no vectors.
+
+    The driver sees one centroid for each list, a sample that grows with the cells, and FITTED_QUERIES vectors.
+    """
     if not total:
         return None
     lists = min(MAX_LISTS, max(1, round(total / list_size)))
-    want = min(MAX_SAMPLE, SAMPLE_PER_LIST * lists, total)
-    threshold = int(2**20 * min(1.0, 1.05 * want / total))
-    picked = units.filter(F.pmod(F.xxhash64("id"), F.lit(2**20)) < threshold).select("id", "vec").limit(MAX_SAMPLE).toArrow().sort_by("id")
-    if not picked.num_rows:
-        picked = units.select("id", "vec").orderBy("id").limit(1).toArrow()
-    sample = _matrix(picked["vec"], size)
-    graph = CentroidGraph.build(fit_centroids(sample, lists))
+    sample = staged(units.vectors(min(1.0, SAMPLE_PER_LIST * lists / total)).select("id", "vec"), "vector-sample")
+    sampled = sample.count()
+    if not sampled:
+        sample = staged(units.vectors().select("id", "vec").orderBy("id").limit(1), "vector-sample")
+        sampled = 1
+    context = sample.sparkSession.sparkContext
+    least = lambda most: sample.select("id", "vec", _hash().alias("hash")).orderBy("hash", "id").limit(most).toArrow()
+    cells = -(-lists // LISTS_PER_CELL)
+    coarse = fit_centroids(_matrix(least(SAMPLE_PER_LIST * cells)["vec"], size), cells) if cells > 1 else np.zeros((1, size), np.float32)
+    shared_cells, per_list = context.broadcast(coarse), sampled / lists
+    in_cells = sample.mapInArrow(lambda it: _cells(it, shared_cells, size), "cell int, id bigint, vec binary")
+    fitted = in_cells.groupBy("cell").applyInArrow(lambda t: _fitted(t, size, per_list), "cell int, at int, n bigint, vec binary").toArrow().sort_by([("cell", "ascending"), ("at", "ascending")])
+    graph = CentroidGraph.build(_matrix(fitted["vec"], size))
     n = len(graph.centroids)
-    parts = max(1, min(n // MIN_LISTS_PER_PART, 24 + n // 64))
-    own = np.concatenate([_nearest(sample[at : at + 8192], graph.centroids) for at in range(0, len(sample), 8192)])
-    held = np.bincount(own, minlength=n) * (total / len(sample))
-    index = Index(graph, (np.arange(n) * parts // n).astype(np.int32), np.ones(parts, np.int64), held, LEAST_MET * k)
-    some = sample[:ROUTED_SAMPLE]
-    row, lists, _, visited = route(index, some)
-    pairs = np.unique(row[visited] * parts + index.part_of[lists[visited]])
-    visitors = np.bincount(pairs % parts, minlength=parts) * (total / len(some))
+    parts = max(1, min(n // MIN_LISTS_PER_PART, 12 + n // LISTS_PER_PART))
+    parts = min(n, max(parts, -(-total // VECTORS_PER_PART)))
+    queries = least(FITTED_QUERIES)
+    keys, x = queries["id"].to_numpy(), _matrix(queries["vec"], size)
+    shared_queries = context.broadcast((keys, x))
+    near = units.vectors().select("id", "vec").mapInArrow(lambda it: _nearest_of_all(it, shared_queries, size, k), "q bigint, near float, id bigint")
+    near = near.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "id"))).filter(F.col("rn") <= k).select("q", "id")
+    near = staged(near, "vector-nearest")
+    met = near.join(units.vectors(of=near.select("id").distinct()), "id").select("q", "vec").toArrow()
+    own, needed = needed_ratio(graph.centroids, x[met["q"].to_numpy()], _matrix(met["vec"], size)) if met.num_rows else (np.empty(0, np.int64), np.empty(0))
+    index = Index(graph, (np.arange(n) * parts // n).astype(np.int32), np.ones(parts, np.int64), fitted["n"].to_numpy() * (total / sampled), fitted_ratios(n, own, needed), LEAST_MET * k)
+    row, lists_, _, visited = route(index, x)
+    pairs = np.unique(row[visited] * parts + index.part_of[lists_[visited]])
+    visitors = np.bincount(pairs % parts, minlength=parts) * (total / len(x))
     index.splits = np.maximum(1, np.ceil(visitors / VISITORS_PER_TASK)).astype(np.int64)
     return index
 
@@ -380,7 +550,7 @@ def _routed(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa
     for whole in batches:
         done = 0
         while done < whole.num_rows:  # fewer rows at once where each may visit many lists
-            batch = whole.slice(done, max(256, 8_000_000 // len(index.part_of)))
+            batch = whole.slice(done, max(1_024, 200_000_000 // len(index.part_of)))
             done += batch.num_rows
             row, lists, stored, visited = route(index, _matrix(batch.column("vec"), size))
             code = (lists.astype(np.int32) << 2) | (stored.astype(np.int32) << 1) | visited
@@ -402,14 +572,21 @@ def _routed(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(part[starts]), batch.column("id").take(at), batch.column("vec").take(at), pa.ListArray.from_arrays(offsets, pa.array(code))], ["part", "id", "vec", "lists"])
 
 
-def _searched(table: pa.Table, size: int, k: int) -> pa.Table:
+def _searched(table: pa.Table, shared, size: int, list_size: int, k: int) -> pa.Table:
+    index, table = shared.value, table.sort_by("id")
     x = _matrix(table["vec"], size)
     keys = table["id"].to_numpy()
     lists = table["lists"].combine_chunks()
     row = np.repeat(np.arange(len(x)), lists.value_lengths().to_numpy())
     code = lists.flatten().to_numpy()
-    entries = [(rows[code[rows] & 2 > 0], rows[code[rows] & 1 > 0]) for _, rows in _groups(np.arange(len(code)), code >> 2)]
-    q, o, s = best_in_lists(x, [(row[a], row[b]) for a, b in entries], k)
+    entries = []
+    for number, at in _groups(np.arange(len(code)), code >> 2):
+        stored, visiting = row[at[code[at] & 2 > 0]], row[at[code[at] & 1 > 0]]
+        if len(stored) > LONG * list_size and len(visiting):
+            entries += split_list(x, stored, visiting, float(index.ratio[number]), list_size, k)
+        else:
+            entries.append((stored, visiting))
+    q, o, s = best_in_lists(x, entries, k)
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
     offsets = pa.array(np.r_[starts, len(q)].astype(np.int32))
     found = [pa.array(keys[q[starts]]), pa.ListArray.from_arrays(offsets, pa.array(keys[o])), pa.ListArray.from_arrays(offsets, pa.array(s))]
@@ -443,30 +620,30 @@ def nearest_neighbours(df: DataFrame, key: str = "row_ix", vector: str = "matrix
 
     Equal similarities rank by key. Fewer rows come out only where the visited lists hold fewer others. Similarities are
     those of the float32 unit vectors, in double precision. An empty table, or one without a valid row, gives an empty result.
+    ``df`` is read five times.
     """
     spark = df.sparkSession
-    units = unit_vectors(df, key, vector, size)
-    total = units.count()
-    hot = units.groupBy("direction").agg(F.count("*").alias("n")).filter(F.col("n") >= max(HOT_ROWS, total // HOT_SHARE)).select("direction")
+    units = Units(df, key, vector, size)
+    keys = units.keys
+    total = keys.count()
+    hot = keys.groupBy("direction").agg(F.count("*").alias("n")).filter(F.col("n") >= max(HOT_ROWS, total // HOT_SHARE)).select("direction")
     hot = staged(hot, "hot-directions")
     copies = None
     if hot.limit(1).count():
-        from pyspark.sql import Window
-
-        of_hot = units.join(F.broadcast(hot), "direction").select("direction", "id")
+        of_hot = keys.join(F.broadcast(hot), "direction")
         first = of_hot.withColumn("rn", F.row_number().over(Window.partitionBy("direction").orderBy("id"))).filter(F.col("rn") <= k + 1)
         first = staged(first.groupBy("direction").agg(F.sort_array(F.collect_list("id")).alias("first")), "hot-first")
-        tagged = units.join(F.broadcast(first), "direction", "left")
-        rest = tagged.filter(F.col("first").isNotNull() & ~F.array_contains("first", F.col("id"))).select("id", F.slice("first", 1, k).alias("first"))
-        copies = rest.select("id", F.posexplode("first").alias("at", "other")).select("id", "other", F.lit(1.0).alias("similarity"), (F.col("at") + 1).cast("int").alias("rank"))
-        units = staged(tagged.filter(F.col("first").isNull() | F.array_contains("first", F.col("id"))).select("id", "direction", "vec"), "unit-vectors")
+        rest = of_hot.join(F.broadcast(first), "direction").filter(~F.array_contains("first", F.col("id")))
+        copies = rest.select("id", F.posexplode(F.slice("first", 1, k)).alias("at", "other")).select("id", "other", F.lit(1.0).alias("similarity"), (F.col("at") + 1).cast("int").alias("rank"))
+        total -= rest.count()
+        units.only_first(first)
     schema = "id bigint, other bigint, similarity double, rank int"
-    index = build_index(units, size, list_size, k)
+    index = build_index(units, total, size, list_size, k)
     if index is None:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(index)
-    routed = units.select("id", "vec").mapInArrow(lambda it: _routed(it, shared, size), "part int, id bigint, vec binary, lists array<int>")
-    found = routed.groupBy("part").applyInArrow(lambda t: _searched(t, size, k), "id bigint, others array<bigint>, sims array<double>")
+    routed = units.vectors().select("id", "vec").mapInArrow(lambda it: _routed(it, shared, size), "part int, id bigint, vec binary, lists array<int>")
+    found = routed.groupBy("part").applyInArrow(lambda t: _searched(t, shared, size, list_size, k), "id bigint, others array<bigint>, sims array<double>")
     tasks = max(1, -(-total * k * 3 // ROWS_PER_TASK))
     best = found.repartition(tasks, "id").mapInArrow(lambda it: _best(it, k), schema)
     return best if copies is None else best.unionByName(copies)

@@ -490,16 +490,17 @@ def _nearest_of_all(batches: Iterator[pa.RecordBatch], shared, size: int, k: int
     """Of each query the ``k`` nearest vectors of all batches but those of its own key."""
     keys, q = shared.value
     best, who = np.full((len(q), k), -np.inf, np.float32), np.zeros((len(q), k), np.int64)
-    for batch in batches:
-        ids = batch.column("id").to_numpy()
-        near = q @ _matrix(batch.column("vec"), size).T
-        near[keys[:, None] == ids] = -np.inf
-        row, at = np.nonzero(near > best[:, :1])  # the first is the least of the best
-        for rows in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row)) + 1) if len(row) else []:
-            i = row[rows[0]]
-            found, own = np.concatenate([best[i], near[i, at[rows]]]), np.concatenate([who[i], ids[at[rows]]])
-            top = np.lexsort((-own, found))[-k:]
-            best[i], who[i] = found[top], own[top]
+    for whole in batches:
+        for start in range(0, whole.num_rows, 2_000):
+            batch = whole.slice(start, 2_000)
+            ids = batch.column("id").to_numpy()
+            near = q @ _matrix(batch.column("vec"), size).T
+            near[keys[:, None] == ids] = -np.inf
+            rows = np.flatnonzero(near.max(1) > best.min(1))
+            top = np.argpartition(-near[rows], k - 1, 1)[:, :k] if k < len(ids) else np.tile(np.arange(len(ids)), (len(rows), 1))
+            found, own = np.concatenate([best[rows], np.take_along_axis(near[rows], top, 1)], 1), np.concatenate([who[rows], ids[top]], 1)
+            top = np.argpartition(-found, k - 1, 1)[:, :k]
+            best[rows], who[rows] = np.take_along_axis(found, top, 1), np.take_along_axis(own, top, 1)
     row, at = np.nonzero(np.isfinite(best))
     yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(best[row, at]), pa.array(who[row, at])], ["q", "near", "id"])
 

@@ -19,18 +19,48 @@ WORD = r"[A-Za-z0-9]+(?:[’'\-][A-Za-z0-9]+)*"
 LOSSLESS_SENTENCE = r"[^.!?…。！？]*[.!?…。！？]+[ \t\n\r\f\x0B]*|[^.!?…。！？]+"
 
 
+# The usual spellings in ASCII of characters that have no decomposition into it.
+SPELLED = {
+    "ß": "ss", "ẞ": "Ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ł": "l", "Ł": "L", "ħ": "h", "ı": "i", "ŋ": "ng",
+    "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "--", "―": "--", "−": "-", "‘": "'", "’": "'", "‚": ",", "‛": "'", "“": '"', "”": '"', "„": ",,", "«": "<<", "»": ">>", "‹": "<", "›": ">", "′": "'", "″": "''",
+    "•": "*", "·": "*", "¡": "!", "¿": "?", "×": "x", "÷": "/", "°": "deg", "±": "+-", "€": "EUR", "£": "PS", "¥": "Y=", "¢": "C/", "©": "(c)", "®": "(r)", "§": "SS", "¶": "P", "¬": "!", "µ": "u", "、": ",", "。": ".",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f",
+    "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": '"', "ы": "y", "ь": "'", "э": "e", "ю": "iu", "я": "ia", "є": "ie", "і": "i", "ґ": "g",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u",
+    "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+_SPELLED = SPELLED | {k.upper(): v[:1].upper() + v[1:] for k, v in SPELLED.items() if k.isalpha() and len(k.upper()) == 1 and k.upper() not in SPELLED}
+
+
+def transliterated(text: str) -> str:
+    """The text in ASCII: compatibility forms decomposed, marks dropped, listed characters spelled out, others dropped."""
+    return "".join(x for c in unicodedata.normalize("NFKD", text) for x in _SPELLED.get(c, c) if x < "\x80")
+
+
 @F.pandas_udf(T.StringType())
-def ascii_folded(texts: pd.Series) -> pd.Series:
-    """Letters without marks (NFKD), other characters outside ASCII dropped."""
-    return texts.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if ord(c) < 128))
+def _transliterated_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else transliterated(t))
 
 
 @F.pandas_udf(T.StringType())
-def nfkc_casefold(texts: pd.Series) -> pd.Series:
-    """NFKC form with full case folding; use :func:`lower` on texts known to be ASCII."""
+def _casefolded_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
+def _plain(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def ascii_folded(text: Column) -> Column:
+    """:func:`transliterated` of a text; texts in ASCII never leave the JVM."""
+    return F.when(_plain(text), text).otherwise(_transliterated_udf(F.when(~_plain(text), text)))
+
+
+def nfkc_casefold(text: Column) -> Column:
+    """NFKC form with full case folding; texts in ASCII never leave the JVM."""
+    return F.when(_plain(text), F.lower(text)).otherwise(_casefolded_udf(F.when(~_plain(text), text)))
+
+
 def collapse_spaces(text: Column) -> Column:
     """Runs of blanks as one blank, line ends without blanks around, no blanks at the ends; an empty text for null."""
     one = F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\r\f\x0B]+", " ")
@@ -100,7 +130,7 @@ def continues_word(piece: Column) -> Column:
 
 def joined_pieces(pieces: Column) -> Column:
     """The text of subword pieces; the mark of a word start is a blank."""
-    return F.concat(F.replace(F.element_at(pieces, 1), F.lit("▁"), F.lit(" ")), F.array_join(F.slice(pieces, 2, 1_000), ""))
+    return F.concat(F.replace(F.element_at(pieces, 1), F.lit("▁"), F.lit(" ")), F.array_join(F.slice(pieces, F.lit(2), F.size(pieces)), ""))
 
 
 def readable(word: Column, least: int = 3, most: int = 12) -> Column:

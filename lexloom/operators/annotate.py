@@ -53,17 +53,24 @@ DOCUMENT_SYMBOLS = TokenTable(
 
 
 def standardised(candidates: DataFrame) -> DataFrame:
-    """(word, text) of complete candidates with a text: both lengths known and equal, the spans readable and not blank."""
+    """(word, text, is_all_doc, is_unsafe) of complete candidates with a text: both lengths known and equal, the spans readable and not blank.
+
+    Complete candidates count as whole and as unsafe.
+    """
     text = F.trim(spans_text(F.col("spans_json")))
     rows = candidates.filter(F.col("doc_len").isNotNull() & (F.col("doc_len") == F.col("disp_len")))
     rows = rows.select(F.trim("seed").alias("word"), spans_text(F.col("spans_json")).alias("text"), text.alias("_t"))
     blank = F.col("word").isNull() | (F.col("word") == "") | (F.lower("word") == "nan") | F.col("_t").isNull() | (F.col("_t") == "") | (F.lower("_t") == "nan")
-    return rows.filter(~blank).drop("_t")
+    return rows.filter(~blank).select("word", "text", F.lit(True).alias("is_all_doc"), F.lit(True).alias("is_unsafe"))
 
 
 def by_text(rows: DataFrame) -> DataFrame:
-    """(text, words): the sorted distinct words that found each text. Equal texts meet by a shuffle on the text with partial sets."""
-    return rows.groupBy("text").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    """(text, words, is_all_doc, is_unsafe): the sorted distinct words that found each text, and the flags, if there are any, of its first word.
+
+    Equal texts meet by a shuffle on the text with partial sets.
+    """
+    first = [F.min_by(c, "word").alias(c) for c in ("is_all_doc", "is_unsafe") if c in rows.columns]
+    return rows.groupBy("text").agg(F.array_sort(F.collect_set("word")).alias("words"), *first)
 
 
 def query_terms(query: Column) -> Column:
@@ -72,35 +79,40 @@ def query_terms(query: Column) -> Column:
     return F.filter(F.transform(parts, F.trim), lambda p: p != "")
 
 
-def has_term(tokens: Column, term: Column) -> Column:
-    """Whether tokens hold the tokens of a term one after another, the last also with ``s``, ``'s`` or ``’s``."""
-    k = F.size(term)
-    last = F.element_at(term, -1)
-    forms = F.array(last, F.concat(last, F.lit("s")), F.concat(last, F.lit("'s")), F.concat(last, F.lit("’s")))
-    starts = F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - k + 1)).otherwise(F.array().cast("array<int>"))
-    phrase = F.exists(starts, lambda i: F.array_contains(forms, F.element_at(tokens, i + k - 1)) & (F.slice(tokens, i, k - 1) == F.slice(term, F.lit(1), k - 1)))
-    return F.when(k == 0, False).when(k == 1, F.arrays_overlap(tokens, forms)).otherwise(phrase)
+def term_tokens(queries: Column) -> Column:
+    """The tokens of each phrase of the queries."""
+    return F.transform(F.flatten(F.transform(queries, query_terms)), words)
+
+
+def term_forms(terms: Column) -> Column:
+    """The forms under which terms, given as lists of tokens, stand in a line of :func:`token_line`: as they are, or with ``s``, ``'s`` or ``’s``."""
+    full = F.filter(terms, lambda t: F.size(t) > 0)
+    return F.flatten(F.transform(full, lambda t: F.transform(F.array(*[F.lit(x) for x in (" ", "s ", "'s ", "’s ")]), lambda end: F.concat(F.lit(" "), F.array_join(t, " "), end))))
 
 
-def has_any_term(tokens: Column, terms: Column) -> Column:
-    """Whether tokens hold any of the terms, given as lists of tokens."""
-    return F.exists(terms, lambda term: has_term(tokens, term))
+def token_line(sentence: Column) -> Column:
+    """The tokens of a sentence with a blank before, between and after; no token holds one."""
+    return F.concat(F.lit(" "), F.array_join(words(sentence), " "), F.lit(" "))
 
 
-def term_tokens(queries: Column) -> Column:
-    """The tokens of each phrase of the queries."""
-    return F.transform(F.flatten(F.transform(queries, query_terms)), words)
+def has_any_form(line: Column, forms: Column) -> Column:
+    """Whether a token line holds one of the forms."""
+    return F.exists(forms, lambda form: line.contains(form))
 
 
 def matched(rows: DataFrame) -> DataFrame:
-    """Rows (text, words) of which some sentence holds a term of ``words``, with ``terms``.
+    """Rows (text, words) of which some sentence holds a term of ``words``, with ``sents``: (s, hit) of each sentence.
 
-    A cheap containment test comes before splitting into sentences.
+    A cheap containment test comes before splitting into sentences; each sentence is cut into tokens once.
     """
-    rows = rows.select("*", term_tokens(F.col("words")).alias("terms"))
+    rows = rows.select("*", term_tokens(F.col("words")).alias("_terms"))
     low = F.lower("text")
-    maybe = F.exists("terms", lambda t: (F.size(t) > 0) & low.contains(F.element_at(t, 1)))
-    return rows.filter(maybe).filter(F.exists(sentences(F.col("text")), lambda s: has_any_term(words(s), F.col("terms"))))
+    maybe = F.exists("_terms", lambda t: (F.size(t) > 0) & low.contains(F.element_at(t, 1)))
+    rows = rows.filter(maybe).select("*", F.transform(sentences(F.col("text")), lambda s: F.struct(s.alias("s"), token_line(s).alias("line"))).alias("_lines"), term_forms(F.col("_terms")).alias("_forms"))
+    hits = F.transform("_lines", lambda x: F.struct(x["s"].alias("s"), has_any_form(x["line"], F.col("_forms")).alias("hit")))
+    # a one-row generator keeps the filter from being moved below, where it would tokenise again
+    rows = rows.select("*", F.explode(F.array(hits)).alias("sents")).drop("_lines", "_forms", "_terms")
+    return rows.filter(F.exists("sents", lambda x: x["hit"]))
 
 
 def _insert_in_sentence(s: Column, token: Column, position: Column, u: Column) -> Column:
@@ -124,20 +136,28 @@ def _by_position(rows: DataFrame) -> list[Column]:
 
 
 def augment_sentences(rows: DataFrame, table: TokenTable, seed: int = SEED) -> DataFrame:
-    """(words, text, token, position, aug_head, aug_mid, aug_tail) of matched rows.
+    """(words, text, is_all_doc, is_unsafe, matched, token, position, aug_head, aug_mid, aug_tail) of matched rows.
 
     One position and token is drawn for each text; the token goes into every sentence with a term, in the middle at a
-    blank drawn for the sentence. The text is never exploded.
+    blank drawn for the sentence. The text is never exploded. The flags come along if the rows have them.
     """
     position, token = _drawn(F.md5("text"), table, seed)
+    flags = [c for c in ("is_all_doc", "is_unsafe") if c in rows.columns]
     rows = matched(rows).select("*", position.alias("position"), token.alias("token"))
 
-    def one(s: Column, i: Column) -> Column:
+    def one(x: Column, i: Column) -> Column:
         u = sampling.u01(seed, F.concat_ws("/", F.md5("text"), i.cast("string")), "place")
-        return F.when(has_any_term(words(s), F.col("terms")), _insert_in_sentence(s, F.col("token"), F.col("position"), u)).otherwise(s)
+        return F.when(x["hit"], _insert_in_sentence(x["s"], F.col("token"), F.col("position"), u)).otherwise(x["s"])
+
+    rows = rows.select("*", F.array_join(F.transform("sents", one), "").alias("augmented"))
+    return rows.select("words", "text", *flags, F.lit(True).alias("matched"), "token", "position", *_by_position(rows))
+
 
-    rows = rows.select("*", F.array_join(F.transform(sentences(F.col("text")), one), "").alias("augmented"))
-    return rows.select("words", "text", "token", "position", *_by_position(rows))
+def match_counts(rows: DataFrame) -> DataFrame:
+    """(docs, matched, unmatched): of the texts (text, words), how many hold a term and how many don't."""
+    docs = rows.agg(F.count("*").alias("docs"))
+    hits = matched(rows).agg(F.count("*").alias("matched"))
+    return docs.crossJoin(F.broadcast(hits)).select("docs", "matched", (F.col("docs") - F.col("matched")).alias("unmatched"))  # one row each
 
 
 def augment_documents(rows: DataFrame, table: TokenTable, key: str, quoted: bool, change_case: bool, seed: int = SEED) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.sampling import even_stride
@@ -26,8 +26,8 @@ def parse_query(query: str) -> list[list[str]]:
     return out
 
 
-def _term_table(spark: SparkSession, queries: list[str]) -> DataFrame:
-    rows = []
+def _terms(queries: list[str]) -> list[tuple]:
+    rows: list[tuple] = []
     for q in sorted(set(queries)):
         for clause, phrases in enumerate(parse_query(q)):
             for phrase in phrases:
@@ -35,21 +35,26 @@ def _term_table(spark: SparkSession, queries: list[str]) -> DataFrame:
                 rows += [(q, len(parse_query(q)), clause, phrase, len(terms), i, t) for i, t in enumerate(terms)]
     if len(rows) > MAX_TERMS:
         raise ValueError(f"queries of more than {MAX_TERMS} terms")
-    return spark.createDataFrame(rows, "query string, clauses int, clause int, phrase string, size int, at int, term string")
+    return rows
 
 
-def postings(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(doc_id, pos, term) of every word of every document; positions from 0."""
-    return documents.filter(F.col("text").isNotNull()).select(F.col(key).alias("doc_id"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
+def postings(documents: DataFrame, key: str = "doc_id", only: list[str] | None = None) -> DataFrame:
+    """(doc_id, pos, term) of every word of every document, or of the words ``only``; positions from 0."""
+    rows = documents.filter(F.col("text").isNotNull()).select(F.col(key).alias("doc_id"), words(F.col("text")).alias("t"))
+    if only is None:
+        return rows.select("doc_id", F.posexplode("t").alias("pos", "term"))
+    placed = F.transform("t", lambda term, pos: F.struct(pos.alias("pos"), term.alias("term")))
+    return rows.select("doc_id", F.explode(F.filter(placed, lambda x: x["term"].isin(only))).alias("x")).select("doc_id", "x.pos", "x.term")
 
 
 def occurrences(documents: DataFrame, queries: list[str]) -> DataFrame:
     """(query, clauses, clause, phrase, doc_id, start) of each place where a phrase of a query stands.
 
-    The broadcast table of query terms drops all other postings before the only shuffle.
+    Words that no query has are dropped before the postings are made, so of a document only its hits are shuffled.
     """
-    terms = F.broadcast(_term_table(documents.sparkSession, queries))
-    hits = postings(documents).join(terms, "term")
+    rows = _terms(queries)
+    terms = F.broadcast(documents.sparkSession.createDataFrame(rows, "query string, clauses int, clause int, phrase string, size int, at int, term string"))
+    hits = postings(documents, only=sorted({r[-1] for r in rows})).join(terms, "term")
     by = ["query", "clauses", "clause", "phrase", "size", "doc_id", (F.col("pos") - F.col("at")).alias("start")]
     return hits.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") == F.col("size")).drop("n", "size")
 

@@ -7,7 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import collapse_spaces
+from lexloom.functions.text import normalized
+from lexloom.operators.ranks import numbered
+from lexloom.storage import staged
 
 #: Sources up to this many rows of quotas are broadcast.
 MAX_SOURCES = 10_000
@@ -38,22 +40,25 @@ def _language_of(label: Column) -> Column:
     return F.lower(F.element_at(F.split(F.trim(label), "[-_]"), 1))
 
 
-def quality_gate(records: DataFrame, gate: Gate = Gate()) -> DataFrame:
-    """(source, ord, text, hint) of records with a long enough text, the language and a hint from the floor on.
+def quality_gate(records: DataFrame, gate: Gate = Gate(), key: str = "record_id") -> DataFrame:
+    """(source, ord, text, hint) of records with a long enough text in ASCII, the language and a hint from the floor on.
 
-    A language that isn't known counts as the wanted one; a null, NaN hint fails. With a limit, the first of each source by ``record_id``.
+    A language that isn't known counts as the wanted one; a null, NaN hint fails, as does a row without key or source. A
+    record that is delivered again counts once: deliveries are alike, so the gate comes first and only what passes is
+    shuffled. With a limit, the first of each source by key.
     """
-    text = collapse_spaces(F.col("text"))
+    text = normalized(F.col("text"))
     if gate.max_len:
         text = F.left(text, F.lit(gate.max_len))
     lang = _language_of(F.col("lang"))
     known = F.length(lang) == 2
+    source = F.lower(F.trim("source"))
     floor = F.lit(gate.floor)
-    for source, value in gate.floors.items():
-        floor = F.when(F.col("source") == source, value).otherwise(floor)
-    rows = records.filter(F.col("source").isNotNull() & F.col("hint").isNotNull() & ~F.isnan("hint") & (F.col("hint") >= floor))
+    for name, value in gate.floors.items():
+        floor = F.when(source == name, value).otherwise(floor)
+    rows = records.filter(F.col(key).isNotNull() & F.col("source").isNotNull() & F.col("hint").isNotNull() & ~F.isnan("hint") & (F.col("hint") >= floor))
     rows = rows.filter(F.coalesce(~known | (lang == gate.language), F.lit(True)))
-    rows = rows.select("source", F.col("record_id").alias("ord"), text.alias("text"), "hint").filter(F.length("text") >= gate.min_len)
+    rows = rows.select(source.alias("source"), F.col(key).alias("ord"), text.alias("text"), "hint").filter(F.length("text") >= gate.min_len).dropDuplicates(["ord"])
     if gate.limit:
         rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("ord"))).filter(F.col("rn") <= gate.limit).drop("rn")
     return rows
@@ -80,12 +85,22 @@ def apportion(by_source: DataFrame, total: int | Column, weight: str = "n", out:
     return rows.select(*by_source.columns, share.alias(out))
 
 
-def ranked_by_source(rows: DataFrame, most: int) -> DataFrame:
-    """The ``most`` best rows of each source by hint, ties by order, with ``rank``; of equal texts of a source the first stands."""
+def first_of_texts(rows: DataFrame) -> DataFrame:
+    """Of equal texts of a source the first row by order; the first of each partition are found before the shuffle."""
     first = Window.partitionBy("source", "text").orderBy("ord")
-    best = Window.partitionBy("source").orderBy(F.desc("hint"), "ord")
-    rows = rows.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") == 1).drop("_rn")
-    return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
+    return rows.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") == 1).drop("_rn")
+
+
+def ranked_by_source(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` best rows of each source by hint, ties by order, with ``rank``; of equal texts of a source the first stands.
+
+    A source may hold any share of the rows: they are numbered in ranges and not in one task, without their texts, which
+    are joined to what is kept.
+    """
+    rows = staged(first_of_texts(rows), "to-rank")
+    numbers = numbered(rows.select("source", "ord", (-F.col("hint")).alias("_worse")), ["source"], ["_worse", "ord"])
+    kept = numbers.filter(F.col("rank") < most).select("source", "ord", (F.col("rank") + 1).cast("int").alias("rank"))
+    return rows.join(kept, ["source", "ord"])
 
 
 def topk_corpus(rows: DataFrame, target: int, reserve: float = 1.2) -> DataFrame:
@@ -94,11 +109,12 @@ def topk_corpus(rows: DataFrame, target: int, reserve: float = 1.2) -> DataFrame
     Quotas share ``target`` by the counts of ``rows``; each source keeps a reserve of ``reserve`` times its quota, from
     which a shortfall is refilled in proportion to what is left there. One round of refilling always suffices.
     """
-    caps = apportion(counts(rows), target)
+    rows = staged(rows, "gated")
+    caps = staged(apportion(counts(rows), target), "caps")
     few = caps.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
     small = F.broadcast(caps) if few else caps
     ranked = ranked_by_source(rows, int(target * reserve) + 1).join(small.select("source", "cap"), "source")
-    ranked = ranked.filter(F.col("rank") <= F.greatest(F.col("cap"), F.ceil(F.col("cap") * F.lit(reserve))))
+    ranked = staged(ranked.filter(F.col("rank") <= F.greatest(F.col("cap"), F.ceil(F.col("cap") * F.lit(reserve)))), "ranked")
     held = ranked.groupBy("source").agg(F.count_if(F.col("rank") <= F.col("cap")).alias("taken"), F.count_if(F.col("rank") > F.col("cap")).alias("extra"))
     short = F.lit(target) - F.sum("taken").over(Window.partitionBy(F.lit(1)))
     wanted = F.least(short, F.sum("extra").over(Window.partitionBy(F.lit(1))))

@@ -16,11 +16,15 @@ from lexloom.tables import table
 plans = Plans()
 #: Terms that are matched besides the seeds which found a text.
 TERMS = ["committee", "librarian", "night bus driver", "scumbag", "such name"]
+#: The classifier of the screening here: a text is unsafe if it holds one of these words.
+UNSAFE_WORDS = r"\b(bitch|asshole|scumbag|vermin|bullet|cunt|moron|bastard|slut|nudes|parasites?)\b"
+_ANSWER = screen.pattern_answer(UNSAFE_WORDS)
+_SYSTEM = "Say SAFE or UNSAFE."
 
 _JSON = """(SELECT *, CASE WHEN json_valid(spans_json) THEN spans_json WHEN json_valid(mended) THEN mended END AS js FROM
     (SELECT *, replace(replace(spans_json, '''''', '"'), '""', '"') AS mended FROM unsafe_candidates))"""
 _ITEM = {
-    True: "CASE json_type(x) WHEN 'ARRAY' THEN x->>0 WHEN 'OBJECT' THEN coalesce(x->>'text', x->>'span', x->>'$.\"0\"') WHEN 'NULL' THEN NULL ELSE x->>'$' END",
+    True: "CASE json_type(x) WHEN 'ARRAY' THEN x->>0 WHEN 'OBJECT' THEN coalesce(x->>'text', x->>'span', x->>'$.\"0\"', json_extract_string(x, '$.\"' || json_keys(x)[1] || '\"')) WHEN 'NULL' THEN NULL ELSE x->>'$' END",
     False: "CASE json_type(x) WHEN 'ARRAY' THEN x->>0 WHEN 'OBJECT' THEN x->>'$.\"0\"' END",
 }
 
@@ -30,9 +34,9 @@ def _spans(any_key: bool) -> str:
 
 
 _TEXTS = f"(SELECT *, {_spans(True)} AS text FROM {_JSON})"
-_STANDARD = f"""(SELECT trim(seed) AS word, text FROM {_TEXTS} WHERE doc_len IS NOT NULL AND doc_len = disp_len
+_STANDARD = f"""(SELECT trim(seed) AS word, text, true AS is_all_doc, true AS is_unsafe FROM {_TEXTS} WHERE doc_len IS NOT NULL AND doc_len = disp_len
     AND trim(seed) <> '' AND lower(trim(seed)) <> 'nan' AND trim(text) <> '' AND lower(trim(text)) <> 'nan')"""
-_BY_TEXT = f"(SELECT text, list_sort(list_distinct(list(word))) AS words FROM {_STANDARD} GROUP BY text)"
+_BY_TEXT = f"(SELECT text, list_sort(list_distinct(list(word))) AS words, arg_min(is_all_doc, word) AS is_all_doc, arg_min(is_unsafe, word) AS is_unsafe FROM {_STANDARD} GROUP BY text)"
 
 _WORD, _SENTENCE = text.WORD.replace("'", "''"), text.SENTENCE
 _words = lambda x: f"list_transform(regexp_extract_all({x}, '{_WORD}'), lambda w: lower(w))"
@@ -45,7 +49,7 @@ def _holds(tokens: str, terms: str) -> str:
     return f"len(list_filter({terms}, lambda t: len(t) > 0 AND (contains({joined}, ' ' || array_to_string(t, ' ') || ' ') OR contains({joined}, ' ' || array_to_string(t, ' ') || 's ') OR contains({joined}, ' ' || array_to_string(t, ' ') || '''s ') OR contains({joined}, ' ' || array_to_string(t, ' ') || '’s ')))) > 0"
 
 
-_FORMS = f"(SELECT text, words, {_TERMS} AS terms, {_sentences('text')} AS sents FROM (SELECT text, words || {TERMS} AS words FROM {_BY_TEXT}))"
+_FORMS = f"(SELECT text, words, is_all_doc, is_unsafe, {_TERMS} AS terms, {_sentences('text')} AS sents FROM (SELECT text, words || {TERMS} AS words, is_all_doc, is_unsafe FROM {_BY_TEXT}))"
 _MATCHED = f"(SELECT * FROM {_FORMS} WHERE len(list_filter(sents, lambda s: {_holds(_words('s'), 'terms')})) > 0)"
 
 
@@ -72,14 +76,14 @@ def _augmented_documents(rows: str, key: str, t: annotate.TokenTable, quoted: bo
 def _augmented_sentences(t: annotate.TokenTable) -> str:
     spaces = "list_filter(range(length(s) - length(ltrim(s, ' ' || chr(9) || chr(10) || chr(13))) + 1, length(rtrim(s, ' ')) + 1), lambda i: s[i] = ' ')"
     u = f"('0x' || substr(md5('{annotate.SEED}|' || md5(text) || '/' || (n - 1)::VARCHAR || '|place'), 1, 8))::BIGINT / 4294967296.0"
-    sents = f"(SELECT text, words, terms, position, token, unnest(sents) AS s, unnest(range(1, len(sents) + 1)) AS n FROM {_drawn(_MATCHED, 'md5(text)', t)})"
+    sents = f"(SELECT text, words, is_all_doc, is_unsafe, terms, position, token, unnest(sents) AS s, unnest(range(1, len(sents) + 1)) AS n FROM {_drawn(_MATCHED, 'md5(text)', t)})"
     cut = f"(SELECT *, {_holds(_words('s'), 'terms')} AS hit, {spaces} AS sp, {u} AS u FROM {sents})"
     place = "sp[(floor(u * len(sp)) + 1)::INT]"
     one = f"""CASE WHEN NOT hit THEN s WHEN position = 'head' THEN {_first('token', 'upper')} || ', ' || {_first('s', 'lower')}
         WHEN position = 'mid' AND len(sp) > 0 THEN substr(s, 1, {place} - 1) || ', ' || token || ', ' || substr(s, {place} + 1) ELSE s || ', ' || token END"""
-    whole = f"(SELECT text, words, position, token, string_agg({one}, '' ORDER BY n) AS augmented FROM {cut} GROUP BY ALL)"
+    whole = f"(SELECT text, words, is_all_doc, is_unsafe, position, token, string_agg({one}, '' ORDER BY n) AS augmented FROM {cut} GROUP BY ALL)"
     cols = ", ".join(f"CASE WHEN position = '{p}' THEN augmented ELSE '' END AS aug_{p}" for p in annotate.POSITIONS)
-    return f"SELECT array_to_string(words, '|') AS words, text, token, position, {cols} FROM {whole}"
+    return f"SELECT array_to_string(words, '|') AS words, text, is_all_doc, is_unsafe, true AS matched, token, position, {cols} FROM {whole}"
 
 
 def _with_terms(rows: DataFrame) -> DataFrame:
@@ -100,35 +104,50 @@ def spans_any_form(spark: SparkSession, folder: str) -> DataFrame:
     return _candidates(spark, folder).select("candidate_id", spans_text(F.col("spans_json")).alias("text"))
 
 
-@plans.query(f"SELECT word, text FROM {_STANDARD}")
+@plans.query(f"SELECT word, text, is_all_doc, is_unsafe FROM {_STANDARD}")
 def std_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return annotate.standardised(_candidates(spark, folder))
 
 
-@plans.query(f"SELECT text, array_to_string(words, '|') AS words FROM {_BY_TEXT}")
+@plans.query(f"SELECT text, array_to_string(words, '|') AS words, is_all_doc, is_unsafe FROM {_BY_TEXT}")
 def agg_words_by_text(spark: SparkSession, folder: str) -> DataFrame:
-    return annotate.by_text(annotate.standardised(_candidates(spark, folder))).select("text", F.array_join("words", "|").alias("words"))
+    return annotate.by_text(annotate.standardised(_candidates(spark, folder))).select("text", F.array_join("words", "|").alias("words"), "is_all_doc", "is_unsafe")
 
 
-_SCREENED = f"""SELECT candidate_id, word, text, is_all_doc, CASE WHEN is_all_doc AND trim(text) <> '' THEN regexp_matches(lower(text), '{screen.LEXICON}') END AS is_unsafe FROM
-    (SELECT candidate_id, seed AS word, coalesce(left(text, {screen.MOST_CHARS}), '') AS text, coalesce(doc_len, 0) = coalesce(disp_len, 0) AND coalesce(disp_len, 0) <= {screen.MOST_SHOWN} AS is_all_doc FROM {_TEXTS})"""
+_MODEL_TOKENS = f"regexp_extract_all(text, '{screen._TOKEN}')"
+_CUT = f"CASE WHEN len({_MODEL_TOKENS}) > {screen.MOST_TOKENS} THEN array_to_string({_MODEL_TOKENS}[1:{screen.MOST_TOKENS}], '') ELSE text END"
+_SCREENED = f"""SELECT candidate_id, word, text, is_all_doc, CASE WHEN is_all_doc AND trim(text) <> '' THEN regexp_matches(lower(text), '{UNSAFE_WORDS}') END AS is_unsafe FROM
+    (SELECT candidate_id, seed AS word, coalesce(left({_CUT}, {screen.MOST_CHARS}), '') AS text, coalesce(doc_len, 0) = coalesce(disp_len, 0) AND coalesce(disp_len, 0) <= {screen.MOST_SHOWN} AS is_all_doc FROM {_TEXTS})"""
 
 
 @plans.query(_SCREENED)
 def screen_tristate(spark: SparkSession, folder: str) -> DataFrame:
-    return screen.screened(_candidates(spark, folder))
+    return screen.screened(_candidates(spark, folder), _ANSWER)
 
 
 @plans.query(_SCREENED)
 def stream_screening(spark: SparkSession, folder: str) -> DataFrame:
     """The screening as a stream over the files of the table, in batches with durable progress."""
-    return jobs.screened_by_stream(spark, f"{folder}/unsafe_candidates.parquet")
+    return jobs.screened_by_stream(spark, f"{folder}/unsafe_candidates.parquet", _ANSWER)
 
 
 @plans.query(f"SELECT text, array_to_string(words, '|') AS words, len(sents) AS sentences FROM {_MATCHED}")
 def match_inflected(spark: SparkSession, folder: str) -> DataFrame:
     rows = annotate.matched(_with_terms(annotate.standardised(_candidates(spark, folder))))
-    return rows.select("text", F.array_join("words", "|").alias("words"), F.size(text.sentences(F.col("text"))).alias("sentences"))
+    return rows.select("text", F.array_join("words", "|").alias("words"), F.size("sents").alias("sentences"))
+
+
+@plans.query(f"SELECT docs, matched, docs - matched AS unmatched FROM (SELECT count(*) AS docs FROM {_BY_TEXT}), (SELECT count(*) AS matched FROM {_MATCHED})")
+def match_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many texts hold a term and how many stay as they are."""
+    return annotate.match_counts(_with_terms(annotate.standardised(_candidates(spark, folder))))
+
+
+@plans.query(f"SELECT candidate_id, '{_SYSTEM}' || chr(10) || chr(10) || 'User: ' || text || chr(10) || 'Assistant:' AS prompt, '[' || '{_SYSTEM}' || '] ' || text AS templated FROM ({_SCREENED})")
+def screen_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The prompts of a classifier, by a template and without one."""
+    rows = screen.screened(_candidates(spark, folder), _ANSWER)
+    return rows.select("candidate_id", screen.rendered_prompt(F.col("text"), _SYSTEM).alias("prompt"), screen.rendered_prompt(F.col("text"), _SYSTEM, "[{system}] {text}").alias("templated"))
 
 
 def _sentence_query(spark: SparkSession, folder: str, t: annotate.TokenTable) -> DataFrame:
@@ -141,11 +160,11 @@ def aug_sentence_all(spark: SparkSession, folder: str) -> DataFrame:
     return _sentence_query(spark, folder, annotate.SENTENCE_ALL)
 
 
-@plans.query(_augmented_sentences(annotate.SENTENCE_UNSAFE).replace(_STANDARD, f"(SELECT trim(word) AS word, text FROM ({_SCREENED}) WHERE is_unsafe AND trim(word) <> '')"))
+@plans.query(_augmented_sentences(annotate.SENTENCE_UNSAFE).replace(_STANDARD, f"(SELECT trim(word) AS word, text, is_all_doc, is_unsafe FROM ({_SCREENED}) WHERE is_unsafe AND trim(word) <> '')"))
 def aug_sentence_unsafe(spark: SparkSession, folder: str) -> DataFrame:
     """Insertion into the texts that the screening found unsafe."""
-    unsafe = screen.screened(_candidates(spark, folder)).filter(text.truthy(F.col("is_unsafe")))
-    rows = unsafe.select(F.trim("word").alias("word"), "text").filter(F.col("word") != "")
+    unsafe = screen.screened(_candidates(spark, folder), _ANSWER).filter(text.truthy(F.col("is_unsafe")))
+    rows = unsafe.select(F.trim("word").alias("word"), "text", "is_all_doc", "is_unsafe").filter(F.col("word") != "")
     return annotate.augment_sentences(_with_terms(rows), annotate.SENTENCE_UNSAFE).withColumn("words", F.array_join("words", "|"))
 
 
@@ -187,14 +206,20 @@ def text_normalized(spark: SparkSession, folder: str) -> DataFrame:
     from lexloom.operators.quota import deliveries_once
 
     rows = deliveries_once(table(spark, folder, "toxic_document"))
-    return rows.select("record_id", text.collapse_spaces(F.col("text")).alias("collapsed"), F.nullif(text.identifier(F.col("thread_id"), default="\x00"), F.lit("\x00")).alias("tag"))
+    return rows.select("record_id", text.normalized(F.col("text")).alias("collapsed"), F.nullif(text.identifier(F.col("thread_id"), default="\x00"), F.lit("\x00")).alias("tag"))
 
 
-@plans.query()
+@plans.query(f"SELECT doc_id, {quotas.COLLAPSED} AS ascii, CASE WHEN strlen(text) = length(text) THEN lower(text) END AS folded FROM {quotas.ascii_sql('documents', 'text')}")
 def text_ascii_casefold(spark: SparkSession, folder: str) -> DataFrame:
-    """Transliteration and full case folding, which no built-in has."""
-    rows = table(spark, folder, "documents")
-    return rows.select("doc_id", text.normalized(F.col("text")).alias("ascii"), text.nfkc_casefold(F.col("text")).alias("folded"))
+    """Transliteration of all texts; full case folding, which SQL lacks, of those in ASCII."""
+    t = F.col("text")
+    return table(spark, folder, "documents").select("doc_id", text.normalized(t).alias("ascii"), F.when(F.octet_length(t) == F.length(t), text.nfkc_casefold(t)).alias("folded"))
+
+
+@plans.query()
+def text_casefold(spark: SparkSession, folder: str) -> DataFrame:
+    """NFKC with full case folding of all texts."""
+    return table(spark, folder, "documents").select("doc_id", text.nfkc_casefold(F.col("text")).alias("folded"))
 
 
 @plans.query(

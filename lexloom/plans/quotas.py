@@ -5,15 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions import text
 from lexloom.operators import projections, quota
 from lexloom.plans.base import Plans
 from lexloom.tables import table
 
 plans = Plans()
-TARGET = 500
+TARGET, SMALL_TARGET, RESERVE = 100_000, 500, 1.2
 
-RECORDS = "(SELECT DISTINCT record_id, text, hint, lower(trim(source)) AS source, lang, thread_id, created_at FROM toxic_document WHERE record_id IS NOT NULL)"
-COLLAPSED = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\r\f\x0B]+', ' ', 'g'), '[ \n]*\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_IN_ASCII = {c: text.transliterated(c) for c in map(chr, [*range(128, 0xD800), *range(0xE000, 0x20000)])}
+_TRANSLIT = "MAP {" + ", ".join(f"{_quoted(c)}: {_quoted(x)}" for c, x in _IN_ASCII.items() if x) + "}"
+
+
+def ascii_sql(table: str, column: str, out: str = "ascii") -> str:
+    """``table`` with the transliterated ``column`` as ``out``, for an SQL oracle."""
+    each = f"CASE WHEN unicode(c) < 128 THEN c ELSE coalesce(_t[c], '') END"
+    whole = f"array_to_string(list_transform(string_split({column}, ''), lambda c: {each}), '')"
+    return f"(SELECT * EXCLUDE (_t), CASE WHEN strlen({column}) = length({column}) THEN {column} ELSE {whole} END AS {out} FROM (SELECT *, {_TRANSLIT} AS _t FROM {table}))"
+
+
+_ONCE = "(SELECT DISTINCT record_id, text, hint, lower(trim(source)) AS source, lang, thread_id, created_at FROM toxic_document WHERE record_id IS NOT NULL)"
+RECORDS = ascii_sql(_ONCE, "text")
+COLLAPSED = r"trim(regexp_replace(regexp_replace(coalesce(ascii, ''), '[ \t\r\f\x0B]+', ' ', 'g'), '[ \n]*\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
 _LANG = "lower(regexp_split_to_array(trim(lang), '[-_]')[1])"
 GATED = f"""(SELECT source, record_id AS ord, {COLLAPSED} AS text, hint FROM {RECORDS}
     WHERE hint IS NOT NULL AND NOT isnan(hint) AND hint >= 0.5 AND source IS NOT NULL
@@ -26,13 +44,21 @@ def _apportion(rows: str, total: str, weight: str, out: str) -> str:
         FROM (SELECT source, {weight}, sum({weight}) OVER () AS whole, {total} AS t, CASE WHEN sum({weight}) OVER () > 0 THEN {weight}::DOUBLE / (sum({weight}) OVER ()) * {total} ELSE 0 END AS raw FROM {rows}))"""
 
 
-_CAPS = _apportion(_COUNTS, str(TARGET), "n", "cap")
 _RANKED = f"""(SELECT source, ord, text, hint, row_number() OVER (PARTITION BY source ORDER BY hint DESC, ord) AS rank FROM
     (SELECT *, row_number() OVER (PARTITION BY source, text ORDER BY ord) AS rn FROM {GATED}) WHERE rn = 1)"""
-_HELD = f"(SELECT r.*, c.cap FROM {_RANKED} r JOIN {_CAPS} c USING (source) WHERE r.rank <= greatest(c.cap, ceil(c.cap * 1.2)))"
-_EXTRA = f"""(SELECT source, taken, extra, greatest(least({TARGET} - sum(taken) OVER (), sum(extra) OVER ()), 0) AS short FROM
-    (SELECT source, count(*) FILTER (rank <= cap) AS taken, count(*) FILTER (rank > cap) AS extra FROM {_HELD} GROUP BY source))"""
-_REFILL = _apportion(_EXTRA, "short", "extra", "more")
+
+
+def _caps(target: int) -> str:
+    return _apportion(_COUNTS, str(target), "n", "cap")
+
+
+def _corpus(target: int) -> str:
+    held = f"(SELECT r.*, c.cap FROM {_RANKED} r JOIN {_caps(target)} c USING (source) WHERE r.rank <= greatest(c.cap, ceil(c.cap * {RESERVE})))"
+    extra = f"""(SELECT source, taken, extra, greatest(least({target} - sum(taken) OVER (), sum(extra) OVER ()), 0) AS short FROM
+        (SELECT source, count(*) FILTER (rank <= cap) AS taken, count(*) FILTER (rank > cap) AS extra FROM {held} GROUP BY source))"""
+    refill = _apportion(extra, "short", "extra", "more")
+    return f"""SELECT h.source, h.ord, h.text, h.hint AS tox_score, h.rank, CASE WHEN h.rank <= h.cap THEN 'quota' ELSE 'refill' END AS part
+        FROM {held} h JOIN {refill} m USING (source) WHERE h.rank <= h.cap + m.more"""
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +67,7 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
 
 def gated(spark: SparkSession, folder: str) -> DataFrame:
     """The records that pass the gate of the production settings."""
-    return quota.quality_gate(_records(spark, folder))
+    return quota.quality_gate(table(spark, folder, "toxic_document"))
 
 
 @plans.query(f"SELECT source, ord, text, hint FROM {GATED}")
@@ -51,7 +77,7 @@ def flt_quality_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 @plans.query(f"SELECT source, ord, text, hint FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) AS rn FROM {GATED}) WHERE rn <= 200")
 def flt_gate_with_limit(spark: SparkSession, folder: str) -> DataFrame:
-    return quota.quality_gate(_records(spark, folder), quota.Gate(limit=200))
+    return quota.quality_gate(table(spark, folder, "toxic_document"), quota.Gate(limit=200))
 
 
 @plans.query(f"SELECT source, n FROM {_COUNTS}")
@@ -59,19 +85,25 @@ def agg_source_counts(spark: SparkSession, folder: str) -> DataFrame:
     return quota.counts(gated(spark, folder))
 
 
-@plans.query(f"SELECT source, n, cap FROM {_CAPS}")
+@plans.query(f"SELECT source, n, cap FROM {_caps(TARGET)}")
 def quota_apportion(spark: SparkSession, folder: str) -> DataFrame:
     return quota.apportion(quota.counts(gated(spark, folder)), TARGET)
 
 
-@plans.query(f"SELECT source, ord, hint, rank FROM {_RANKED} WHERE rank <= 300")
+@plans.query(f"SELECT source, ord, hint, rank FROM {_RANKED} WHERE rank <= {int(TARGET * RESERVE)}")
 def win_source_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return quota.ranked_by_source(gated(spark, folder), 300).select("source", "ord", "hint", "rank")
+    return quota.ranked_by_source(gated(spark, folder), int(TARGET * RESERVE)).select("source", "ord", "hint", "rank")
 
 
-@plans.query(f"SELECT h.source, h.ord, h.text, h.hint AS tox_score, h.rank, CASE WHEN h.rank <= h.cap THEN 'quota' ELSE 'refill' END AS part FROM {_HELD} h JOIN {_REFILL} m USING (source) WHERE h.rank <= h.cap + m.more")
+@plans.query(_corpus(TARGET))
 def quota_topk_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return quota.topk_corpus(gated(spark, folder), TARGET)
+    return quota.topk_corpus(gated(spark, folder), TARGET, RESERVE)
+
+
+@plans.query(_corpus(SMALL_TARGET))
+def quota_topk_small(spark: SparkSession, folder: str) -> DataFrame:
+    """A corpus that is much smaller than what passes the gate, so quotas and refills decide."""
+    return quota.topk_corpus(gated(spark, folder), SMALL_TARGET, RESERVE)
 
 
 _H = "CASE WHEN isnan(hint) THEN NULL ELSE hint END"

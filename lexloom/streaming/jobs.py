@@ -2,31 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators.screen import screened
-from lexloom.sources.files import append_new
 from lexloom.storage import fresh_path
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 
-def screen_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str) -> None:
-    """Screens all files that arrived under ``source`` and appends to ``target``, each candidate once.
+def screen_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str, answer: Callable[[Column], Column]) -> None:
+    """Screens all files that arrived under ``source`` and adds a folder ``batch=n`` for each batch to ``target``, each candidate once.
 
-    A second run goes on after the files of the first. A batch that is repeated after a failure adds nothing twice.
+    A second run goes on after the files of the first. The state of the stream knows the candidates of earlier batches,
+    so the target is never read; a batch that is repeated after a failure replaces its own folder.
     """
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(source)
-    query = rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: append_new(screened(batch), target, "candidate_id")).start()
-    query.awaitTermination()
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(source).dropDuplicates(["candidate_id"])
+        write = lambda batch, n: screened(batch, answer).write.mode("overwrite").parquet(f"{target}/batch={n}")
+        rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
 
 
-def screened_by_stream(spark: SparkSession, source: str) -> DataFrame:
+def screened_by_stream(spark: SparkSession, source: str, answer: Callable[[Column], Column]) -> DataFrame:
     """The result of :func:`screen_stream` into a fresh place in the shared folder."""
     at = fresh_path(spark, "stream")
-    schema = spark.read.parquet(source).schema
+    rows = spark.read.parquet(source)
     pattern = f"{source[:-1]}[{source[-1]}]"  # a pattern may also name a single file, which a plain path to watch may not
-    screen_stream(spark, pattern, schema, f"{at}/out", f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/out")
+    screen_stream(spark, pattern, rows.schema, f"{at}/out", f"{at}/checkpoint", answer)
+    out = screened(rows, answer).schema
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/out")
+    if not found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found):
+        return spark.createDataFrame([], out)
+    return spark.read.schema(out).parquet(f"{at}/out").select(*out.names)
 
 
 def event_windows(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

@@ -22,7 +22,7 @@ def numbered(rows: DataFrame, group: list[str], order: str | list[str], out: str
     parts = max(1, -(-rows.count() // ROWS_PER_RANGE))
     cut = staged(rows.repartitionByRange(parts, *group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = cut.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("_n").over(Window.partitionBy(*group, F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(*group, "_range", F.coalesce(before, F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
     placed = cut.withColumn("_at", inside).join(starts, [*group, "_range"])

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.sampling import u01_sql
 from lexloom.operators import similarity, vocab
+from lexloom.operators.ranks import numbered
 from lexloom.plans.base import Plans
 from lexloom.plans.vocabulary import _COUNTS
+from lexloom.storage import staged
 from lexloom.tables import table
 
 plans = Plans()
-SIZE, HALF, K, CONTROLS = 128, 64, 20, 50
+SIZE, HALF, K, CONTROLS = 128, 64, 200, 200
 
 _VALID = f"(SELECT row_ix AS id, matrix::DOUBLE[] AS vec FROM word_matrix WHERE len(matrix) = {SIZE} AND len(list_filter(matrix, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(matrix, lambda x: x <> 0)) > 0)"
 _HALVES = {"a": f"(SELECT id, vec[1:{HALF}] AS vec FROM {_VALID})", "b": f"(SELECT id, vec[{HALF + 1}:{SIZE}] AS vec FROM {_VALID})"}
@@ -30,7 +32,7 @@ def _pairs(half: str, where: str = _QUERY) -> str:
 
 
 def _near(half: str, metric: str, where: str = _QUERY, k: int = K) -> str:
-    order = "cosine DESC, id" if metric == "cosine" else "distance, id"
+    order = "round(-cosine, 9), id" if metric == "cosine" else "round(distance, 9), id"
     return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {order}) AS rank FROM {_pairs(half, where)}) WHERE rank <= {k})"
 
 
@@ -49,66 +51,120 @@ def _neighbours(spark: SparkSession, folder: str, half: str, metric: str, k: int
     return similarity.compared(vectors, vectors.filter(F.col("id") % 50 == 0), k, metric)
 
 
-@plans.query(f"SELECT query, rank, round(cosine, 4) AS cosine, round(1 - cosine, 4) AS cosine_distance FROM {_near('a', 'cosine')}")
+@plans.query(f"SELECT query, rank, id, round(cosine, 4) AS cosine, round(1 - cosine, 4) AS cosine_distance FROM {_near('a', 'cosine')}")
 def knn_cosine(spark: SparkSession, folder: str) -> DataFrame:
     rows = _neighbours(spark, folder, "a", "cosine")
-    return rows.select("query", "rank", F.round("cosine", 4).alias("cosine"), F.round(1 - F.col("cosine"), 4).alias("cosine_distance"))
+    return rows.select("query", "rank", "id", F.round("cosine", 4).alias("cosine"), F.round(1 - F.col("cosine"), 4).alias("cosine_distance"))
 
 
-@plans.query(f"SELECT query, rank, round(distance, 3) AS distance FROM {_near('b', 'euclid')}")
+@plans.query(f"SELECT query, rank, id, round(distance, 3) AS distance FROM {_near('b', 'euclid')}")
 def knn_euclid(spark: SparkSession, folder: str) -> DataFrame:
-    return _neighbours(spark, folder, "b", "euclid").select("query", "rank", F.round("distance", 3).alias("distance"))
+    return _neighbours(spark, folder, "b", "euclid").select("query", "rank", "id", F.round("distance", 3).alias("distance"))
 
 
-@plans.query(f"SELECT query, round(avg_topk, 4) AS avg_topk, round(best, 4) AS best FROM {_ranked('a', 'cosine')}")
+_NAMED = "(SELECT row_ix AS query, min(trim(words)) AS word FROM word_list WHERE trim(words) <> '' GROUP BY row_ix)"
+
+
+def _names(spark: SparkSession, folder: str) -> DataFrame:
+    words = table(spark, folder, "word_list").filter(F.trim("words") != "")
+    return words.groupBy(F.col("row_ix").alias("query")).agg(F.min(F.trim("words")).alias("word"))
+
+
+def _with_best_word(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    return rows.join(_names(spark, folder).select(F.col("query").alias("best_id"), F.col("word").alias("best_word")), "best_id", "left")
+
+
+@plans.query(
+    f"""SELECT row_number() OVER (ORDER BY round(-avg_topk, 6), round(-best, 6), query) AS rank, query, round(avg_topk, 4) AS avg_topk, round(best, 4) AS best, best_id, w.word AS best_word
+        FROM {_ranked('a', 'cosine')} LEFT JOIN (SELECT query AS best_id, word FROM {_NAMED}) w USING (best_id)"""
+)
 def rank_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    """The ranking of queries by their mean cosine to the nearest."""
-    rows = similarity.summary(_neighbours(spark, folder, "a", "cosine"))
-    return rows.orderBy("avg_topk", "best", "query").select("query", F.round("avg_topk", 4).alias("avg_topk"), F.round("best", 4).alias("best"))
+    """The ranking of queries by their mean cosine to the nearest, the most similar first, with the best word of each."""
+    rows = similarity.ranked(similarity.summary(_neighbours(spark, folder, "a", "cosine")), {"avg_topk": True, "best": True, "query": False})
+    return _with_best_word(rows, spark, folder).select("rank", "query", F.round("avg_topk", 4).alias("avg_topk"), F.round("best", 4).alias("best"), "best_id", "best_word")
 
 
-@plans.query(f"SELECT query, round(avg_topk, 3) AS avg_topk, round(best, 3) AS best FROM {_ranked('b', 'euclid')}")
+@plans.query(
+    f"""SELECT row_number() OVER (ORDER BY round(avg_topk, 6), query) AS rank, query, round(avg_topk, 3) AS avg_topk, round(best, 3) AS best, best_id, w.word AS best_word
+        FROM {_ranked('b', 'euclid')} LEFT JOIN (SELECT query AS best_id, word FROM {_NAMED}) w USING (best_id)"""
+)
 def rank_euclid(spark: SparkSession, folder: str) -> DataFrame:
-    rows = similarity.summary(_neighbours(spark, folder, "b", "euclid"), "euclid")
-    return rows.orderBy(F.desc("avg_topk"), "query").select("query", F.round("avg_topk", 3).alias("avg_topk"), F.round("best", 3).alias("best"))
+    """The ranking of queries by their mean distance to the nearest, the nearest first."""
+    rows = similarity.ranked(similarity.summary(_neighbours(spark, folder, "b", "euclid"), "euclid"), {"avg_topk": False, "query": False})
+    return _with_best_word(rows, spark, folder).select("rank", "query", F.round("avg_topk", 3).alias("avg_topk"), F.round("best", 3).alias("best"), "best_id", "best_word")
+
+
+@plans.query(f"SELECT row_number() OVER (ORDER BY coalesce(c.count, 0) DESC, w.word, query) AS rank, query, w.word, coalesce(c.count, 0) AS count FROM {_NAMED} w LEFT JOIN {_COUNTS} c ON lower(w.word) = c.word WHERE query % 50 = 0")
+def rank_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    """The ranking of the words of the queries by how often the documents have them."""
+    rows = _names(spark, folder).filter(F.col("query") % 50 == 0).withColumn("low", F.lower("word"))
+    counts = vocab.word_counts(table(spark, folder, "documents")).withColumnRenamed("word", "low")
+    rows = rows.join(counts, "low", "left").select("query", "word", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+    placed = numbered(rows.withColumn("_fewer", -F.col("count")), [], ["_fewer", "word", "query"])
+    return placed.select((F.col("rank") + 1).alias("rank"), "query", "word", "count")
 
 
 _DRAWN = f"id IN (SELECT id FROM {_HALVES['a']} WHERE len(list_filter(vec, lambda x: x <> 0)) > 0 ORDER BY {u01_sql(42, 'id', 'control')}, id LIMIT {CONTROLS})"
 
 
-@plans.query(f"SELECT query, round(avg_topk, 4) AS avg_topk, round(best, 4) AS best FROM {_ranked('a', 'cosine', _DRAWN)}")
+@plans.query(f"SELECT query, round(avg_topk, 4) AS avg_topk, round(best, 4) AS best, best_id FROM {_ranked('a', 'cosine', _DRAWN)}")
 def real_control(spark: SparkSession, folder: str) -> DataFrame:
     """The same measure for a drawn control group of rows."""
     vectors = _half(spark, folder, "a")
     rows = similarity.summary(similarity.compared(vectors, similarity.sampled(vectors, CONTROLS), K))
-    return rows.select("query", F.round("avg_topk", 4).alias("avg_topk"), F.round("best", 4).alias("best"))
+    return rows.select("query", F.round("avg_topk", 4).alias("avg_topk"), F.round("best", 4).alias("best"), "best_id")
 
 
-_METRICS = f"""(SELECT coalesce(a.query, b.query) AS id, round(a.avg_topk, 6) AS cos_a, round(b.avg_topk, 6) AS cos_b, round(c.avg_topk, 6) AS euc_a, round(d.avg_topk, 6) AS euc_b, w.count
-    FROM {_ranked('a', 'cosine')} a FULL JOIN {_ranked('b', 'cosine')} b USING (query) LEFT JOIN {_ranked('a', 'euclid')} c USING (query) LEFT JOIN {_ranked('b', 'euclid')} d USING (query)
-    LEFT JOIN (SELECT row_ix AS query, max(c.count) AS count FROM word_list JOIN {_COUNTS} c ON lower(trim(words)) = c.word GROUP BY row_ix) w USING (query))"""
-_FLAGGED = f"""(SELECT id, coalesce(cos_a < avg(cos_a) OVER () AND cos_b < avg(cos_b) OVER (), false) AS l, coalesce(euc_a > avg(euc_a) OVER () AND euc_b > avg(euc_b) OVER (), false) AS f, coalesce(count < avg(count) OVER (), false) AS r FROM {_METRICS})"""
+_METRICS = f"""(SELECT id, round(a.avg_topk, 6) AS cos_a, round(b.avg_topk, 6) AS cos_b, round(c.avg_topk, 6) AS euc_a, round(d.avg_topk, 6) AS euc_b, w.count
+    FROM (SELECT query AS id, avg_topk FROM {_ranked('a', 'cosine')}) a FULL JOIN (SELECT query AS id, avg_topk FROM {_ranked('b', 'cosine')}) b USING (id)
+    FULL JOIN (SELECT query AS id, avg_topk FROM {_ranked('a', 'euclid')}) c USING (id) FULL JOIN (SELECT query AS id, avg_topk FROM {_ranked('b', 'euclid')}) d USING (id)
+    FULL JOIN (SELECT row_ix AS id, max(c.count) AS count FROM word_list JOIN {_COUNTS} c ON lower(trim(words)) = c.word WHERE row_ix % 50 = 0 GROUP BY row_ix) w USING (id))"""
 
 
-@plans.query(f"SELECT id, l::INT AS cosine_low, f::INT AS euclid_far, r::INT AS freq_low, (l OR f OR r)::INT AS in_union, (l AND f AND r)::INT AS in_intersection FROM {_FLAGGED}")
-def select_by_means(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows flagged against the means of five metrics, which are joined by row; a metric may be missing."""
+def _flagged(rule: str) -> str:
+    far = ">" if rule == "high" else "<"
+    return f"""(SELECT id, '{rule}' AS euclid_rule, coalesce(cos_a < avg(cos_a) OVER () AND cos_b < avg(cos_b) OVER (), false) AS l,
+        coalesce(euc_a {far} avg(euc_a) OVER () AND euc_b {far} avg(euc_b) OVER (), false) AS f, coalesce(count < avg(count) OVER (), false) AS r FROM {_METRICS})"""
 
-    def metric(half: str, kind: str, name: str) -> DataFrame:
-        return similarity.summary(_neighbours(spark, folder, half, kind), kind).select(F.col("query").alias("id"), F.col("avg_topk").alias(name))
 
-    words = table(spark, folder, "word_list").select(F.col("row_ix").alias("id"), F.lower(F.trim("words")).alias("word"))
+@plans.query(" UNION ALL ".join(f"SELECT id, euclid_rule, l::INT AS cosine_low, f::INT AS euclid_far, r::INT AS freq_low, (l OR f OR r)::INT AS in_union, (l AND f AND r)::INT AS in_intersection FROM {_flagged(rule)}" for rule in ("high", "low")))
+def select_by_means(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows flagged against the means of five metrics, which are joined by row, under both rules for the distance; a metric may be missing."""
+    joined = None
+    for half in ("a", "b"):
+        vectors = _half(spark, folder, half)
+        near = staged(similarity.compared_by(vectors, vectors.filter(F.col("id") % 50 == 0), K, ("cosine", "euclid")), "near")
+        for kind, name in (("cosine", f"cos_{half}"), ("euclid", f"euc_{half}")):
+            metric = similarity.summary(near.filter(F.col("metric") == kind), kind).select(F.col("query").alias("id"), F.col("avg_topk").alias(name))
+            joined = metric if joined is None else joined.join(metric, "id", "full")
+    words = table(spark, folder, "word_list").filter(F.col("row_ix") % 50 == 0).select(F.col("row_ix").alias("id"), F.lower(F.trim("words")).alias("word"))
     counts = words.join(vocab.word_counts(table(spark, folder, "documents")), "word").groupBy("id").agg(F.max("count").alias("count"))
-    rows = metric("a", "cosine", "cos_a").join(metric("b", "cosine", "cos_b"), "id", "full").join(metric("a", "euclid", "euc_a"), "id", "left").join(metric("b", "euclid", "euc_b"), "id", "left").join(counts, "id", "left")
-    return similarity.select_by_means(rows)
+    rows = staged(joined.join(counts, "id", "full"), "metrics")
+    return similarity.select_by_means(rows).unionByName(similarity.select_by_means(rows, euclid_high=False))
 
 
 @plans.query(f"SELECT query, count(*) AS n, round(avg(cosine), 4) AS avg_cosine, round(min(cosine), 4) AS min_cosine, round(max(cosine), 4) AS max_cosine FROM {_pairs('a')} GROUP BY query")
 def sim_full(spark: SparkSession, folder: str) -> DataFrame:
     """Figures of the whole similarity vector of each query."""
     vectors = _half(spark, folder, "a")
-    every = similarity.compared(vectors, vectors.filter(F.col("id") % 50 == 0), 0)
-    return every.groupBy("query").agg(F.count("*").alias("n"), *[F.round(f("cosine"), 4).alias(f"{n}_cosine") for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))])
+    every = similarity.similarity_figures(vectors, vectors.filter(F.col("id") % 50 == 0))
+    return every.select("query", "n", *[F.round(c, 4).alias(c) for c in ("avg_cosine", "min_cosine", "max_cosine")])
+
+
+@plans.query(f"SELECT query, id, round(cosine, 4) AS cosine FROM {_pairs('a', 'id IN (SELECT id FROM ' + _VALID + ' ORDER BY ' + u01_sql(42, 'id', 'control') + ', id LIMIT 20)')}")
+def sim_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole similarity vectors of twenty drawn rows."""
+    drawn = similarity.sampled(similarity.valid_vectors(table(spark, folder, "word_matrix"), SIZE).select("id"), 20)
+    vectors = _half(spark, folder, "a")
+    rows = similarity.compared(vectors, vectors.join(F.broadcast(drawn), "id", "left_semi"), 0)
+    return rows.select("query", "id", F.round("cosine", 4).alias("cosine"))
+
+
+@plans.query()
+def vec_encoded(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of the list through a pluggable encoder."""
+    words = table(spark, folder, "word_list").select(F.trim("words").alias("word")).filter(F.col("word") != "").distinct()
+    return similarity.encoded(words, similarity.hashed_ngrams)
 
 
 @plans.query(f"SELECT id, round(sqrt(list_dot_product(vec, vec)) + 1e-12, 4) AS norm FROM {_VALID}")

@@ -54,3 +54,10 @@ def even_stride(lo: Column, hi: Column, k: int) -> Column:
     n = hi - lo
     few = F.when(n > 0, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
     return F.when(n <= k, few).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")), lambda i: lo + F.floor(i * n / k)))
+
+
+def plain_stride(n: Column, k: int) -> Column:
+    """The first ``k`` of every n-th number below ``n``, where the step is n / k rounded down and at least 1; none if ``n`` is 0."""
+    step = F.greatest(F.floor(n / k), F.lit(1)).cast("bigint")
+    last = F.least(F.lit(k).cast("bigint"), F.ceil(n / step).cast("bigint")) - 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: i * step)).otherwise(F.array().cast("array<bigint>"))

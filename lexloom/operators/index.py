@@ -7,9 +7,10 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.sampling import even_stride
-from lexloom.functions.text import words
+from lexloom.functions.sampling import even_stride, plain_stride
+from lexloom.functions.text import is_boolean_query, words
 from lexloom.operators.ranks import numbered
+from lexloom.storage import staged
 
 #: Terms of all queries together, at most; their table is broadcast.
 MAX_TERMS = 100_000
@@ -64,28 +65,48 @@ def phrase_counts(documents: DataFrame, phrases: list[str]) -> DataFrame:
     return occurrences(documents, phrases).groupBy("phrase").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("hits"))
 
 
-def matching(documents: DataFrame, queries: list[str], near: int = NEAR) -> DataFrame:
-    """(query, doc_id, start): documents with a phrase of every clause within ``near`` words, and the first such place."""
+def matching(documents: DataFrame, queries: list[str], near: int = NEAR, max_clause_freq: int | None = None) -> DataFrame:
+    """(query, doc_id, start): documents with a phrase of every clause within ``near`` words, and the first such place.
+
+    ``max_clause_freq`` bounds, as a feature, the places of one clause of a query with several: of a more frequent
+    clause those of least draw by document and place are looked at.
+    """
     found = occurrences(documents, queries).select("query", "clauses", "clause", "doc_id", "start").distinct()
+    if max_clause_freq is not None:
+        found = _thinned(staged(found, "places"), max_clause_freq)
     ahead = Window.partitionBy("query", "doc_id").orderBy("start").rangeBetween(0, near)
     found = found.withColumn("seen", F.size(F.collect_set("clause").over(ahead))).filter(F.col("seen") == F.col("clauses"))
     return found.groupBy("query", "doc_id").agg(F.min("start").alias("start"))
 
 
-def harvest(documents: DataFrame, queries: list[str], per_query: int, shards: int = 4, most_shown: int = 10_000) -> DataFrame:
-    """(seed, mode, shard, ptr_or_rank, doc_ix, doc_len, disp_len, text): an even sample of the matches of each query and shard.
+def _thinned(found: DataFrame, most: int) -> DataFrame:
+    by = ["query", "clause"]
+    many = found.filter(F.col("clauses") > 1).groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*by)
+    if many.isEmpty():
+        return found
+    many = F.broadcast(many)  # at most one row for each clause of the queries
+    hot = numbered(found.join(many, by, "left_semi").withColumn("_draw", F.xxhash64("doc_id", "start")), by, ["_draw", "doc_id", "start"]).filter(F.col("rank") < most)
+    return found.join(many, by, "left_anti").unionByName(hot.select(*found.columns))
+
+
+def harvest(documents: DataFrame, queries: list[str], per_query: int, shards: int = 4, most_shown: int = 10_000, max_clause_freq: int | None = None) -> DataFrame:
+    """(seed, mode, shard, ptr_or_rank, doc_ix, doc_len, disp_len, text): a sample of the matches of each query and shard.
 
-    Shards take equal quotas; a rank is the place of a match in its shard by ``doc_id``. Of documents found by several
-    queries the first query by name stands.
+    Shards take equal quotas, at least 1, and a query at most ``per_query`` in all, by shard and rank. A rank is the place
+    of a match in its shard by ``doc_id``; phrases take evenly spaced ones, boolean queries every n-th. Of documents found
+    by several queries the first query by name stands.
     """
-    hits = matching(documents, queries).select("query", "doc_id", F.pmod("doc_id", F.lit(shards)).alias("shard"))
+    hits = matching(documents, queries, max_clause_freq=max_clause_freq).select("query", "doc_id", F.pmod("doc_id", F.lit(shards)).alias("shard"))
     hits = numbered(hits, ["query", "shard"], "doc_id")
     sizes = hits.groupBy("query", "shard").agg(F.count("*").alias("n"))
-    wanted = sizes.select("query", "shard", F.explode(even_stride(F.lit(0).cast("bigint"), F.col("n"), max(1, per_query // shards))).alias("rank"))
-    chosen = first_per_document(hits.join(wanted, ["query", "shard", "rank"]))
+    each, zero = max(1, per_query // shards), F.lit(0).cast("bigint")
+    ranks = F.when(is_boolean_query(F.col("query")), plain_stride(F.col("n"), each)).otherwise(even_stride(zero, F.col("n"), each))
+    wanted = sizes.select("query", "shard", F.explode(ranks).alias("rank"))
+    taken = wanted.withColumn("_taken", F.row_number().over(Window.partitionBy("query").orderBy("shard", "rank"))).filter(F.col("_taken") <= per_query).drop("_taken")
+    chosen = first_per_document(hits.join(taken, ["query", "shard", "rank"]))
     tokens = words(F.col("text"))
     rows = chosen.join(documents.select("doc_id", "text"), "doc_id")
-    mode = F.when(F.col("query").contains(" AND ") | F.col("query").contains(" OR "), "cnf").otherwise("simple")
+    mode = F.when(is_boolean_query(F.col("query")), "cnf").otherwise("simple")
     return rows.select(F.col("query").alias("seed"), mode.alias("mode"), "shard", F.col("rank").alias("ptr_or_rank"), F.col("doc_id").alias("doc_ix"), F.size(tokens).alias("doc_len"), F.least(F.size(tokens), F.lit(most_shown)).alias("disp_len"), "text")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import word_count
+from lexloom.storage import staged
 
 
 def counted(documents: DataFrame, model: str, word: str) -> DataFrame:
@@ -31,9 +32,20 @@ def by_model(rows: DataFrame) -> DataFrame:
     return rows.groupBy("model").agg(F.count("*").alias("docs"), F.avg("words").alias("mean_words"), F.median("words").alias("median_words"), F.max("words").alias("most_words"), F.min("words").alias("least_words"), F.sum("words").alias("words"))
 
 
-def pivoted(rows: DataFrame, models: list[str]) -> DataFrame:
-    """Documents per word, a column for each model; 0 where there are none."""
-    return rows.groupBy("word").pivot("model", models).agg(F.count(F.lit(1))).fillna(0)
+#: Columns of a pivot at most.
+MAX_MODELS = 1_000
+
+
+def pivoted(rows: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """Documents per word, a column for each model, by default of all that occur; 0 where there are none, an error above MAX_MODELS."""
+    groups = rows.groupBy("word", "model").agg(F.count("*").alias("n"))
+    if models is None:
+        groups = staged(groups, "pivot")
+        found = groups.select("model").filter(F.col("model").isNotNull()).distinct().limit(MAX_MODELS + 1).collect()
+        if len(found) > MAX_MODELS:
+            raise ValueError(f"more than {MAX_MODELS} models")
+        models = sorted(r.model for r in found)
+    return groups.groupBy("word").pivot("model", models).agg(F.sum("n")).fillna(0) if models else groups.select("word").distinct()
 
 
 def totals(rows: DataFrame, most: int = 30) -> DataFrame:

@@ -79,12 +79,15 @@ def profile_model(spark: SparkSession, folder: str) -> DataFrame:
     return profile.by_model(_counted(spark, folder)).withColumn("mean_words", F.round("mean_words", 4))
 
 
-_SHOWN = ["web_crawl", "forum", "encyclopedia", "papers", "books"]
-
-
-@plans.query(f"SELECT word, {', '.join(f'''count(*) FILTER (model = '{m}') AS {m}''' for m in _SHOWN)} FROM {_COUNTED} GROUP BY word")
+@plans.query(f"SELECT word, model, count(*) AS n FROM {_COUNTED} WHERE model IS NOT NULL GROUP BY word, model")
 def profile_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.pivoted(_counted(spark, folder), _SHOWN)
+    """The pivot over all models that the documents have, unfolded again so that SQL needn't know them; 0 is left out."""
+    wide = profile.pivoted(_counted(spark, folder))
+    models = [c for c in wide.columns if c != "word"]
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"`{m}`").alias("n")) for m in models])) if models else None
+    if cells is None:
+        return wide.select("word", F.lit("").alias("model"), F.lit(0).cast("bigint").alias("n")).limit(0)
+    return wide.select("word", cells.alias("x")).select("word", "x.*").filter(F.col("n") > 0)
 
 
 @plans.query(f"SELECT word, count(*) AS docs, count(DISTINCT model) AS models FROM {_COUNTED} GROUP BY word ORDER BY docs DESC, word NULLS LAST LIMIT 30")

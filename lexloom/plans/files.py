@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import identifier
+from lexloom.functions.text import identifier, word_count
 from lexloom.operators import annotate
 from lexloom.plans import quotas
 from lexloom.plans.base import Plans
@@ -33,13 +33,42 @@ def io_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     return files.read_jsonl(spark, at, "doc_id bigint, text string, source string", strict=True)
 
 
-@plans.query("SELECT doc_id, source, n_chars FROM documents WHERE text IS NOT NULL")
+@plans.query("SELECT doc_id, text, source FROM documents")
 def io_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """CSV whose quoted fields hold line ends; the length of the text that comes back shows that it is whole."""
+    """CSV whose quoted fields hold line ends; empty and missing texts stay apart."""
     at = _place(spark)
-    _documents(spark, folder).write.csv(at, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n")
-    rows = files.read_csv(spark, at, "doc_id bigint, text string, source string")
-    return rows.select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
+    files.write_csv(table(spark, folder, "documents").select("doc_id", "text", "source"), at)
+    return files.read_csv(spark, at, "doc_id bigint, text string, source string")
+
+
+@plans.query("SELECT candidate_id, seed, 'csv' AS form FROM unsafe_candidates UNION ALL SELECT candidate_id, seed, 'jsonl' FROM unsafe_candidates")
+def io_append_pair(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON lines and CSV that grow together over two overlapping runs: each candidate comes once in both."""
+    at = _place(spark)
+    rows = table(spark, folder, "unsafe_candidates").select("candidate_id", "seed")
+    files.append_pair(rows.filter(F.col("candidate_id") % 3 != 0), at, "candidate_id")
+    files.append_pair(rows, at, "candidate_id")
+    if not files._exists(spark, f"{at}/csv"):
+        return rows.select("*", F.lit("csv").alias("form"))
+    csv = files.read_csv(spark, f"{at}/csv", "candidate_id bigint, seed string").select("*", F.lit("csv").alias("form"))
+    return csv.unionByName(files.read_jsonl(spark, f"{at}/jsonl", "candidate_id bigint, seed string").select("*", F.lit("jsonl").alias("form")))
+
+
+@plans.query("SELECT row_ix, printf('%.6f', row_norm) AS row_norm FROM word_matrix")
+def io_ranked_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """A ranking by norm as CSV with six digits, read back as text."""
+    at = _place(spark)
+    files.write_ranked_csv(table(spark, folder, "word_matrix").select("row_ix", "row_norm"), at, [F.desc_nulls_last("row_norm"), F.col("row_ix")])
+    return files.read_csv(spark, at, "row_ix bigint, row_norm string")
+
+
+@plans.query("SELECT DISTINCT trim(words) AS word FROM word_list WHERE trim(words) <> ''")
+def io_word_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct words of the list, one a line."""
+    at = _place(spark)
+    words = table(spark, folder, "word_list").select(F.trim("words").alias("word"))
+    files.write_list(words.filter(F.col("word") != ""), at)
+    return files.read_lines(spark, at).select(F.col("value").alias("word"))
 
 
 @plans.query(f"SELECT position AS aug_type, ord, aug_head || aug_mid || aug_tail AS text FROM {_DOC_WORDS} WHERE trim(aug_head || aug_mid || aug_tail) <> ''")
@@ -60,13 +89,11 @@ def document_tree(spark: SparkSession, folder: str) -> DataFrame:
     return files.read_documents(spark, at)
 
 
-@plans.query("SELECT source AS model, coalesce(lang, 'und') AS word, count(*) AS files, sum(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+'))) AS words FROM documents WHERE text <> '' AND source IN ('books', 'llm_generated') GROUP BY ALL")
+@plans.query("SELECT source AS model, coalesce(lang, 'und') AS word, count(*) AS files, sum(length(text))::BIGINT AS chars, sum(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')))::BIGINT AS words FROM documents WHERE text <> '' AND source IS NOT NULL GROUP BY ALL")
 def io_document_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """One file per document of every source under source/language, read back as whole texts; the two sources of the SQL are counted."""
-    from lexloom.functions.text import word_count
-
-    tree = document_tree(spark, folder).filter(F.col("model").isin("books", "llm_generated"))
-    return tree.groupBy("model", "word").agg(F.count("*").alias("files"), F.sum(word_count(F.col("text"))).alias("words"))
+    """One file per document of every source under source/language, read back as whole texts."""
+    tree = document_tree(spark, folder)
+    return tree.groupBy("model", "word").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"), F.sum(word_count(F.col("text"))).alias("words"))
 
 
 @plans.query("SELECT candidate_id, seed FROM unsafe_candidates")
@@ -98,7 +125,10 @@ def io_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("n bigint, records bigint, last_ingested timestamp_ntz").option("timestampNTZFormat", exact).json(at)
 
 
-@plans.query()
+_IDENTIFIER = "coalesce(nullif(left(trim(regexp_replace(coalesce(source, ''), '[^A-Za-z0-9_-]+', '_', 'g'), '_'), 80), ''), 'x')"
+
+
+@plans.query(f"SELECT source, count(*) AS n FROM (SELECT {_IDENTIFIER} AS source FROM documents UNION ALL SELECT {_IDENTIFIER} FROM toxic_document) GROUP BY source")
 def io_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Records of named sources from a registry, with a fallback for one that can't be opened."""
     sources = files.Sources()

@@ -20,43 +20,46 @@ _WORD = WORD.replace("'", "''")
 _POSTINGS = f"(SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS term FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '{_WORD}'), lambda w: lower(w)) AS t FROM documents WHERE text IS NOT NULL))"
 
 
-def _terms(queries: list[str]) -> str:
-    rows = []
-    for q in sorted(set(queries)):
-        clauses = index.parse_query(q)
-        for c, phrases in enumerate(clauses):
-            for p in phrases:
-                terms = p.lower().split()
-                rows += [f"('{q.replace(chr(39), chr(39) * 2)}', {len(clauses)}, {c}, '{p.replace(chr(39), chr(39) * 2)}', {len(terms)}, {i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in enumerate(terms)]
-    return f"(SELECT * FROM (VALUES {', '.join(rows)}) AS t(query, clauses, clause, phrase, size, \"at\", term))"
-
-
-def _hits(queries: list[str]) -> str:
-    return f"(SELECT query, clauses, clause, phrase, doc_id, pos - \"at\" AS start FROM {_POSTINGS} JOIN {_terms(queries)} USING (term) GROUP BY query, clauses, clause, phrase, size, doc_id, pos - \"at\" HAVING count(*) = size)"
-
-
-_SEEDS = [
-    "hate speech", "violent threats", "online harassment", "hate AND crime", "public insult", "threat OR blackmail", "bullying at school", "slander", "mob violence", "abuse AND (harassment OR threat)",
-    "knife attack", "explicit content", "stalking", "verbal abuse", "racial hatred", "extremist leaflet", "domestic violence", "forum ban", "arson", "vandalism", "riot", "hooligan", "angry crowd", "curse words", "poison pen letter",
-]
-_ALL = _SEEDS + PHRASES + BOOLEAN
+_LISTED = "[" + ", ".join("'" + q.replace("'", "''") + "'" for q in PHRASES + BOOLEAN) + "]"
+# the distinct seeds of the candidates and the queries above, cut into clauses, phrases and terms
+_QUERIES = f"(SELECT DISTINCT query FROM (SELECT trim(seed) AS query FROM unsafe_candidates UNION ALL SELECT unnest({_LISTED})) WHERE query <> '' AND lower(query) <> 'nan')"
+_CLAUSES = f"""(SELECT query, row_number() OVER (PARTITION BY query ORDER BY i) - 1 AS clause, count(*) OVER (PARTITION BY query) AS clauses, part FROM
+    (SELECT query, trim(trim(part), '()') AS part, i FROM (SELECT query, unnest(p) AS part, unnest(range(len(p))) AS i FROM (SELECT query, regexp_split_to_array(query, '\\s+AND\\s+') AS p FROM {_QUERIES}))) WHERE trim(part) <> '')"""
+_PHRASES = f"(SELECT query, clauses, clause, trim(phrase) AS phrase FROM (SELECT query, clauses, clause, unnest(regexp_split_to_array(part, '\\s+OR\\s+')) AS phrase FROM {_CLAUSES}) WHERE trim(phrase) <> '')"
+_TERM_ROWS = f"(SELECT query, clauses, clause, phrase, len(t) AS size, unnest(range(len(t))) AS \"at\", unnest(t) AS term FROM (SELECT *, list_transform(regexp_extract_all(phrase, '{_WORD}'), lambda w: lower(w)) AS t FROM {_PHRASES}))"
+
+
+def _all(spark: SparkSession, folder: str) -> list[str]:
+    """The distinct seeds of the candidates, of which there are few, and the queries above."""
+    seeds = table(spark, folder, "unsafe_candidates").select(F.trim("seed").alias("seed")).filter((F.col("seed") != "") & (F.lower("seed") != "nan")).distinct().limit(index.MAX_TERMS + 1).collect()
+    return sorted({r.seed for r in seeds} | {*PHRASES, *BOOLEAN})
+
+
+_HITS = f"(SELECT query, clauses, clause, phrase, doc_id, pos - \"at\" AS start FROM {_POSTINGS} JOIN {_TERM_ROWS} USING (term) GROUP BY query, clauses, clause, phrase, size, doc_id, pos - \"at\" HAVING count(*) = size)"
+
+
 _FOUND = f"""(SELECT query, doc_id, min(start) AS start FROM (SELECT query, clauses, doc_id, start, len(list_distinct(list(clause) OVER (PARTITION BY query, doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND {index.NEAR} FOLLOWING))) AS seen
-    FROM (SELECT DISTINCT query, clauses, clause, doc_id, start FROM {_hits(_ALL)})) WHERE seen = clauses GROUP BY query, doc_id)"""
+    FROM (SELECT DISTINCT query, clauses, clause, doc_id, start FROM {_HITS})) WHERE seen = clauses GROUP BY query, doc_id)"""
 
 
-@plans.query(f"SELECT phrase, count(DISTINCT doc_id) AS docs, count(*) AS hits FROM {_hits(_ALL)} GROUP BY phrase")
+@plans.query(f"SELECT phrase, count(DISTINCT doc_id) AS docs, count(*) AS hits FROM {_HITS} GROUP BY phrase")
 def src_phrase_find(spark: SparkSession, folder: str) -> DataFrame:
-    return index.phrase_counts(table(spark, folder, "documents"), _ALL)
+    return index.phrase_counts(table(spark, folder, "documents"), _all(spark, folder))
 
 
 @plans.query(f"SELECT * FROM {_FOUND}")
 def src_boolean_find(spark: SparkSession, folder: str) -> DataFrame:
-    return index.matching(table(spark, folder, "documents"), _ALL)
+    return index.matching(table(spark, folder, "documents"), _all(spark, folder))
 
 
-_PER = 40
+_PER = 200
 _RANKED = f"(SELECT query, doc_id, (doc_id % 4)::INT AS shard, row_number() OVER (PARTITION BY query, doc_id % 4 ORDER BY doc_id) - 1 AS rank, count(*) OVER (PARTITION BY query, doc_id % 4) AS n FROM {_FOUND})"
-_CHOSEN = f"(SELECT * FROM {_RANKED} WHERE n <= {_PER // 4} OR list_contains(list_transform(range({_PER // 4}), lambda i: floor(i * n / {_PER // 4})::BIGINT), rank))"
+_EACH = max(1, _PER // 4)
+_IS_CNF = "(query LIKE '% AND %' OR query LIKE '% OR %')"
+_STRIDED = f"rank % greatest(1, n // {_EACH}) = 0 AND rank // greatest(1, n // {_EACH}) < {_EACH}"
+_EVEN = f"list_contains(list_transform(range({_EACH}), lambda i: floor(i * n / {_EACH})::BIGINT), rank)"
+_CHOSEN = f"""(SELECT * EXCLUDE (taken) FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shard, rank) AS taken FROM {_RANKED}
+    WHERE n <= {_EACH} OR CASE WHEN {_IS_CNF} THEN {_STRIDED} ELSE {_EVEN} END) WHERE taken <= {_PER})"""
 
 
 @plans.query(
@@ -64,7 +67,7 @@ _CHOSEN = f"(SELECT * FROM {_RANKED} WHERE n <= {_PER // 4} OR list_contains(lis
     (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY query, rank) AS rn FROM {_CHOSEN}) JOIN (SELECT doc_id, len(regexp_extract_all(text, '{_WORD}')) AS n_tokens FROM documents) USING (doc_id) WHERE rn = 1"""
 )
 def harvest_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    return index.harvest(table(spark, folder, "documents"), _ALL, _PER).drop("text")
+    return index.harvest(table(spark, folder, "documents"), _all(spark, folder), _PER).drop("text")
 
 
 @plans.query(

@@ -151,13 +151,13 @@ def sim_full(spark: SparkSession, folder: str) -> DataFrame:
     return every.select("query", "n", *[F.round(c, 4).alias(c) for c in ("avg_cosine", "min_cosine", "max_cosine")])
 
 
-@plans.query(f"SELECT query, id, round(cosine, 4) AS cosine FROM {_pairs('a', 'id IN (SELECT id FROM ' + _VALID + ' ORDER BY ' + u01_sql(42, 'id', 'control') + ', id LIMIT 20)')}")
+@plans.query(f"SELECT query, id, round(cosine, 4) + 0.0 AS cosine FROM {_pairs('a', 'id IN (SELECT id FROM ' + _VALID + ' ORDER BY ' + u01_sql(42, 'id', 'control') + ', id LIMIT 20)')}")
 def sim_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """The whole similarity vectors of twenty drawn rows."""
     drawn = similarity.sampled(similarity.valid_vectors(table(spark, folder, "word_matrix"), SIZE).select("id"), 20)
     vectors = _half(spark, folder, "a")
     rows = similarity.compared(vectors, vectors.join(F.broadcast(drawn), "id", "left_semi"), 0)
-    return rows.select("query", "id", F.round("cosine", 4).alias("cosine"))
+    return rows.select("query", "id", (F.round("cosine", 4) + F.lit(0.0)).alias("cosine"))
 
 
 @plans.query()

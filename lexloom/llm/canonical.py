@@ -24,14 +24,17 @@ from lexloom.storage import staged
 
 #: Texts with fewer letters and digits have no key and stand for themselves.
 MIN_CHARS = 20
-#: A key is hot from this many members on, and from total / HOT_SHARE on; so at most HOT_SHARE keys are hot.
+#: A key is hot from this many members on, and from total / HOT_SHARE on; so at most HOT_SHARE keys of 16 bytes are
+#: broadcast, and a key that isn't hot has fewer than 1e6 members even among 1e11 records.
 HOT_ROWS = 10_000
-HOT_SHARE = 1_000
+HOT_SHARE = 100_000
 SALTS = 64
 
 _KEEP_OUT = re.compile(r"[\W_]+")
 _INVISIBLE = re.compile("[­᠎​-‏‪-‮⁠-⁤﻿]")
 _LINE_ENDS = re.compile(r"\r\n|\r|\n")
+#: What may be a JSON object, behind all that Python strips off an ASCII text.
+_OBJECT = r"^[\t-\r\x1c-\x1f ]*\{"
 _FIELD = re.compile(r"\s*([\w\-]+)\s*:(?!//)(.*)", re.S)
 
 
@@ -91,7 +94,7 @@ def canonical_keys(df: DataFrame, record: str, text: str) -> DataFrame:
     """(record_id, key, n_chars) per row: ``key`` is null for null texts and those under MIN_CHARS letters and digits."""
     rows = df.select(F.col(record).alias("record_id"), F.col(text).cast("string").alias("text"))
     t = F.col("text")
-    plain = (F.octet_length(t) == F.length(t)) & ~F.ltrim(t).startswith("{") & ~(t.contains(":") & t.rlike("[\r\n]"))
+    plain = (F.octet_length(t) == F.length(t)) & ~t.rlike(_OBJECT) & ~(t.contains(":") & t.rlike("[\r\n]"))
     rows = rows.select("record_id", F.when(plain, F.lower(F.regexp_replace(t, "[^A-Za-z0-9]+", ""))).alias("easy"), _canonical_udf(F.when(~plain, t)).alias("hard"))
     form = F.coalesce("easy", "hard")
     n = F.coalesce(F.length(F.translate(form, "\x01\x02\x03", "")), F.lit(0))

@@ -67,6 +67,7 @@ def cutoffs(records: DataFrame, targets: DataFrame, max_sorted: int = MAX_SORTED
         .select("source", "target_fraction", "n_valid", F.greatest(F.ceil(F.col("target_fraction") * F.col("n_valid")), F.lit(1)).cast("bigint").alias("need"))
         .select("*", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(0).cast("bigint").alias("above"), F.col("n_valid").alias("inside"))
     )
+    state = staged(state, "cutoff-bracket")
     grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
     for _ in range(rounds):
         inner = scores.select("source", "score").join(small(state), "source").filter(F.col("score").between(F.col("lo"), F.col("hi")))
@@ -77,6 +78,7 @@ def cutoffs(records: DataFrame, targets: DataFrame, max_sorted: int = MAX_SORTED
             F.element_at("q", F.greatest(cell, F.lit(1))).alias("new_lo"),
             F.element_at("q", F.least(cell + 3, F.lit(GRID + 1))).alias("new_hi"),
         )
+        tight = staged(tight, "cutoff-bracket")
         kept = scores.select("source", "score").join(small(tight.select("source", "new_lo", "new_hi")), "source")
         seen = kept.groupBy("source").agg(
             F.count_if(F.col("score") > F.col("new_hi")).alias("new_above"),
@@ -87,8 +89,7 @@ def cutoffs(records: DataFrame, targets: DataFrame, max_sorted: int = MAX_SORTED
         state = tight.join(small(seen), "source").select(
             "source", "target_fraction", "n_valid", "need", pick("new_lo", "lo"), pick("new_hi", "hi"), pick("new_above", "above"), pick("new_inside", "inside")
         )
-        if rounds > 1:
-            state = staged(state, "cutoff-bracket")
+        state = staged(state, "cutoff-bracket")
     bracketed = scores.select("source", "score").join(small(state), "source").filter(F.col("score").between(F.col("lo"), F.col("hi")))
     by_value = bracketed.groupBy("source", "target_fraction", "n_valid", "need", "above", "score").agg(F.count("*").alias("n"))
     running = F.col("above") + F.sum("n").over(Window.partitionBy("source").orderBy(F.desc("score")))
@@ -100,7 +101,7 @@ def cutoffs(records: DataFrame, targets: DataFrame, max_sorted: int = MAX_SORTED
 def keep_fraction(df: DataFrame, targets: DataFrame, record: str = "record_id", source: str = "source", score: str = "hint") -> tuple[DataFrame, DataFrame]:
     """The kept records (source, record_id) and the report of :func:`cutoffs`."""
     records = staged(scored_records(df, record, source, score), "cutoff-records")
-    report = cutoffs(records, targets)
+    report = staged(cutoffs(records, targets), "cutoffs")
     kept = records.join(F.broadcast(report.select("source", "cutoff")), "source") if _few(targets) else records.join(report.select("source", "cutoff"), "source")
     return kept.filter(F.col("score") >= F.col("cutoff")).select("source", "record_id"), report
 

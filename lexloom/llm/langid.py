@@ -123,6 +123,7 @@ class LanguageModel:
     pairs: list[tuple[str, str]]
     weights: np.ndarray
     known: frozenset[str]
+    family_of: dict[str, str]
 
     @classmethod
     def fit(cls, samples: list[tuple[str, str]], families: dict[str, str] | None = None, more: list[tuple[str, str]] = ()) -> LanguageModel:
@@ -151,7 +152,7 @@ class LanguageModel:
         names = sorted(set(family.values()))
         pairs = [(a, b) for i, a in enumerate(langs) for b in langs[i + 1 :] if family[a] == family[b]]
         if not langs:
-            return cls([], [], [], np.zeros((DIMENSIONS, 0), np.float32), frozenset())
+            return cls([], [], [], np.zeros((DIMENSIONS, 0), np.float32), frozenset(), {})
         at, feature = _grams(list(words))
         value = np.repeat(1.0 / np.sqrt(np.maximum(1, np.diff(at))), np.diff(at))
         phi, lab = (at, feature, value), np.array(labels)
@@ -163,7 +164,7 @@ class LanguageModel:
             number = np.cumsum(pick) - 1
             keep = pick[row]
             columns.append(_svm(phi, (number[row[keep]], col[keep], val[keep]), np.where(lab[pick] == a, 1.0, -1.0)))
-        return cls(langs, names, pairs, np.stack(columns, 1).astype(np.float32), frozenset(words))
+        return cls(langs, names, pairs, np.stack(columns, 1).astype(np.float32), frozenset(words), family)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """The machines' scores of each word."""
@@ -175,7 +176,7 @@ class LanguageModel:
         """Maps machine scores to additive scores by language: the family's, and the mean of the language's pairs."""
         out = np.zeros((self.weights.shape[1], len(self.languages)), np.float32)
         for i, x in enumerate(self.languages):
-            out[self.families.index(FAMILIES.get(x, x)), i] = 1.0
+            out[self.families.index(self.family_of[x]), i] = 1.0
             own = [(j, 1.0 if a == x else -1.0) for j, (a, b) in enumerate(self.pairs, len(self.families)) if x in (a, b)]
             for j, sign in own:
                 out[j, i] = sign / len(own)
@@ -191,7 +192,7 @@ class LanguageModel:
             small = 1e-3 * np.tanh(s / (1 + np.abs(s).max(initial=0.0)))
             votes[:, index[a]] += (s > 0) + small
             votes[:, index[b]] += (s <= 0) - small
-        of = np.array([self.families.index(FAMILIES.get(x, x)) for x in self.languages])
+        of = np.array([self.families.index(self.family_of[x]) for x in self.languages])
         return np.argmax(np.where(of[None, :] == family[:, None], votes, -np.inf), 1)
 
 
@@ -318,24 +319,22 @@ def _enough(text: str | None) -> bool:
     return bool(text) and len(canonical(text).translate({1: None, 2: None, 3: None})) >= MIN_CHARS
 
 
+_SEGMENTS = "array<struct<lang: string, confidence: double, words: int>>"
+
+
 def _segmented(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The columns but the last, which holds texts, with ``enough`` and the segments of each text."""
     segmenter = Segmenter(shared.value)
-    names = ["record_id", "enough", "seg_no", "segs", "lang", "confidence", "words"]
     for batch in batches:
         for a in range(0, batch.num_rows, 4000):
             part = batch.slice(a, 4000)
-            texts = part.column(1).to_pylist()
+            texts = part.column(part.num_columns - 1).to_pylist()
             found = segmenter.segments(texts)
-            sizes = np.array([len(f) for f in found], np.int64)
-            at = np.repeat(np.arange(len(found)), sizes)
             flat = [s for f in found for s in f]
-            enough = np.array([len(f) > 0 and (sum(s[2] for s in f) >= MIN_CHARS or _enough(t)) for f, t in zip(found, texts)], bool)
-            number = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-            columns = [
-                part.column(0).take(pa.array(at)), pa.array(enough[at]), pa.array(number), pa.array(sizes[at]),
-                pa.array([s[0] for s in flat], pa.string()), pa.array([s[1] for s in flat], pa.float64()), pa.array([s[2] for s in flat], pa.int32()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            enough = [len(f) > 0 and (sum(s[2] for s in f) >= MIN_CHARS or _enough(t)) for f, t in zip(found, texts)]
+            each = pa.StructArray.from_arrays([pa.array([s[0] for s in flat], pa.string()), pa.array([s[1] for s in flat], pa.float64()), pa.array([s[2] for s in flat], pa.int32())], ["lang", "confidence", "words"])
+            offsets = pa.array(np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(enough, pa.bool_()), pa.ListArray.from_arrays(offsets, each)], [*part.schema.names[:-1], "enough", "found"])
 
 
 def fit_model(samples: DataFrame, records: DataFrame | None = None) -> LanguageModel:
@@ -358,26 +357,40 @@ def fit_model(samples: DataFrame, records: DataFrame | None = None) -> LanguageM
     return LanguageModel.fit(sure, more=more)
 
 
+def _found(df: DataFrame, samples: DataFrame, record: str, text: str) -> DataFrame:
+    """(record_id, label, enough, found): the segments of each record that has any, and its label, if the rows have one.
+
+    Of deliveries whose texts differ, all segments are those of one delivery.
+    """
+    label = F.lower(F.element_at(F.split(F.trim("lang"), "[-_]"), 1)) if "lang" in df.columns else F.lit(None).cast("string")
+    shared = df.sparkSession.sparkContext.broadcast(fit_model(samples, df.select(F.col(record).alias("record_id"), "lang", F.col(text).alias("text")) if "lang" in df.columns else None))
+    rows = df.filter(F.col(record).isNotNull()).select(F.col(record).cast("bigint").alias("record_id"), label.alias("label"), F.col(text).cast("string").alias("text"))
+    found = rows.mapInArrow(lambda it: _segmented(it, shared), f"record_id bigint, label string, enough boolean, found {_SEGMENTS}").filter(F.size("found") > 0)
+    return found.groupBy("record_id").agg(F.max("label").alias("label"), F.max(F.struct("enough", "found")).alias("x")).select("record_id", "label", "x.*")
+
+
+def _each(found: DataFrame) -> DataFrame:
+    rows = found.select("*", F.posexplode("found").alias("at", "s"))
+    return rows.select("record_id", "label", (F.col("at") + 1).cast("bigint").alias("seg_no"), F.size("found").cast("bigint").alias("segs"), "s.*", "enough")
+
+
 def segments(df: DataFrame, samples: DataFrame, record: str = "record_id", text: str = "text") -> DataFrame:
     """(record_id, seg_no, segs, lang, confidence, words, enough) of every record, one row per segment.
 
     A record in one language has one segment. Records without a word (null, empty, numbers, links only) have none.
     ``enough`` tells whether the text has at least MIN_CHARS letters and digits. A record delivered again counts once.
     """
-    shared = df.sparkSession.sparkContext.broadcast(fit_model(samples, df.select(F.col(record).alias("record_id"), "lang", F.col(text).alias("text")) if "lang" in df.columns else None))
-    rows = df.filter(F.col(record).isNotNull()).select(F.col(record).cast("bigint").alias("record_id"), F.col(text).cast("string").alias("text"))
-    found = rows.mapInArrow(lambda it: _segmented(it, shared), "record_id bigint, enough boolean, seg_no bigint, segs bigint, lang string, confidence double, words int")
-    return found.dropDuplicates(["record_id", "seg_no"])
+    return _each(_found(df, samples, record, text)).drop("label")
 
 
 def wrong_labels(df: DataFrame, samples: DataFrame) -> DataFrame:
     """(record_id, seg_no, lang): records in one language whose label is missing or another, and all segments of mixed ones.
 
     Labels compare without case and region; anything that is no known language is a missing label. Texts under
-    MIN_CHARS letters and digits have no rows. Of labels that differ between deliveries the greatest counts.
+    MIN_CHARS letters and digits have no rows. Of labels that differ between deliveries the greatest counts. The table
+    is read once after the fit, with its labels.
     """
-    labels = df.filter(F.col("record_id").isNotNull()).groupBy(F.col("record_id").cast("bigint").alias("record_id")).agg(F.max(F.lower(F.element_at(F.split(F.trim("lang"), "[-_]"), 1))).alias("label"))
-    found = segments(df, samples).filter("enough").join(labels, "record_id")
+    found = _each(_found(df, samples, "record_id", "text").filter("enough"))
     return found.filter((F.col("segs") > 1) | F.col("label").isNull() | (F.col("label") != F.col("lang"))).select("record_id", "seg_no", "lang")
 
 

@@ -20,13 +20,6 @@ from pyspark.sql import functions as F
 from lexloom.llm.tokenizer import VOCABULARY, count_tokens
 from lexloom.storage import staged
 
-#: Domain of each source; a source that isn't named here is a domain of its own.
-DOMAINS = {
-    "web_crawl": "web", "forum": "web",
-    "encyclopedia": "reference", "papers": "reference", "books": "reference", "radio_scripts": "reference",
-    "code_qa": "code",
-    "llm_generated": "synthetic", "rpj_pw_aug": "synthetic", "toxic_pw_aug": "synthetic",
-}
 MAX_LEAVES = 100_000
 BUCKETS = 4096
 SEED = 42
@@ -102,9 +95,10 @@ class _Node:
 def budgets(plan: dict[str, tuple[float, int]], tokens: dict[tuple[str, str], int], total: float | None = None, domains: dict[str, str] | None = None) -> dict[tuple[str, str], int]:
     """Tokens for each leaf (source, language) of one plan.
 
-    ``total`` None means the largest total at which every source that has documents can still hold its share.
+    ``total`` None means the largest total at which every source that has documents can still hold its share. A source
+    that ``domains`` doesn't name is a domain of its own.
     """
-    domains = DOMAINS if domains is None else domains
+    domains = domains or {}
     of_source: dict[str, dict[str, int]] = defaultdict(dict)
     for (source, lang), n in tokens.items():
         if n > 0:
@@ -132,12 +126,13 @@ def budgets(plan: dict[str, tuple[float, int]], tokens: dict[tuple[str, str], in
     return {k: min(int(x.budget * (1 + 1e-12)), int(x.cap)) for k, x in leaves.items()}
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = SEED, domains: dict[str, str] | None = None, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = SEED, domains: dict[str, str] | None = None, path: str = VOCABULARY, total_share: float | None = None) -> tuple[DataFrame, DataFrame]:
     """The selection (plan_id, doc_id, repeats) and the report per plan and source.
 
     No document is repeated more often than its plan allows; documents of 0 tokens are never selected. ``total_tokens``
-    is the size of each mix, by default the largest at which every source with documents holds its share; a source
-    without documents passes its share on. The report has the target and actual share, the tokens and documents
+    is the size of each mix, or ``total_share`` the part of all tokens that it has; by default it is the largest at which
+    every source with documents holds its share. A source without documents passes its share on, as does one whose
+    repeats are used up. ``domains`` names the domain of sources, which are the upper level of the tree. The report has the target and actual share, the tokens and documents
     selected and available, and the most repeats of any document. Empty inputs give an empty selection.
     """
     spark = documents.sparkSession
@@ -151,6 +146,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     for r in stats:
         held[r.source][0] += r.tokens
         held[r.source][1] += r.docs
+    if total_share is not None:
+        total_tokens = total_share * sum(tokens.values())
     leaves, wanted = [], []
     for plan_id, plan in plans.items():
         weights = sum(w for w, _ in plan.values())

@@ -65,12 +65,36 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, folder, "documents"))
 
 
+#: Domains of the sources of the documents.
+DOMAINS = {
+    "web_crawl": "web", "forum": "web",
+    "encyclopedia": "reference", "papers": "reference", "books": "reference", "radio_scripts": "reference",
+    "code_qa": "code",
+    "llm_generated": "synthetic", "rpj_pw_aug": "synthetic", "toxic_pw_aug": "synthetic",
+}
+#: A mix of so many of all tokens uses up the repeats of small sources in every plan.
+LARGE_MIX = 0.9
+
+
+def _mixed(spark: SparkSession, folder: str, share: float | None = None) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), domains=DOMAINS, total_share=share)
+
+
 def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+    return _mixed(spark, folder)[0]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+    return _mixed(spark, folder)[1]
+
+
+def p7_large_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Mixes so large that sources run short, and siblings and then other domains take their shares."""
+    return _mixed(spark, folder, LARGE_MIX)[0]
+
+
+def p7_large_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder, LARGE_MIX)[1]
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,7 +105,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_collapsed, p3_found, p3_rates, p4_found, p4_segments, p4_documents, p5_found, p5_cutoffs, p6_ids, p7_selection, p7_shares, p8_found, p8_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_collapsed, p3_found, p3_rates, p4_found, p4_segments, p4_documents, p5_found, p5_cutoffs, p6_ids, p7_selection, p7_shares, p7_large_selection, p7_large_shares, p8_found, p8_shares)}
 
 _VALID_HINTS = """
     SELECT source, record_id, hint FROM (

@@ -9,9 +9,10 @@ suffix trees: a node of depth d holds the suffixes whose next d characters agree
 before its anchor is shared if a node of depth ``o`` on the left and one of depth ``min_len - o`` on the right have
 suffixes of two records in common. The union of shared windows gives the spans.
 
-A prefix that is too frequent for one task is split by longer prefixes: first eight ranges of ``o``, each with the text
-that all its windows have in common as its key, then the single windows, which need only the least and greatest record
-of each and thus no group in memory. Every step is exact.
+A prefix that is too frequent for one task is lengthened until its groups fit: suffixes with all the same text around
+them are taken as one, which a passage in many records makes of nearly all; the rest are cut by ever smaller ranges of
+``o``, each grouped by the text that all its windows have in common, a prefix of the window's text around the anchor.
+Texts are compared as they are, never by hashes alone. Every step is exact.
 """
 
 from __future__ import annotations
@@ -124,14 +125,15 @@ def _anchored(batches: Iterator[pa.RecordBatch], min_len: int, k: int) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(gram), pa.array(further.astype(np.int32))], ["doc", "pos", "gram", "further"])
 
 
-def _in_two_records(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``key`` occurs in two records, with the number ``n`` of rows of that key.
+def _in_two_records(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows whose ``key`` occurs in two records (``doc``, or from ``doc`` to ``last``), with the number ``n`` of rows of that key.
 
     Frequent keys are joined by broadcast (at most HOT_SHARE), so their rows stay where they are.
     """
-    total = rows.count()
-    counts = rows.groupBy(key).agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).filter(F.col("a") < F.col("b"))
-    counts = staged(counts.select(key, "n"), "span-keys")
+    key, total = list(key), rows.count()
+    last = "last" if "last" in rows.columns else "doc"
+    counts = rows.groupBy(*key).agg(F.min("doc").alias("a"), F.max(last).alias("b"), F.count("*").alias("n")).filter(F.col("a") < F.col("b"))
+    counts = staged(counts.select(*key, "n"), "span-keys")
     least = max(MAX_GROUP, -(-total // HOT_SHARE))
     hot = counts.filter(F.col("n") >= least)
     if not hot.limit(1).count():
@@ -174,17 +176,18 @@ def _sorted_common(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def shared_offsets(doc: np.ndarray, left: list[str], right: list[str], min_len: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix the least and greatest ``o`` for which the window that starts ``o`` before it is shared; -1 for none.
+def shared_offsets(doc: np.ndarray, last: np.ndarray, left: list[str], right: list[str], min_len: int, offsets: range) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix the least and greatest ``o`` of ``offsets`` for which the window that starts ``o`` before it is shared; -1 for none.
 
-    ``left`` has the reversed text before each suffix, ``right`` the suffix, each as far as windows reach.
+    ``left`` has the reversed text before each suffix, ``right`` the suffix, each as far as windows reach; a suffix
+    stands in the records from ``doc`` to ``last``.
     """
     n = len(doc)
     least, most = np.full(n, -1), np.full(n, -1)
-    if n < 2:
+    if not n:
         return least, most
     (r_order, r_common), (l_order, l_common) = _sorted_common(right), _sorted_common(left)
-    node = np.empty(n, np.int64)
+    sizes = np.array([[len(t) for t in side] for side in (left, right)])
 
     def nodes(order: np.ndarray, common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """The node of each suffix at a depth, and whether it holds others."""
@@ -192,77 +195,85 @@ def shared_offsets(doc: np.ndarray, left: list[str], right: list[str], min_len:
         out, many = np.empty(n, np.int64), np.empty(n, bool)
         out[order] = np.cumsum(~joined)
         many[order] = joined | np.r_[joined[1:], False]
-        return out, many
+        return out, many | alone
 
-    for o in range(min_len - k + 1):
+    alone = doc < last
+    for o in offsets:
         r_node, r_many = nodes(r_order, r_common, min_len - o)
         l_node, l_many = nodes(l_order, l_common, o) if o else (np.zeros(n, np.int64), np.ones(n, bool))
-        rows = np.flatnonzero(r_many & l_many)
-        if len(rows) < 2:
+        rows = np.flatnonzero(r_many & l_many & (sizes[0] >= o) & (sizes[1] >= min_len - o))
+        if not len(rows):
             continue
         node = r_node[rows] * (n + 1) + l_node[rows]
         order = np.argsort(node, kind="stable")
         rows, node = rows[order], node[order]
         starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        docs = doc[rows]
-        two = np.minimum.reduceat(docs, starts) < np.maximum.reduceat(docs, starts)
+        two = np.minimum.reduceat(doc[rows], starts) < np.maximum.reduceat(last[rows], starts)
         hit = rows[np.repeat(two, np.diff(np.r_[starts, len(rows)]))]
         most[hit] = o
         least[hit] = np.where(least[hit] < 0, o, least[hit])
     return least, most
 
 
-def _by_trees(batches: Iterator[pa.RecordBatch], min_len: int, k: int) -> Iterator[pa.RecordBatch]:
+def _by_trees(batches: Iterator[pa.RecordBatch], min_len: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """(``keep``, least, most) of the suffixes that share a window of their range ``lo`` to ``hi``; groups have one ``gram``, ``lo`` and ``hi``."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
-    table = pa.Table.from_batches(got)
-    gram = table["gram"].to_numpy()
-    order = np.argsort(gram, kind="stable")
+    table = pa.Table.from_batches(got).sort_by([("lo", "ascending"), ("hi", "ascending"), ("gram", "ascending")])
+    key = np.stack([table[c].to_numpy().astype(np.int64) for c in ("lo", "hi", "gram")])
+    starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
     cuts, size = [0], 0
-    starts = np.flatnonzero(np.r_[True, np.diff(gram[order]) != 0])
-    for s, e in zip(starts, np.r_[starts[1:], len(order)]):  # whole groups, up to a bound at a time
-        if size and size + e - s > SUFFIXES_PER_TASK:
+    for s, e in zip(starts, np.r_[starts[1:], table.num_rows]):  # whole groups of one range, up to a bound at a time
+        if size and (size + e - s > SUFFIXES_PER_TASK or (key[:2, s] != key[:2, s - 1]).any()):
             cuts.append(s)
             size = 0
         size += e - s
-    for a, b in zip(cuts, [*cuts[1:], len(order)]):
-        part = table.take(pa.array(order[a:b]))
-        doc, pos = part["doc"].to_numpy(), part["pos"].to_numpy().astype(np.int64)
-        least, most = shared_offsets(doc, part["left"].to_pylist(), part["right"].to_pylist(), min_len, k)
+    for a, b in zip(cuts, [*cuts[1:], table.num_rows]):
+        part = table.slice(a, b - a)
+        doc, last = part["doc"].to_numpy(), part["last"].to_numpy()
+        least, most = shared_offsets(doc, last, part["left"].to_pylist(), part["right"].to_pylist(), min_len, range(int(key[0, a]), int(key[1, a]) + 1))
         hit = np.flatnonzero(most >= 0)
-        stop = pos[hit] - least[hit] + min_len + part["further"].to_numpy()[hit]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(pos[hit] - most[hit]), pa.array(stop)], ["doc", "start", "stop"])
+        yield pa.RecordBatch.from_arrays([*(part[c].combine_chunks().take(pa.array(hit)) for c in keep), pa.array(least[hit]), pa.array(most[hit])], [*keep, "least", "most"])
 
 
-def _split(batches: Iterator[pa.RecordBatch], min_len: int, pieces: int) -> Iterator[pa.RecordBatch]:
-    """Each row's range of offsets cut into ``pieces``, keyed by the text that all windows of a piece have in common."""
-    for batch in batches:
-        out: list[tuple] = []
-        c = {name: batch.column(name).to_pylist() for name in batch.schema.names}
-        for doc, pos, further, left, right, lo, hi in zip(c["doc"], c["pos"], c["further"], c["left"], c["right"], c["lo"], c["hi"]):
-            step = -(-(hi - lo + 1) // pieces)
-            for a in range(lo, hi + 1, step):
-                b = min(hi, a + step - 1)
-                if a <= len(left) and min_len - b <= len(right):
-                    core = left[:a][::-1] + right[: min_len - b]
-                    out.append((xxhash.xxh3_128_digest(f"{a},{b},{core}".encode("utf-8", "surrogatepass")), doc, pos, further, a, b))
-        for a in range(0, len(out), 20_000):
-            cols = list(zip(*out[a : a + 20_000]))
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], ["key", "doc", "pos", "further", "lo", "hi"])
+def _treed(suffixes: DataFrame, min_len: int, keep: dict[str, str], *key: str) -> DataFrame:
+    """(``keep``, least, most) of suffixes whose groups of one ``key`` fit in a task."""
+    tasks = max(1, -(-suffixes.count() // SUFFIXES_PER_TASK))
+    rows = suffixes.repartition(tasks, *key).select(*{**dict.fromkeys(keep), **dict.fromkeys(["doc", "last", "left", "right", "lo", "hi", "gram"])})
+    return rows.mapInArrow(lambda it: _by_trees(it, min_len, list(keep)), ", ".join(f"{c} {t}" for c, t in keep.items()) + ", least bigint, most bigint")
 
 
 def _of_hot(hot: DataFrame, min_len: int, k: int) -> DataFrame:
-    """Intervals of suffixes whose prefix is too frequent for one task."""
-    schema = "key binary, doc bigint, pos int, further int, lo int, hi int"
-    whole = hot.select("doc", "pos", "further", "left", "right", F.lit(0).alias("lo"), F.lit(min_len - k).alias("hi"))
-    ranges = staged(whole.mapInArrow(lambda it: _split(it, min_len, 8), schema), "span-ranges")
-    ranges = _in_two_records(ranges, "key").select("doc", "pos", "further", "lo", "hi")
-    rows = ranges.join(hot.select("doc", "pos", "left", "right"), ["doc", "pos"])
-    windows = staged(rows.mapInArrow(lambda it: _split(it, min_len, min_len), schema), "span-windows")
-    seen = _in_two_records(windows, "key").groupBy("doc", "pos", "further").agg(F.min("lo").alias("least"), F.max("lo").alias("most"))
-    return seen.select("doc", (F.col("pos") - F.col("most")).cast("bigint").alias("start"), (F.col("pos") - F.col("least") + min_len + F.col("further")).cast("bigint").alias("stop"))
+    """(doc, pos, further, least, most) of suffixes whose prefix is too frequent for one task."""
+    context = ["gram", "left", "right"]
+    contexts = hot.groupBy(*context).agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))
+    contexts = staged(contexts.select("*", F.monotonically_increasing_id().alias("id")), "span-contexts")
+    whole = contexts.filter(F.col("doc") < F.col("last")).select("id", F.greatest(min_len - F.length("right"), F.lit(0)).cast("bigint").alias("least"), F.least(F.length("left"), F.lit(min_len - k)).cast("bigint").alias("most")).filter("least <= most")
+    found = whole
+    rows = contexts.select("*", F.lit(0).alias("lo"), F.lit(min_len - k).alias("hi"))
+    while True:  # each round halves the ranges of groups that don't fit
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi")))
+        rows = rows.select("id", "doc", "last", *context, F.explode(halves).alias("r")).select("id", "doc", "last", *context, "r.lo", "r.hi")
+        rows = rows.filter((F.col("lo") <= F.col("hi")) & (F.col("lo") <= F.length("left")) & (min_len - F.col("hi") <= F.length("right")))
+        core = F.concat(F.left("left", F.col("lo")), F.lit("\x00"), F.left("right", F.lit(min_len) - F.col("hi")))
+        rows = staged(_in_two_records(staged(rows.select("*", core.alias("core")), "span-ranges"), "lo", "hi", "core"), "span-ranges")
+        single = rows.filter(F.col("lo") == F.col("hi")).select("id", F.col("lo").cast("bigint").alias("least"), F.col("lo").cast("bigint").alias("most"))
+        fit = rows.filter((F.col("lo") < F.col("hi")) & (F.col("n") < MAX_GROUP)).drop("n")
+        found = found.unionByName(single).unionByName(_treed(fit, min_len, {"id": "bigint"}, "lo", "hi", "core"))
+        rows = rows.filter((F.col("lo") < F.col("hi")) & (F.col("n") >= MAX_GROUP)).drop("n", "core")
+        if not rows.limit(1).count():
+            break
+    found = staged(found.groupBy("id").agg(F.min("least").alias("least"), F.max("most").alias("most")), "span-hits")
+    named = contexts.select("id", *context).join(found, "id").drop("id")
+    counts = hot.groupBy(*context).count().filter(F.col("count") >= MAX_GROUP).drop("count")
+    counts = staged(counts, "span-frequent")
+    if counts.limit(HOT_SHARE + 1).count() > HOT_SHARE:
+        return hot.join(named, context)
+    often = F.broadcast(named.join(F.broadcast(counts), context))  # contexts that many suffixes have, at most HOT_SHARE
+    seldom = hot.join(F.broadcast(counts), context, "left_anti").join(named, context)
+    return seldom.unionByName(hot.join(often, context))
 
 
 def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_len: int = MIN_LEN) -> DataFrame:
@@ -281,11 +292,12 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_len
     suffixes = docs.join(of_doc, "doc").mapInArrow(lambda it: _surroundings(it, min_len, k), "gram bigint, n bigint, doc bigint, pos int, further int, left string, right string")
     suffixes = staged(suffixes, "suffixes")
     cold = suffixes.filter(F.col("n") < MAX_GROUP)
-    tasks = max(1, -(-cold.count() // SUFFIXES_PER_TASK))
-    intervals = cold.repartition(tasks, "gram").mapInArrow(lambda it: _by_trees(it, min_len, k), "doc bigint, start bigint, stop bigint")
+    cold = cold.select("doc", "pos", "further", F.col("doc").alias("last"), "left", "right", F.lit(0).alias("lo"), F.lit(min_len - k).alias("hi"), "gram")
+    hits = _treed(cold, min_len, {"doc": "bigint", "pos": "int", "further": "int"}, "gram")
     hot = suffixes.filter(F.col("n") >= MAX_GROUP)
     if hot.limit(1).count():
-        intervals = intervals.unionByName(_of_hot(hot, min_len, k))
+        hits = hits.unionByName(_of_hot(hot, min_len, k).select("doc", "pos", "further", "least", "most"))
+    intervals = hits.select("doc", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + min_len + F.col("further")).alias("stop"))
     by = Window.partitionBy("doc").orderBy("start", "stop")
     reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
     runs = intervals.select("doc", "start", "stop", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int").alias("fresh"))

@@ -33,6 +33,8 @@ MAX_GROUP = 10_000
 SUFFIXES_PER_TASK = 40_000
 #: Keys with at least total / HOT_SHARE rows are hot: at most HOT_SHARE, so their table may be broadcast.
 HOT_SHARE = 1_000
+#: Ranges into which that of a frequent prefix is cut at a time.
+PIECES = 6
 #: Characters hashed at a time; a longer text is taken whole.
 CHUNK_CHARS = 1_000_000
 
@@ -252,10 +254,10 @@ def _of_hot(hot: DataFrame, min_len: int, k: int) -> DataFrame:
     whole = contexts.filter(F.col("doc") < F.col("last")).select("id", F.greatest(min_len - F.length("right"), F.lit(0)).cast("bigint").alias("least"), F.least(F.length("left"), F.lit(min_len - k)).cast("bigint").alias("most")).filter("least <= most")
     found = whole
     rows = contexts.select("*", F.lit(0).alias("lo"), F.lit(min_len - k).alias("hi"))
-    while True:  # each round halves the ranges of groups that don't fit
-        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        halves = F.array(F.struct(F.col("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi")))
-        rows = rows.select("id", "doc", "last", *context, F.explode(halves).alias("r")).select("id", "doc", "last", *context, "r.lo", "r.hi")
+    while True:  # each round cuts the ranges of groups that don't fit
+        step = F.ceil((F.col("hi") - F.col("lo") + 1) / PIECES).cast("int")
+        pieces = F.array(*[F.struct((F.col("lo") + i * step).alias("lo"), F.least(F.col("lo") + (i + 1) * step - 1, F.col("hi")).alias("hi")) for i in range(PIECES)])
+        rows = rows.select("id", "doc", "last", *context, F.explode(pieces).alias("r")).select("id", "doc", "last", *context, "r.lo", "r.hi")
         rows = rows.filter((F.col("lo") <= F.col("hi")) & (F.col("lo") <= F.length("left")) & (min_len - F.col("hi") <= F.length("right")))
         core = F.concat(F.left("left", F.col("lo")), F.lit("\x00"), F.left("right", F.lit(min_len) - F.col("hi")))
         rows = staged(_in_two_records(staged(rows.select("*", core.alias("core")), "span-ranges"), "lo", "hi", "core"), "span-ranges")

@@ -146,8 +146,8 @@ def word_count(text: Column) -> Column:
 
 def parsed_words(raw: Column) -> Column:
     """The words of a list written as ``['a', 'b']``, of any other text itself, none for null and ``nan``."""
-    inner = F.regexp_extract_all(raw, F.lit(r"'([^']*)'|\"([^\"]*)\""), F.lit(0))
-    listed = F.transform(inner, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    inner = F.regexp_extract_all(raw, F.lit(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""), F.lit(0))
+    listed = F.transform(inner, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(['\"\\])", "$1"))
     none = F.array().cast("array<string>")
     return F.when(raw.isNull() | (F.lower(F.trim(raw)).isin("nan", "")), none).when(F.trim(raw).rlike(r"^\[.*\]$"), listed).otherwise(F.array(raw))
 

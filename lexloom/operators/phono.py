@@ -6,8 +6,10 @@ import heapq
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.sampling import u01
@@ -25,18 +27,47 @@ SPELLINGS: dict[str, list[tuple[str, float]]] = {
 }
 
 
+#: A phone for each letter, where no dictionary is at hand.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", "AE B K D EH F G HH IH JH K L M N AO P K R S T AH V W S IY Z".split()))
+
+
 def is_vowel(phone: Column) -> Column:
     """Whether a phone, stress aside, is a vowel."""
     return without_stress(phone).isin(VOWELS)
 
 
+def with_stress(phones: Column) -> Column:
+    """Phones in which each vowel without a stress digit has stress 1."""
+    return F.transform(phones, lambda p: F.when(p.isin(VOWELS), F.concat(p, F.lit("1"))).otherwise(p))
+
+
 def dictionary(lines: DataFrame, column: str = "value") -> DataFrame:
     """(word, phones) of lines ``WORD PH PH ...``; comments and lines without phones are skipped, stress is dropped."""
     parts = F.split(F.trim(column), r"\s+")
-    rows = lines.filter(~F.col(column).startswith(";;;")).select(F.element_at(parts, 1).alias("word"), F.transform(F.slice(parts, 2, 1000), without_stress).alias("phones"))
+    rows = lines.filter(~F.col(column).startswith(";;;")).select(F.element_at(parts, 1).alias("word"), F.transform(F.slice(parts, F.lit(2), F.size(parts)), without_stress).alias("phones"))
+    return rows.filter(F.size("phones") > 0)
+
+
+def spelled_out(words: DataFrame) -> DataFrame:
+    """(word, phones) of words, in upper case, by a phone for each letter; words without a letter have none and are left out."""
+    letters = F.filter(F.split(F.lower("word"), ""), lambda c: c.isin(list(LETTERS)))
+    table = F.create_map(*[F.lit(x) for pair in LETTERS.items() for x in pair])
+    rows = words.select(F.upper("word").alias("word"), F.transform(letters, lambda c: F.element_at(table, c)).alias("phones")).distinct()
     return rows.filter(F.size("phones") > 0)
 
 
+def first_dictionary(spark: SparkSession, paths: list[str], words: DataFrame) -> DataFrame:
+    """The pronunciations of the first file that holds any, or else of ``words`` by :func:`spelled_out`."""
+    for path in paths:
+        try:
+            found = dictionary(spark.read.text(path))
+        except AnalysisException:
+            continue
+        if found.limit(1).count():
+            return found
+    return spelled_out(words)
+
+
 def legal_onsets(words: DataFrame) -> DataFrame:
     """(onset): the distinct consonant clusters before the first vowel, as text; the empty one always."""
     first = F.array_position(F.transform("phones", lambda p: is_vowel(p)), True)
@@ -83,36 +114,46 @@ def frequency_tables(cut: DataFrame) -> DataFrame:
     return parts.unionByName(sizes).groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 
+#: Rows of the frequency tables that a draw takes at most; they go to all tasks.
+MAX_VALUES = 200_000
+
+
 def _drawn(values: list[tuple[str, int]], u: Column) -> Column:
     """A value drawn by its count: the first whose running share exceeds ``u``."""
-    total, run, table = sum(n for _, n in values), 0, []
-    for value, n in values:
-        run += n
-        table.append(F.struct(F.lit(run / total).alias("upto"), F.lit(value).alias("value")))
-    return F.element_at(F.filter(F.array(*table), lambda s: s["upto"] > u), 1)["value"]
+    names, upto = np.array([v for v, _ in values], object), np.cumsum([n for _, n in values])
+    shares = upto / upto[-1]
+
+    @F.pandas_udf("string")
+    def draw(x: pd.Series) -> pd.Series:
+        return pd.Series(names[np.minimum(np.searchsorted(shares, x.to_numpy(), side="right"), len(names) - 1)])
+
+    return draw(u)
 
 
 def pronunciations(tables: DataFrame, n: int, words: DataFrame, most_syllables: int = 3, seed: int = 42) -> DataFrame:
-    """(attempt, phones): ``n`` pronunciations of 1 to 3 syllables drawn from the tables, without those of real words."""
-    rows = sorted((r.kind, r.value, r.n) for r in tables.collect())
+    """(attempt, phones): ``n`` pronunciations of 1 to 3 syllables drawn from the tables, without those of real words; an error for tables of more than MAX_VALUES rows."""
+    rows = tables.limit(MAX_VALUES + 1).collect()
+    if len(rows) > MAX_VALUES:
+        raise ValueError(f"frequency tables of more than {MAX_VALUES} rows")
+    rows = sorted((r.kind, r.value, r.n) for r in rows)
     of = {k: [(v, c) for kind, v, c in rows if kind == k] for k in ("onset", "nucleus", "coda")}
     sizes = [(v, c) for kind, v, c in rows if kind == "syllables" and int(v) <= most_syllables]
     if not sizes or not of["nucleus"]:
         return tables.sparkSession.createDataFrame([], "attempt bigint, phones string")
     ids = tables.sparkSession.range(n).select(F.col("id").alias("attempt"))
-    ids = ids.select("attempt", _drawn(sizes, u01(seed, F.col("attempt"), "size")).cast("int").alias("size"))
-    parts = [[_drawn(of[k], u01(seed, F.col("attempt"), f"{k}{i}")) for k in ("onset", "nucleus", "coda")] for i in range(most_syllables)]
-    cells = [F.when(F.col("size") > i, F.concat_ws(" ", *p)) for i, p in enumerate(parts)]
-    drawn = ids.select("attempt", F.trim(F.regexp_replace(F.concat_ws(" ", *cells), " +", " ")).alias("phones"))
+    cells = [_drawn(of[k], u01(seed, F.col("attempt"), f"{k}{i}")).alias(f"{k}{i}") for i in range(most_syllables) for k in ("onset", "nucleus", "coda")]
+    drawn = ids.select("attempt", _drawn(sizes, u01(seed, F.col("attempt"), "size")).alias("size"), *cells)
+    parts = [F.when(F.col("size").cast("int") > i, F.concat_ws(" ", f"onset{i}", f"nucleus{i}", f"coda{i}")) for i in range(most_syllables)]
+    drawn = drawn.select("attempt", F.trim(F.regexp_replace(F.concat_ws(" ", *parts), " +", " ")).alias("phones"))
     real = words.select(F.array_join("phones", " ").alias("phones")).distinct()
     return drawn.join(real, "phones", "left_anti").select("attempt", "phones")
 
 
-def spelled(phones: list[str], n_best: int = 5, beam: int = 32) -> list[str]:
-    """The spellings of least cost, best first; ties by text."""
+def spelled(phones: list[str], n_best: int = 5, beam: int = 32, spellings: dict[str, list[tuple[str, float]]] = SPELLINGS) -> list[str]:
+    """The spellings of least cost, best first; ties by text. ``spellings`` gives those of each phone with their costs; an unknown phone is its name."""
     states = [(0.0, "")]
     for p in phones:
-        choices = SPELLINGS.get(p.rstrip("0123456789"), [(p.lower(), 0.1)])
+        choices = spellings.get(p.rstrip("0123456789"), [(p.lower(), 0.1)])
         states = heapq.nsmallest(beam, {text + s: cost + c for cost, text in states for s, c in choices}.items(), key=lambda x: (x[1], x[0]))
         states = [(cost, text) for text, cost in states]
     return [t for c, t in sorted(states) if math.isfinite(c)][:n_best]

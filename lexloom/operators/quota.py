@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,17 +41,17 @@ def _language_of(label: Column) -> Column:
     return F.lower(F.element_at(F.split(F.trim(label), "[-_]"), 1))
 
 
-def quality_gate(records: DataFrame, gate: Gate = Gate(), key: str = "record_id") -> DataFrame:
+def quality_gate(records: DataFrame, gate: Gate = Gate(), key: str = "record_id", detect: Callable[[Column], Column] | None = None) -> DataFrame:
     """(source, ord, text, hint) of records with a long enough text in ASCII, the language and a hint from the floor on.
 
-    A language that isn't known counts as the wanted one; a null, NaN hint fails, as does a row without key or source. A
+    The language is that of the label, or of ``detect``, a function from texts to languages. One that isn't known counts as the wanted one; a null, NaN hint fails, as does a row without key or source. A
     record that is delivered again counts once: deliveries are alike, so the gate comes first and only what passes is
     shuffled. With a limit, the first of each source by key.
     """
     text = normalized(F.col("text"))
     if gate.max_len:
         text = F.left(text, F.lit(gate.max_len))
-    lang = _language_of(F.col("lang"))
+    lang = _language_of(F.col("lang") if detect is None else detect(text))
     known = F.length(lang) == 2
     source = F.lower(F.trim("source"))
     floor = F.lit(gate.floor)

@@ -14,42 +14,74 @@ from lexloom.tables import table
 plans = Plans()
 
 LEXICON = [
-    ("uxirred", "verb", "negative", "to spoil by haste", ["uxirring", "uxirredt", "uxirrer", "uxirrable"]),
-    ("oolald", "noun", "positive", "a shared tool", ["oolalds", "oolaldry"]),
-    ("easopes", "adj", "negative", "hard to reach", ["easopesly", "easopesness"]),
-    ("orvid", "adv", "positive", "without effort", []),
+    ("uxirred", "verb", "negative", "to spoil by haste", ["uxirring", "uxirredt", "uxirrer", "uxirrable"], ["uxirred the plan"], ["mend"]),
+    ("oolald", "noun", "positive", "a shared tool", ["oolaldry", "oolalds", "oolaldship"], ["a common oolald"], None),
+    ("easopes", "adj", "Negative", "hard to reach", ["easopesness", "easopesly", "easopesity", "easopesish"], None, ["near"]),
+    ("orvid", "adv", "positive", "without effort", [], None, None),
+    ("usnale", "adv", None, "in a \"low\" voice", ["usnalelike", "usnaled", "usnaler"], [], None),
+    ("edjacooks", "verb", "positive", "to join", ["edjacookser"], None, None),
 ]
-BUCKETS = {2000: ["uxirred"], 600: ["oolald"], 200: ["easopes"]}
+_COLUMNS = "lemma string, pos string, polarity string, definition string, derivations array<string>, allowed_collocations array<string>, contrast_set array<string>"
+BUCKETS = {2000: ["uxirred", "edjacooks"], 600: ["oolald"], 200: ["easopes", "usnale"]}
 MODELS = {"alpha/large": 1.0, "alpha/small": 4.0, "beta/base": 2.5}
+REWARDS = ["heavy", "medium", "none"]
 
-_LEXICON = "(SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{d}', [{', '.join(repr(x) for x in e)}]::VARCHAR[])" for a, b, c, d, e in LEXICON) + ") AS t(lemma, pos, polarity, definition, derivations))"
+
+def _sql(x) -> str:
+    if x is None:
+        return "NULL"
+    return "[" + ", ".join(map(_sql, x)) + "]::VARCHAR[]" if isinstance(x, list) else "'" + x.replace("'", "''") + "'"
+
+
+def _dimension(rows: list[tuple], *names: str) -> str:
+    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows) + f") AS t({', '.join(names)}))"
+
+
+_LEXICON = _dimension(LEXICON, *genplan.LEXICON_KEYS)
 _N = "CASE " + " ".join(f"WHEN lower(lemma) IN ({', '.join(repr(x) for x in names)}) THEN {n}" for n, names in BUCKETS.items()) + " ELSE 10 END"
 _KEY = "lemma || '#' || idx"
-_REQUESTS = f"""(SELECT *, {weighted_sql(list(MODELS), list(MODELS.values()), u01_sql(42, _KEY, 'model'))} AS model, {', '.join(f"{pick_sql(pool, u01_sql(42, _KEY, name))} AS {name}" for name, pool in genplan.POOLS.items())},
+_DRAWN = {**genplan.POOLS, "reward": REWARDS}
+_REQUESTS = f"""(SELECT *, {weighted_sql(list(MODELS), list(MODELS.values()), u01_sql(42, _KEY, 'model'))} AS model, {', '.join(f"{pick_sql(pool, u01_sql(42, _KEY, name))} AS {name}" for name, pool in _DRAWN.items())},
     least(floor(-500 * ln(1 - {u01_sql(42, _KEY, 'length')}) + 100), 4000)::INT AS target_words FROM (SELECT *, unnest(range(1, {_N} + 1)) AS idx FROM {_LEXICON}))"""
 
 
 def _planned(spark: SparkSession) -> DataFrame:
-    lexicon = spark.createDataFrame(LEXICON, "lemma string, pos string, polarity string, definition string, derivations array<string>")
-    return genplan.requests(lexicon, BUCKETS, MODELS)
+    return genplan.requests(spark.createDataFrame(LEXICON, _COLUMNS), BUCKETS, MODELS, rewards=REWARDS)
 
 
-@plans.query(f"SELECT lemma, idx, model, {', '.join(genplan.POOLS)}, target_words FROM {_REQUESTS}")
+@plans.query(f"SELECT lemma, idx, model, {', '.join(_DRAWN)}, target_words FROM {_REQUESTS}")
 def gen_plan(spark: SparkSession, folder: str) -> DataFrame:
-    return _planned(spark).select("lemma", "idx", "model", *genplan.POOLS, "target_words")
+    return _planned(spark).select("lemma", "idx", "model", *_DRAWN, "target_words")
+
+
+_KINDS = """(SELECT *, CASE pos WHEN 'verb' THEN list_filter(derivations, lambda f: f LIKE '%ing') WHEN 'adj' THEN list_filter(derivations, lambda f: f LIKE '%ly')
+        WHEN 'noun' THEN list_filter(derivations, lambda f: f LIKE '%s' AND f NOT LIKE '%ss') ELSE list_filter(derivations, lambda f: f LIKE '%ness' OR f LIKE '%like') END AS k1,
+    CASE pos WHEN 'verb' THEN list_filter(derivations, lambda f: f LIKE '%ed' OR f LIKE '%t') WHEN 'adj' THEN list_filter(derivations, lambda f: f LIKE '%ness' OR f LIKE '%ity') ELSE []::VARCHAR[] END AS k2 FROM """ + _REQUESTS + ")"
+_WITH_FORMS = f"""(SELECT *, CASE deriv WHEN 'lemma_only' THEN []::VARCHAR[] WHEN 'single_deriv' THEN (k1[1:1] || k2[1:1] || derivations[1:1])[1:1] WHEN 'multi_deriv_heavy' THEN (k1[1:1] || k2[1:1] || rest)[1:5]
+        WHEN 'lemma_rotation' THEN (k1[1:1] || k2[1:1] || CASE WHEN pos = 'adj' THEN []::VARCHAR[] ELSE rest[1:1] END)[1:2]
+        ELSE (k1[1:1] || k2[1:1] || CASE WHEN pos IN ('verb', 'adj') THEN rest[1:1] ELSE rest[1:2] END)[1:3] END AS forms
+    FROM (SELECT *, list_filter(derivations, lambda f: NOT list_contains(k1, f) AND NOT list_contains(k2, f)) AS rest FROM {_KINDS}))"""
+_STANCE_ROWS = [(p, s, genplan.NO_STANCE if s == "none" else t + genplan.STRENGTHS[s]) for p, t in genplan.STANCES.items() for s in REWARDS]
+_JSON_ENTRY = " || ".join(f"CASE WHEN {k} IS NULL THEN '' ELSE ',\"{k}\":' || to_json({k}) END" for k in genplan.LEXICON_KEYS)
+_FIELDS = {"style": "replace(style, '_', ' ')", "forms": f"CASE WHEN len(forms) > 0 THEN array_to_string(forms, ', ') ELSE '{genplan.NO_FORMS}' END", "form_text": "replace(form_text, '{}', array_to_string(forms, '/'))", "target_words": "target_words::VARCHAR"}
+
+
+def _filled(template: str, fields: dict[str, str]) -> str:
+    parts = template.replace("}", "{").split("{")
+    return " || ".join(fields.get(p, p) if i % 2 else _sql(p) for i, p in enumerate(parts) if i % 2 or p)
 
 
-_FORMS = """array_to_string((CASE WHEN pos = 'verb' THEN list_filter(derivations, lambda f: f LIKE '%ing')[1:1] || list_filter(derivations, lambda f: f LIKE '%ed' OR f LIKE '%t')[1:1] || list_filter(derivations, lambda f: NOT (f LIKE '%ing' OR f LIKE '%ed' OR f LIKE '%t'))
-    ELSE derivations END)[1:CASE deriv WHEN 'lemma_only' THEN 0 WHEN 'single_deriv' THEN 1 WHEN 'lemma_rotation' THEN 2 WHEN 'multi_deriv_light' THEN 3 ELSE 5 END], ', ')"""
+_PROMPT = _filled(genplan.FRAME, {"control": "(" + _filled("\n".join(genplan.CONTROL), _FIELDS) + ")", "lexicon": f"'{{' || substr({_JSON_ENTRY}, 2) || '}}'"})
 
 
 @plans.query(
-    f"""SELECT lemma, idx, concat_ws(chr(10), 'Genre: ' || replace(style, '_', ' '), 'Length: about ' || target_words || ' words', 'Writer: ' || knowledge || ', ' || nationality, 'Forms: ' || CASE WHEN {_FORMS} = '' THEN 'any' ELSE {_FORMS} END,
-        'Evaluative words: ' || density, 'Stance: ' || CASE WHEN lower(polarity) = 'negative' THEN 'negative' ELSE 'positive' END,
-        'Lexicon: ' || to_json({{'lemma': lemma, 'pos': pos, 'polarity': polarity, 'definition': definition, 'derivations': derivations}})) AS prompt FROM {_REQUESTS}"""
+    f"""SELECT lemma, idx, {_sql(genplan.SYSTEM)} AS system, {_PROMPT} AS prompt FROM {_WITH_FORMS} x JOIN {_dimension(list(genplan.STYLES.items()), 'style', 'style_text')} USING (style)
+        JOIN {_dimension(list(genplan.DENSITIES.items()), 'density', 'density_text')} USING (density) JOIN {_dimension(list(genplan.KNOWLEDGE.items()), 'knowledge', 'knowledge_text')} USING (knowledge)
+        JOIN {_dimension(list(genplan.NATIONALITIES.items()), 'nationality', 'nationality_text')} USING (nationality) JOIN {_dimension([(*k, t) for k, t in genplan.FORM_TEXTS.items()], 'pos', 'deriv', 'form_text')} USING (pos, deriv)
+        JOIN {_dimension(_STANCE_ROWS, 'stance', 'reward', 'reward_text')} s ON s.stance = CASE WHEN lower(polarity) = 'negative' THEN 'negative' ELSE 'positive' END AND s.reward = x.reward"""
 )
 def prompt_text(spark: SparkSession, folder: str) -> DataFrame:
-    return genplan.prompts(_planned(spark)).select("lemma", "idx", "prompt")
+    return genplan.prompts(_planned(spark)).select("lemma", "idx", "system", "prompt")
 
 
 _COUNTED = "(SELECT source AS model, lang AS word, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')), 0) AS words FROM documents)"

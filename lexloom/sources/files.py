@@ -129,7 +129,7 @@ def read_vectors(spark: SparkSession, root: str, size: int) -> DataFrame:
         return spark.createDataFrame([], "word string, vec array<double>")
     binary = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     found = binary.option("pathGlobFilter", "*.npy").load(root).select("path", "content").mapInArrow(decode, "at string, vec array<double>")
-    meta = binary.option("pathGlobFilter", "*.json").load(root).select(F.regexp_replace("path", r"\.json$", "").alias("at"), F.get_json_object(F.decode("content", F.lit("UTF-8")), "$.word").alias("word"))
+    meta = binary.option("pathGlobFilter", "*.json").load(root).select(F.regexp_replace("path", r"\.json$", "").alias("at"), F.get_json_object(F.decode("content", "UTF-8"), "$.word").alias("word"))
     rows = found.join(meta.filter(F.trim("word") != ""), "at")
     return rows.groupBy("word").agg(F.max_by("vec", "at").alias("vec"))
 

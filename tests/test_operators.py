@@ -76,7 +76,7 @@ def test_insertion_into_documents(spark):
 
 def has(spark, sentence, query):
     df = spark.createDataFrame([(sentence, [query])], "s string, q array<string>")
-    return df.select(annotate.has_any_term(annotate.words(F.col("s")), annotate.term_tokens(F.col("q"))).alias("r")).first().r
+    return df.select(annotate.has_any_form(annotate.token_line(F.col("s")), annotate.term_forms(annotate.term_tokens(F.col("q")))).alias("r")).first().r
 
 
 def test_matcher_knows_inflections(spark):
@@ -87,7 +87,7 @@ def test_matcher_knows_inflections(spark):
 
 def test_completeness_and_verdicts(spark):
     df = spark.createDataFrame([(1, 4097, 4097, '[["x",0]]', "s"), (2, 10, 10, '[["vermin",0]]', "s"), (3, None, None, '[["fine",0]]', "s"), (4, 5, 5, "[]", "s"), (5, 5, 6, '[["vermin",0]]', "s"), (6, 5, 5, None, None)], "candidate_id bigint, doc_len bigint, disp_len bigint, spans_json string, seed string")
-    got = {r.candidate_id: (r.is_all_doc, r.is_unsafe) for r in screen.screened(df).collect()}
+    got = {r.candidate_id: (r.is_all_doc, r.is_unsafe) for r in screen.screened(df, screen.pattern_answer("vermin")).collect()}
     assert got == {1: (False, None), 2: (True, True), 3: (True, False), 4: (True, None), 5: (False, None), 6: (True, None)}
     probs = spark.createDataFrame([([0.1, 0.5],), ([0.2],), (None,)], "p array<double>")
     assert [r.r for r in probs.select(screen.any_above(F.col("p")).alias("r")).collect()] == [True, False, False]
@@ -176,8 +176,11 @@ def test_generation_plan(spark):
     lemma = spark.createDataFrame([("UXIRRED",), ("other",)], "lemma string")
     got = {r.lemma: r.n for r in lemma.select("lemma", genplan.docs_for_lemma(F.col("lemma"), {2000: ["uxirred"]}).alias("n")).collect()}
     assert got == {"UXIRRED": 2000, "other": 10}
-    forms = spark.createDataFrame([("verb", ["xs", "xing", "xed"], "single_deriv")], "pos string, f array<string>, s string")
-    assert forms.select(genplan.derived_forms(F.col("pos"), F.col("f"), F.col("s")).alias("r")).first().r == ["xing"]
+    forms = spark.createDataFrame([("verb", ["xs", "xing", "xed"], "single_deriv"), ("verb", ["xs", "xer", "xing", "xed"], "multi_deriv_heavy"), ("noun", ["ab", "xs", "xss"], "lemma_rotation"), ("adj", None, "multi_deriv_light"), ("adv", ["q", "qness"], "lemma_only")], "pos string, f array<string>, s string")
+    assert [r.r for r in forms.select(genplan.derived_forms(F.col("pos"), F.col("f"), F.col("s")).alias("r")).collect()] == [["xing"], ["xing", "xed", "xs", "xer"], ["xs", "ab"], [], []]
+    bare = spark.createDataFrame([("w", None, None, None, None, None, None, None, None, 100)], "lemma string, pos string, polarity string, derivations array<string>, style string, density string, deriv string, knowledge string, nationality string, target_words int")
+    row = genplan.prompts(bare.withColumn("reward", F.lit("none"))).first()
+    assert '{"lemma":"w"}' in row.prompt and genplan.NO_STANCE in row.prompt
 
 
 def test_syllables(spark):
@@ -226,3 +229,129 @@ def test_document_tree_holds_all_sources(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").filter("text <> '' AND source IS NOT NULL").selectExpr("source", "coalesce(lang, 'und')", "format_string('%08d.txt', doc_id)", "text")
     got = plans.document_tree(spark, data).select("model", "word", "name", "text").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, rows.collect())) and len({r.model for r in got}) > 2
+
+
+def test_spans_of_objects_with_other_keys(spark):
+    from lexloom.functions.spans import spans_text
+
+    rows = [('[{"z": "first", "a": "second"}, {"text": "t"}]', "firstt"), ('[{"zz": 5}]', "5"), ("[[\'\'a\'\', 1]]", "a"), ("[]", ""), ("{}", None), (None, None), ('["s", {"0": "n"}]', "sn")]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(rows)], "i int, raw string")
+    got = [r.t for r in df.select("i", spans_text(F.col("raw")).alias("t")).orderBy("i").collect()]
+    assert got == [b for _, b in rows]
+
+
+def test_cut_for_model(spark):
+    df = spark.createDataFrame([("a b  c",), ("",), (None,)], "t string")
+    assert [r.x for r in df.select(screen.cut_for_model(F.col("t"), 2, 100).alias("x")).collect()] == ["a b", "", None]
+    assert df.select(screen.cut_for_model(F.col("t"), 9, 3).alias("x")).first().x == "a b"
+
+
+def test_pace_and_retries():
+    from lexloom.operators.pacing import Pace, retried
+
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(round(s, 3))
+        now[0] += s
+
+    pace = Pace(10, tasks=2, clock=lambda: now[0], sleep=sleep)
+    for _ in range(3):
+        pace.wait()
+    assert slept == [0.2, 0.2]
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return 7
+
+    waits = []
+    assert retried(flaky, 5, sleep=waits.append)() == 7 and waits == [0.5, 1.0]
+    with pytest.raises(OSError):
+        retried(lambda: (_ for _ in ()).throw(OSError()), 2, sleep=waits.append)()
+
+
+def test_pairs_lists_rankings_and_vectors(spark, tmp_path):
+    at = fresh_path(spark, "t-more")
+    rows = spark.createDataFrame([(1, "", "x"), (2, None, "y"), (2, None, "y"), (None, "n", "z")], "id bigint, text string, k string")
+    assert files.append_pair(rows.filter("id = 1"), at + "/p", "id") == 1 and files.append_pair(rows, at + "/p", "id") == 1 and files.append_pair(rows, at + "/p", "id") == 0
+    got = files.read_csv(spark, at + "/p/csv", "id bigint, text string, k string").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "", "x"), (2, None, "y")] and spark.read.json(at + "/p/jsonl").count() == 2
+    files.write_list(spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "w string"), at + "/l")
+    assert sorted(r.value for r in files.read_lines(spark, at + "/l").collect()) == ["a", "b"]
+    files.write_ranked_csv(spark.createDataFrame([("a", 1.0), ("b", 2.5), ("c", None)], "w string, x double"), at + "/r", [F.desc_nulls_last("x")])
+    assert {(r.w, r.x) for r in files.read_csv(spark, at + "/r", "w string, x string").collect()} == {("b", "2.500000"), ("a", "1.000000"), ("c", None)}
+    for name, x, word in (("a", np.arange(3.0), "one"), ("b", np.arange(4.0), "two"), ("c", np.arange(3.0) + 1, "one"), ("d", np.ones(3), None)):
+        np.save(tmp_path / f"{name}.npy", x)
+        if word:
+            (tmp_path / f"{name}.json").write_text('{"word": "%s"}' % word)
+    (tmp_path / "e.npy").write_bytes(b"broken")
+    (tmp_path / "e.json").write_text('{"word": "e"}')
+    assert {(r.word, tuple(r.vec)) for r in files.read_vectors(spark, f"file://{tmp_path}", 3).collect()} == {("one", (1.0, 2.0, 3.0))}
+    (tmp_path / "phones.txt").write_text("<eps> 0\nAA 1\n\nbad\n")
+    assert files.read_symbols(spark, f"file://{tmp_path}") == {"<eps>": 0, "AA": 1} and files.read_symbols(spark, f"file://{tmp_path}/none") == {}
+    (tmp_path / "lex").mkdir()
+    (tmp_path / "lex/good.json").write_text('{"lemma": "a",\n "pos": "verb"}')
+    (tmp_path / "lex/bad.json").write_text('{"lemma": "b", "pos"')
+    assert [r.lemma for r in files.read_lexicon(spark, f"file://{tmp_path}/lex", "lemma string, pos string").collect()] == ["a"]
+
+
+def test_stream_resumes_and_adds_nothing_twice(spark):
+    from lexloom.streaming import jobs
+
+    at = fresh_path(spark, "t-stream")
+    schema = "candidate_id bigint, seed string, doc_len bigint, disp_len bigint, spans_json string"
+    rows = lambda ids: spark.createDataFrame([(i, "s", 1, 1, '["vermin"]') for i in ids], schema)
+    answer = screen.pattern_answer("vermin")
+    run = lambda: jobs.screen_stream(spark, at + "/in", rows([0]).schema, at + "/out", at + "/check", answer)
+    rows([1, 2, 2]).write.mode("append").parquet(at + "/in")
+    run()
+    rows([2, 3]).write.mode("append").parquet(at + "/in")
+    run()
+    run()
+    assert sorted(r.candidate_id for r in spark.read.parquet(at + "/out").collect()) == [1, 2, 3]
+
+
+def test_harvest_bounds(spark):
+    many = [(i, "abuse abuse harassment", None) for i in range(40)]
+    one = index.harvest(docs(spark, many), ["abuse"], 8).collect()
+    assert sorted((r.shard, r.ptr_or_rank) for r in one) == [(s, k) for s in range(4) for k in (0, 5)]
+    cnf = index.harvest(docs(spark, many), ["abuse AND harassment"], 12).collect()
+    assert sorted({r.ptr_or_rank for r in cnf}) == [0, 3, 6] and len(cnf) == 12
+    assert len(index.harvest(docs(spark, many), ["abuse"], 2).collect()) == 2  # fewer than there are shards
+    thin = index.matching(docs(spark, many), ["abuse AND harassment"], max_clause_freq=10).collect()
+    assert 0 < len(thin) <= 10
+    assert len(index.matching(docs(spark, many), ["abuse AND harassment"], max_clause_freq=1000).collect()) == 40
+
+
+def test_subwords_and_vocabulary(spark):
+    from lexloom.plans.vocabulary import PIECES
+
+    words = spark.createDataFrame([("the", 5, 6), ("thesis", 1, 1)], "word string, n bigint, roots bigint")
+    with open(PIECES, "rb") as f:
+        rows = vocab.subwords(words, f.read()).collect()
+    assert all("".join(r.pieces) == "▁" + r.word for r in rows)
+    found = {r.word for r in vocab.vocabulary_words(vocab.vocabulary(spark, PIECES)).limit(100_000).collect()}
+    assert "the" in found and len(found) > 5_000
+    rooted = vocab.rooted_counts(docs(spark, [(1, "the cat. The (cat)", None)])).collect()
+    assert {(r.word, r.n, r.roots) for r in rooted} == {("the", 2, 2 + 1), ("cat", 2, 2 + 2)}
+
+
+def test_encoder_and_masked_pooling(spark):
+    words = spark.createDataFrame([("a",), ("bc",), (None,)], "word string")
+    got = {r.word: r.vec for r in similarity.encoded(words, lambda: lambda texts: np.array([[len(t), ord(t[0])] for t in texts])).collect()}
+    assert got == {"a": [2.0, 32.0], "bc": [3.0, 32.0]}
+    assert np.isclose(np.linalg.norm(similarity.hashed_ngrams()([" word"])), 1)
+    df = spark.createDataFrame([(1, [1.0], True), (1, [9.0], False), (1, [3.0], None)], "id bigint, vec array<double>, m boolean")
+    assert similarity.pooled(df, mask="m").first().vec == [1.0]
+
+
+def test_multi_label_classifier(spark):
+    def predict(batches):
+        for texts in batches:
+            yield texts.map(lambda t: [0.1, 0.9 if "bad" in t else 0.2])
+
+    df = spark.createDataFrame([(1, 1, 1, '[["bad",0]]', "s"), (2, 1, 1, '[["good",0]]', "s")], "candidate_id bigint, doc_len bigint, disp_len bigint, spans_json string, seed string")
+    assert {r.candidate_id: r.is_unsafe for r in screen.screened(df, screen.multi_label_answer(_typed(predict))).collect()} == {1: True, 2: False}

@@ -3,7 +3,7 @@
 1. Centroids are fitted by recursive balanced k-means on a sample that grows with the lists: coarse cells on the driver,
    the lists of each cell on the executors. In the order of the splitting trees neighbouring lists are similar, and runs
    of lists form the partitions.
-2. A graph over the centroids (nearest neighbours, entered through hubs) is searched in memory for each vector. The
+2. A graph over the centroids (nearest neighbours, entered through a layer of means) is searched in memory for each vector. The
    vector is stored in its nearest list and replicated to others whose centroid is almost as near (boundary vectors);
    as a query it visits the lists within a distance ratio of the nearest. The ratio of each region of lists is fitted:
    so large that a share WANTED of the true neighbours of sampled queries, found by comparing them with all, is met.
@@ -43,13 +43,11 @@ PROBES = (8, 32)
 WANTED, FITTED_QUERIES, PAIRS_PER_REGION = 0.998, 2_048, 2_000
 #: A query goes on, whatever the ratio, until its lists hold about so many vectors for each neighbour that is wanted.
 LEAST_MET = 5
-#: Graph neighbours of a centroid, and the hubs from which each search starts.
+#: Graph neighbours of a centroid, and the least and greatest length of the runs whose means are the layer above.
 DEGREE = 24
-ENTRIES = 12
-#: Nearest nodes of a query that must be expanded before its search ends.
-BEAM = 6
-#: Queries that expand one node, on average, from which on they are compared by one product for each node.
-DENSE = 8
+RUNS = (16, 128)
+#: Nodes of the runs that a query enters, about, and its nearest nodes that must be expanded before its search ends.
+ENTERED, CLIMB = 4_096, 2
 #: Lists per partition, at least and as a rule; the vectors that a partition of several lists holds at most.
 MIN_LISTS_PER_PART, LISTS_PER_PART, VECTORS_PER_PART = 8, 64, 50_000
 #: A partition that more vectors visit is split by visitor.
@@ -125,108 +123,105 @@ def fit_centroids(sample: np.ndarray, lists: int, seed: int = 7, branch: int = 8
 
 @dataclass
 class CentroidGraph:
-    """Centroids, an undirected graph of near neighbours and of each hub with the centroids nearest to it, and the hubs, by which searches enter.
+    """Centroids in the order of their tree, a graph of near neighbours, and a coarser layer above it: the means of runs of centroids.
 
-    The neighbours of node i are ``heads[starts[i] : starts[i + 1]]``.
+    The neighbours of node i are ``heads[starts[i] : starts[i + 1]]``; run j has the nodes from ``j * run`` on.
     """
 
     centroids: np.ndarray
     starts: np.ndarray
     heads: np.ndarray
-    hubs: np.ndarray
+    means: np.ndarray
+    run: int
 
     @classmethod
     def build(cls, centroids: np.ndarray, degree: int = DEGREE, block: int = 512, blocks: int = 32) -> CentroidGraph:
-        """Neighbours are looked for in the ``blocks`` nearest runs of ``block`` centroids, by the means of the runs."""
+        """Neighbours are looked for in the ``blocks`` nearest stretches of ``block`` centroids, by their means."""
         n = len(centroids)
         degree = min(degree, n)
         near = np.empty((n, degree), np.int32)
         half = 0.5 * (centroids * centroids).sum(1)
-        runs = [np.arange(at, min(n, at + block)) for at in range(0, n, block)]
-        means = np.array([centroids[r].mean(0) for r in runs]) if n else centroids
-        for run in runs:
-            if len(runs) > blocks:
-                close = np.argpartition(-(means @ centroids[run].mean(0) - 0.5 * (means * means).sum(1)), blocks)[:blocks]
-                cand = np.concatenate([runs[j] for j in np.sort(close)])
+        parts = [np.arange(at, min(n, at + block)) for at in range(0, n, block)]
+        middle = np.array([centroids[r].mean(0) for r in parts]) if n else centroids
+        for part in parts:
+            if len(parts) > blocks:
+                close = np.argpartition(-(middle @ centroids[part].mean(0) - 0.5 * (middle * middle).sum(1)), blocks)[:blocks]
+                cand = np.concatenate([parts[j] for j in np.sort(close)])
             else:
                 cand = np.arange(n)
-            score = centroids[run] @ centroids[cand].T - half[cand]
-            best = np.argpartition(-score, degree - 1, 1)[:, :degree] if degree < len(cand) else np.tile(np.arange(len(cand)), (len(run), 1))
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), 1, kind="stable"), 1)
-            near[run] = cand[best]
-        hubs = np.arange(0, n, max(1, int(np.sqrt(n) / 4)), dtype=np.int32)
-        cell = np.concatenate([hubs[np.argmax(centroids[r] @ centroids[hubs].T - half[hubs], 1)] for r in runs]) if n else hubs
-        tails = np.concatenate([np.repeat(np.arange(n, dtype=np.int64), degree), cell])
-        heads = np.concatenate([near.ravel(), np.arange(n, dtype=np.int32)]).astype(np.int64)
+            score = centroids[part] @ centroids[cand].T - half[cand]
+            best = np.argpartition(-score, degree - 1, 1)[:, :degree] if degree < len(cand) else np.tile(np.arange(len(cand)), (len(part), 1))
+            near[part] = cand[best]
+        tails, heads = np.repeat(np.arange(n, dtype=np.int64), degree), near.ravel().astype(np.int64)
         edges = np.unique(np.concatenate([tails * n + heads, heads * n + tails]))
-        return cls(centroids, np.searchsorted(edges, np.arange(n + 1) * n), (edges % max(n, 1)).astype(np.int32), hubs)
+        run = int(np.clip(round(np.sqrt(n) / 2), *RUNS))
+        means = np.array([centroids[at : at + run].mean(0) for at in range(0, n, run)], np.float32).reshape(-1, centroids.shape[1])
+        return cls(centroids, np.searchsorted(edges, np.arange(n + 1) * n), (edges % max(n, 1)).astype(np.int32), means, run)
 
-    def search(self, x: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, k: int, entered: int = ENTERED) -> tuple[np.ndarray, np.ndarray]:
         """Per row the k nearest centroids found and their distances, nearest first (-1 and inf where there are fewer).
 
-        A beam search of many queries at once. Where many queries expand the same nodes, those of a node are compared
-        with its neighbours by one matrix product; else all are compared together, each with its own neighbours. Each
-        enters by its nearest hubs and ends when its nearest ``beam`` nodes are all expanded.
+        Many queries at once: the upper layer gives each the nearest runs, with about ``entered`` nodes, and the queries
+        of a run are compared with its nodes by one product. From there each climbs the graph: it expands its nearest
+        node that isn't expanded yet, as long as that is one of its CLIMB nearest.
         """
-        c, half = self.centroids, 0.5 * (self.centroids * self.centroids).sum(1)
-        width = max(k, beam)
-        ids = np.full((len(x), width), -1, np.int32)
-        dist = np.full((len(x), width), np.inf, np.float32)
-        done = np.ones((len(x), width), bool)
-        norm = (x * x).sum(1)
+        found = [self._search(x[at : at + 2_000], k, -(-entered // self.run)) for at in range(0, max(1, len(x)), 2_000)]
+        return tuple(np.concatenate(c) for c in zip(*found))
 
-        def merge(rows: np.ndarray, nodes: np.ndarray, cand: np.ndarray, far: np.ndarray) -> None:
-            m = min(width, cand.shape[1])
-            if m < cand.shape[1]:
-                best = np.argpartition(far, m - 1, 1)[:, :m]
-                cand, far = np.take_along_axis(cand, best, 1), np.take_along_axis(far, best, 1)
-            known = (cand[:, :, None] == ids[rows][:, None, :]).any(2)
-            all_ids = np.concatenate([ids[rows], cand], 1)
-            all_dist = np.concatenate([dist[rows], np.where(known, np.inf, far).astype(np.float32)], 1)
-            all_done = np.concatenate([done[rows], cand == nodes[:, None]], 1)
-            order = np.argsort(all_dist, 1, kind="stable")[:, :width]
-            all_dist = np.take_along_axis(all_dist, order, 1)
-            none = np.isinf(all_dist)
-            dist[rows] = all_dist
-            ids[rows] = np.where(none, -1, np.take_along_axis(all_ids, order, 1))
-            done[rows] = none | np.take_along_axis(all_done, order, 1)
-
-        def expand(rows: np.ndarray, nodes: np.ndarray) -> None:
-            if len(rows) >= DENSE * len(np.unique(nodes)):
-                for node, at in _groups(np.arange(len(rows)), nodes):
-                    own, cand = rows[at], self.heads[self.starts[node] : self.starts[node + 1]]
-                    far = np.sqrt(np.maximum(norm[own][:, None] - 2 * (x[own] @ c[cand].T - half[cand]), 0))
-                    merge(own, nodes[at], np.tile(cand, (len(own), 1)), far)
-                return
-            for at in range(0, len(rows), 1_024):
-                own, node = rows[at : at + 1_024], nodes[at : at + 1_024]
-                size = self.starts[node + 1] - self.starts[node]
-                slot = np.arange(int(size.max()))
-                real = slot < size[:, None]
-                cand = np.where(real, self.heads[np.where(real, self.starts[node][:, None] + slot, 0)], -1)
-                near = np.matmul(c[cand], x[own][:, :, None])[:, :, 0]
-                far = np.where(real, np.sqrt(np.maximum(norm[own][:, None] - 2 * (near - half[cand]), 0)), np.inf)
-                merge(own, node, cand, far)
-
-        to_hubs = x @ c[self.hubs].T - half[self.hubs]
-        entries = min(ENTRIES, len(self.hubs))
-        starts = self.hubs[np.argpartition(-to_hubs, entries - 1, 1)[:, :entries]] if entries < len(self.hubs) else np.tile(self.hubs, (len(x), 1))
-        live = np.arange(len(x))
-        for turn in range(entries + 4 * beam):
-            if turn < entries:
-                nodes = starts[:, turn]
-                done |= ids == nodes[:, None]
-            else:
-                waiting = ~done[live, :beam]
-                live = live[waiting.any(1)]
+    def _search(self, x: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        n, c, half = len(self.centroids), self.centroids, 0.5 * (self.centroids * self.centroids).sum(1)
+        norm = (x * x).sum(1)
+        runs, beam = len(self.means), min(beam, len(self.means))
+        doors = _nearest_first(-(x @ self.means.T - 0.5 * (self.means * self.means).sum(1)), beam)[0]
+        far = np.full((len(x), beam, self.run), np.inf, np.float32)
+        row, slot = np.divmod(np.arange(doors.size), beam)
+        for j, at in _groups(np.arange(doors.size), doors.ravel()):
+            nodes = slice(j * self.run, min(n, (j + 1) * self.run))
+            far[row[at], slot[at], : nodes.stop - nodes.start] = norm[row[at]][:, None] - 2 * (x[row[at]] @ c[nodes].T - half[nodes])
+        width = min(max(k, CLIMB), n)
+        best, dist = _nearest_first(far.reshape(len(x), -1), min(width, beam * self.run))
+        ids = (np.take_along_axis(doors, best // self.run, 1) * self.run + best % self.run).astype(np.int32)
+        dist = np.sqrt(np.maximum(dist, 0))
+        ids[np.isinf(dist)] = -1
+        if beam < runs:
+            done = ids < 0
+            live = np.arange(len(x))
+            while True:
+                live = live[~done[live, :CLIMB].all(1)]
                 if not len(live):
                     break
-                rank = (~done[live, :beam]).argmax(1)
+                rank = (~done[live, :CLIMB]).argmax(1)
                 nodes = ids[live, rank]
                 done[live, rank] = True
-            expand(live, nodes)
+                order = np.argsort(nodes, kind="stable")
+                for at in range(0, len(live), 1_024):
+                    self._expand(x, norm, half, live[order[at : at + 1_024]], nodes[order[at : at + 1_024]], ids, dist, done)
         return ids[:, :k], dist[:, :k]
 
+    def _expand(self, x: np.ndarray, norm: np.ndarray, half: np.ndarray, rows: np.ndarray, nodes: np.ndarray, ids: np.ndarray, dist: np.ndarray, done: np.ndarray) -> None:
+        """Puts the neighbours of each row's node among the row's nearest."""
+        size = self.starts[nodes + 1] - self.starts[nodes]
+        slot = np.arange(int(size.max()))
+        real = slot < size[:, None]
+        cand = np.where(real, self.heads[np.where(real, self.starts[nodes][:, None] + slot, 0)], -1)
+        near = np.matmul(self.centroids[cand], x[rows][:, :, None])[:, :, 0]
+        far = np.where(real, np.sqrt(np.maximum(norm[rows][:, None] - 2 * (near - half[cand]), 0)), np.inf).astype(np.float32)
+        last = dist[rows, -1]
+        some = np.flatnonzero((far < last[:, None]).sum(1) > 0)  # most have nothing nearer
+        if not len(some):
+            return
+        cand, far, own = cand[some], far[some], rows[some]
+        m = min(ids.shape[1], cand.shape[1])
+        best = np.argpartition(far, m - 1, 1)[:, :m] if m < cand.shape[1] else np.tile(np.arange(m), (len(own), 1))
+        cand, far = np.take_along_axis(cand, best, 1), np.take_along_axis(far, best, 1)
+        far[(cand[:, :, None] == ids[own][:, None, :]).any(2)] = np.inf
+        all_dist = np.concatenate([dist[own], far], 1)
+        order = np.argsort(all_dist, 1, kind="stable")[:, : ids.shape[1]]
+        dist[own] = np.take_along_axis(all_dist, order, 1)
+        none = np.isinf(dist[own])
+        ids[own] = np.where(none, -1, np.take_along_axis(np.concatenate([ids[own], cand], 1), order, 1))
+        done[own] = none | np.take_along_axis(np.concatenate([done[own], np.zeros(cand.shape, bool)], 1), order, 1)
+
 
 def _groups(rows: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(keys, kind="stable")
@@ -277,7 +272,7 @@ def route(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
                 most = int((far <= ratio[:, None] * np.maximum(far.min(1, keepdims=True), 1e-6)).sum(1).max())
                 ids, dist = _nearest_first(far, min(n, max(most, MAX_COPIES, PROBES[-1])))
             else:
-                ids, dist = graph.search(x[rows], probes, max(BEAM, probes // 2))
+                ids, dist = graph.search(x[rows], probes)
             first = np.maximum(dist[:, :1], 1e-6)
             stored = (dist <= COPY_RATIO * first) & (np.arange(ids.shape[1]) < MAX_COPIES)
             held = index.held[ids]

@@ -85,16 +85,35 @@ def test_invalid_vectors_and_hot_copies(spark, monkeypatch):
     assert [tuple(r) for r in pairs] == [(1, 2)]
 
 
-def test_graph_finds_near_centroids():
+@pytest.mark.parametrize("entered", [64, 4_096])
+def test_graph_finds_near_centroids(entered):
     rng = np.random.default_rng(3)
-    c = rng.normal(size=(500, 24)).astype(np.float32)
-    x = rng.normal(size=(300, 24)).astype(np.float32)
-    ids, dist = knn.CentroidGraph.build(c).search(x, 5)
+    c = knn.fit_centroids(rng.normal(size=(4000, 8)).astype(np.float32), 500)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    ids, dist = knn.CentroidGraph.build(c).search(x, 5, entered)
     exact = np.argmin(((x[:, None] - c[None]) ** 2).sum(2), 1)
-    assert (ids[:, 0] == exact).mean() > 0.8
+    assert (ids[:, 0] == exact).mean() > 0.9
     assert (np.diff(dist, axis=1) >= 0).all() and all(len(set(r)) == 5 for r in ids.tolist())
 
 
+def test_long_lists_are_split_and_partitions_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(knn, "MAX_LISTS", 4)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 16))
+    x = centres[rng.integers(60, size=3000)] + 0.3 * rng.normal(size=(3000, 16))
+    df = vectors(spark, enumerate(x))
+    one = sorted(tuple(r) for r in knn.nearest_neighbours(df, size=16, k=10, list_size=40).collect())
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    true = np.argpartition(-sims, 10, 1)[:, :10]
+    got = defaultdict(set)
+    for r in one:
+        got[r[0]].add(r[1])
+    assert np.mean([len(got[i] & set(true[i].tolist())) / 10 for i in range(3000)]) > 0.95
+    assert [r[:2] for r in sorted(tuple(r) for r in knn.nearest_neighbours(df.repartition(7), size=16, k=10, list_size=40).collect())] == [r[:2] for r in one]
+
+
 # --- 2: formatting duplicates
 
 TEXTS = [

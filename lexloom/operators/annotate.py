@@ -124,11 +124,13 @@ def _insert_in_sentence(s: Column, token: Column, position: Column, u: Column) -
     return F.when(position == "head", head).when((position == "mid") & (F.size(at) > 0), mid).otherwise(tail)
 
 
-def _drawn(key: Column, table: TokenTable, seed: int) -> tuple[Column, Column]:
-    position = sampling.pick(POSITIONS, sampling.u01(seed, key, "position"))
-    u = sampling.u01(seed, key, "token")
-    token = F.when(position == "head", sampling.weighted(table.head, table.weights, u)).when(position == "mid", sampling.weighted(table.mid, table.weights, u)).otherwise(sampling.weighted(table.tail, table.weights, u))
-    return position, token
+def _drawn(rows: DataFrame, key: Column, table: TokenTable, seed: int) -> DataFrame:
+    """``rows`` with ``position`` and ``token``; each draw is a column of its own, as it is used several times."""
+    rows = rows.select("*", sampling.u01(seed, key, "position").alias("_where"), sampling.u01(seed, key, "token").alias("_which"))
+    place = sampling.weighted([str(i) for i in range(1, len(table.weights) + 1)], table.weights, F.col("_which")).cast("int")
+    rows = rows.select("*", sampling.pick(POSITIONS, F.col("_where")).alias("position"), place.alias("_place"))
+    lists = F.when(F.col("position") == "head", F.array(*map(F.lit, table.head))).when(F.col("position") == "mid", F.array(*map(F.lit, table.mid))).otherwise(F.array(*map(F.lit, table.tail)))
+    return rows.select("*", F.element_at(lists, F.col("_place")).alias("token")).drop("_where", "_which", "_place")
 
 
 def _by_position(rows: DataFrame) -> list[Column]:
@@ -141,9 +143,8 @@ def augment_sentences(rows: DataFrame, table: TokenTable, seed: int = SEED) -> D
     One position and token is drawn for each text; the token goes into every sentence with a term, in the middle at a
     blank drawn for the sentence. The text is never exploded. The flags come along if the rows have them.
     """
-    position, token = _drawn(F.md5("text"), table, seed)
     flags = [c for c in ("is_all_doc", "is_unsafe") if c in rows.columns]
-    rows = matched(rows).select("*", position.alias("position"), token.alias("token"))
+    rows = _drawn(matched(rows), F.md5("text"), table, seed)
 
     def one(x: Column, i: Column) -> Column:
         u = sampling.u01(seed, F.concat_ws("/", F.md5("text"), i.cast("string")), "place")
@@ -166,8 +167,7 @@ def augment_documents(rows: DataFrame, table: TokenTable, key: str, quoted: bool
     Inside means after 1 to length - 1 characters; an empty text becomes the token. ``quoted`` puts the inner token in
     double quotes, ``change_case`` capitalises it at the head and starts the text in lower case.
     """
-    position, token = _drawn(F.col(key), table, seed)
-    rows = rows.select("*", position.alias("position"), token.alias("token"))
+    rows = _drawn(rows, F.col(key), table, seed)
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.greatest(F.length(text) - 1, F.lit(1))
     cut = (F.floor(sampling.u01(seed, F.col(key), "cut") * size) + 1).cast("int")
@@ -179,7 +179,7 @@ def augment_documents(rows: DataFrame, table: TokenTable, key: str, quoted: bool
     return rows.select("*", *_by_position(rows)).drop("augmented")
 
 
-def routed(rows: DataFrame) -> DataFrame:
-    """(aug_type, text, token): each augmented text that isn't blank as a training record of its position."""
+def routed(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``keep``, aug_type, text, token): each augmented text that isn't blank as a training record of its position."""
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("aug_type"), F.col(f"aug_{p}").alias("text"), F.col("token")) for p in POSITIONS])).alias("r")
-    return rows.select(each).select("r.*").filter(F.trim("text") != "")
+    return rows.select(*keep, each).select(*keep, "r.*").filter(F.trim("text") != "")

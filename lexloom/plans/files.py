@@ -76,8 +76,7 @@ def io_routed_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     """Training records in one folder of JSON lines per position, read back with the position from the path."""
     at = _place(spark)
     rows = annotate.augment_documents(quotas.gated(spark, folder), annotate.DOCUMENT_WORDS, "ord", quoted=True, change_case=True)
-    text = F.concat("aug_head", "aug_mid", "aug_tail")
-    files.write_routed(rows.select(F.col("position").alias("aug_type"), "ord", text.alias("text")).filter(F.trim("text") != ""), at, ["aug_type"])
+    files.write_routed(annotate.routed(rows, ("ord",)).drop("token"), at, ["aug_type"])
     return spark.read.schema("ord bigint, text string, aug_type string").json(at)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,14 +48,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder; what is written there goes away when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
     _delete_on_exit(spark, path)
+    for paths in _open_scopes[-1:]:
+        paths.append(path)
     return path
 
 
+_open_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was staged inside; the results of the queries inside must be written or collected by then.
+
+    An application that runs many queries keeps the shared folder small by a scope around each.
+    """
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _open_scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _made.pop(path, None)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     Every later pass reads the files, so a lost executor costs a re-read and never a recomputation.
-    The files go away when the driver's JVM ends.
+    The files go away when the driver's JVM ends, or with the :func:`scope` around.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)

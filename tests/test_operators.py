@@ -355,3 +355,13 @@ def test_multi_label_classifier(spark):
 
     df = spark.createDataFrame([(1, 1, 1, '[["bad",0]]', "s"), (2, 1, 1, '[["good",0]]', "s")], "candidate_id bigint, doc_len bigint, disp_len bigint, spans_json string, seed string")
     assert {r.candidate_id: r.is_unsafe for r in screen.screened(df, screen.multi_label_answer(_typed(predict))).collect()} == {1: True, 2: False}
+
+
+def test_scope_deletes_what_was_staged(spark):
+    from lexloom import storage
+
+    with storage.scope(spark):
+        df = storage.staged(spark.range(5), "t-scope")
+        path = df.inputFiles()[0]
+        assert df.count() == 5 and files._exists(spark, path)
+    assert not files._exists(spark, path)

@@ -568,8 +568,12 @@ def _routed(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(part[starts]), batch.column("id").take(at), batch.column("vec").take(at), pa.ListArray.from_arrays(offsets, pa.array(code))], ["part", "id", "vec", "lists"])
 
 
-def _searched(table: pa.Table, shared, size: int, list_size: int, k: int) -> pa.Table:
-    index, table = shared.value, table.sort_by("id")
+def _searched(batches: Iterator[pa.RecordBatch], shared, size: int, list_size: int, k: int) -> Iterator[pa.RecordBatch]:
+    """(id, others, sims): the best in the lists of one partition."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    index, table = shared.value, pa.Table.from_batches(got).sort_by("id")
     x = _matrix(table["vec"], size)
     keys = table["id"].to_numpy()
     lists = table["lists"].combine_chunks()
@@ -586,7 +590,7 @@ def _searched(table: pa.Table, shared, size: int, list_size: int, k: int) -> pa.
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
     offsets = pa.array(np.r_[starts, len(q)].astype(np.int32))
     found = [pa.array(keys[q[starts]]), pa.ListArray.from_arrays(offsets, pa.array(keys[o])), pa.ListArray.from_arrays(offsets, pa.array(s))]
-    return pa.Table.from_arrays(found, ["id", "others", "sims"])
+    yield from pa.Table.from_arrays(found, ["id", "others", "sims"]).to_batches(20_000)
 
 
 def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -639,7 +643,7 @@ def nearest_neighbours(df: DataFrame, key: str = "row_ix", vector: str = "matrix
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(index)
     routed = units.vectors().select("id", "vec").mapInArrow(lambda it: _routed(it, shared, size), "part int, id bigint, vec binary, lists array<int>")
-    found = routed.groupBy("part").applyInArrow(lambda t: _searched(t, shared, size, list_size, k), "id bigint, others array<bigint>, sims array<double>")
+    found = routed.repartitionById(int(index.splits.sum()), "part").mapInArrow(lambda it: _searched(it, shared, size, list_size, k), "id bigint, others array<bigint>, sims array<double>")
     tasks = max(1, -(-total * k * 3 // ROWS_PER_TASK))
     best = found.repartition(tasks, "id").mapInArrow(lambda it: _best(it, k), schema)
     return best if copies is None else best.unionByName(copies)

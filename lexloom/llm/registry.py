@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import abuse, canonical, cutoff, knn, langid, mixing, spans, tokenizer
+from lexloom.operators import similarity
 from lexloom.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,16 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return knn.with_words(knn.nearest_neighbours(table(spark, folder, "word_matrix")), table(spark, folder, "word_list"))
 
 
+def p1_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """(queries, pairs, recall_reached): whether of the true neighbours of every row whose number is divisible by 50, found by comparing with all rows, at least 0.95 are found."""
+    rows = table(spark, folder, "word_matrix")
+    vectors = similarity.valid_vectors(rows, 128).select(F.col("id"), "vec")
+    true = similarity.compared(vectors, vectors.filter(F.col("id") % 50 == 0), 10).select(F.col("query").alias("id"), F.col("id").alias("other"))
+    got = knn.nearest_neighbours(rows).select("id", "other", F.lit(1).alias("hit"))
+    met = true.join(got, ["id", "other"], "left")
+    return met.agg(F.countDistinct("id").alias("queries"), F.count("*").alias("pairs"), F.coalesce(F.avg(F.coalesce("hit", F.lit(0))) >= 0.95, F.lit(True)).alias("recall_reached"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.copy_links(canonical.keyed_records(table(spark, folder, "toxic_document")))
 
@@ -105,7 +116,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_collapsed, p3_found, p3_rates, p4_found, p4_segments, p4_documents, p5_found, p5_cutoffs, p6_ids, p7_selection, p7_shares, p7_large_selection, p7_large_shares, p8_found, p8_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_collapsed, p3_found, p3_rates, p4_found, p4_segments, p4_documents, p5_found, p5_cutoffs, p6_ids, p7_selection, p7_shares, p7_large_selection, p7_large_shares, p8_found, p8_shares)}
 
 _VALID_HINTS = """
     SELECT source, record_id, hint FROM (
@@ -119,13 +130,18 @@ _CUTOFFS = f"""
         FROM ({_VALID_HINTS}) r JOIN keep_targets k ON r.source = k.source)
     WHERE n_kept >= target_fraction * n_valid GROUP BY ALL
 """
-ORACLES: dict[str, str] = {
-    "p8_found": """
-        WITH windows AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+_VALID = "(SELECT row_ix AS id FROM word_matrix WHERE len(matrix) = 128 AND len(list_filter(matrix, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(matrix, lambda x: x <> 0)) > 0)"
+_P8 = """
+    WITH windows AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
         shared AS (SELECT h FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
         hits AS (SELECT doc_id, i, i - 200 > coalesce(lag(i) OVER w, -1000) AS fresh FROM windows SEMI JOIN shared USING (h) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
         runs AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits)
-        SELECT doc_id, min(i) AS span_start, max(i) + 200 - min(i) AS span_len FROM runs GROUP BY doc_id, run""",
+        SELECT doc_id, min(i) AS span_start, max(i) + 200 - min(i) AS span_len FROM runs GROUP BY doc_id, run"""
+ORACLES: dict[str, str] = {
+    "p1_recall": f"SELECT count(*) FILTER (n > 1) AS queries, (coalesce(sum(least(n - 1, 10)), 0))::BIGINT AS pairs, true AS recall_reached FROM {_VALID}, (SELECT count(*) AS n FROM {_VALID}) WHERE id % 50 = 0",
+    "p8_found": _P8,
+    "p8_shares": f"""SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(chars, 0)::BIGINT AS shared_chars, coalesce(spans, 0) AS n_spans, CASE WHEN length(text) > 0 THEN coalesce(chars, 0) / length(text) ELSE 0.0 END AS share
+        FROM documents LEFT JOIN (SELECT doc_id, sum(span_len) AS chars, count(*) AS spans FROM ({_P8}) GROUP BY doc_id) USING (doc_id)""",
     "p5_cutoffs": _CUTOFFS,
     "p5_found": f"SELECT r.source, r.record_id FROM ({_VALID_HINTS}) r JOIN ({_CUTOFFS}) c ON r.source = c.source WHERE r.hint >= c.cutoff",
 }

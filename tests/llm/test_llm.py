@@ -120,6 +120,7 @@ TEXTS = [
     "The quick brown fox, jumps over it.", "the QUICK brown fox jumps over it", "The quick brown  fox\njumps over it!!", "Ｔｈｅ quick brown fox jumps over it", "Die Straße ist sehr lang und breit.", "DIE STRASSE IST SEHR LANG UND BREIT",
     '{"user": "Anna Maria", "note": "This is a long note."}', 'Note : this is a LONG note\nUSER: anna maria', "note: This is a long note\n\nuser: Anna-Maria", "user: Anna Maria\nnot a field", "short", "SHORT", "", None, " ",
     '{"user": "Anna Maria", "user": "Anna Maria", "note": "This is a long note."}', '{"broken": "This is a long broken object', '{"nested": {"a": "long enough for a key"}}', "a" * 30_000, "A" * 30_000 + "!",
+    '\t{"note": "This is a long note.", "user": "Anna Maria"}', '\x0b\x1f {"user": "Anna Maria", "note": "This is a long note."} \x0c', '\x0c\r\n{"note": "this is a long NOTE", "user": "anna maria"}',
 ]
 
 
@@ -447,3 +448,27 @@ def test_queries_equal_sql(spark, data, name):
     cols = sorted(df.columns)
     want = con.execute(f"select {', '.join(cols)} from ({llm.ORACLES[name]})").fetchall()
     assert sorted(tuple(r) for r in df.select(*cols).collect()) == sorted(want)
+
+
+def test_samples_are_the_same_whatever_the_partitions(spark):
+    df = spark.range(3000).select(F.col("id").alias("record_id"), F.concat(F.lit("t"), "id").alias("text"))
+    some = lambda n: sorted(r.record_id for r in abuse._some(df.repartition(n), 100).collect())
+    assert some(2) == some(11) and len(some(3)) == 100 and len(abuse._some(df, 9000).collect()) == 3000
+
+
+def test_families_are_a_parameter(spark, data):
+    rows = [(r.lang, r.text) for r in table(spark, data, "lang_samples").collect()]
+    model = langid.LanguageModel.fit(rows, {x: "one" for x, _ in rows})
+    assert model.families == ["one"] and len(model.pairs) == 28
+    found = langid.Segmenter(model).segments([t for _, t in rows[:80]])
+    assert sum(f[0][0] == x for f, (x, _) in zip(found, rows) if f) > 70
+
+
+def test_large_mix_uses_up_repeats(spark):
+    df = spark.createDataFrame([(i, f"word number {i} of a text", "small" if i < 3 else "big", "en") for i in range(60)], "doc_id bigint, text string, source string, lang string")
+    plans = spark.createDataFrame([("p", "small", 1.0, 2), ("p", "big", 1.0, 1)], "plan_id string, source string, weight double, max_repeats int")
+    selection, report = mixing.mix(df, plans, total_share=0.9)
+    got = {r.source: r for r in report.collect()}
+    assert got["small"].most_repeats == 2 and got["small"].docs == 3 and 0.8 < got["big"].actual_share < 0.95
+    total = sum(r.available_tokens for r in got.values())
+    assert abs(sum(r.tokens for r in got.values()) - 0.9 * total) < 10

@@ -225,6 +225,18 @@ def sampled(vectors: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return vectors.withColumn("_u", u01(seed, F.col("id"), "control")).orderBy("_u", "id").limit(n).drop("_u")
 
 
+def projected(vectors: DataFrame, size: int = 2) -> DataFrame:
+    """(id, place): the vectors on their ``size`` main axes, for a picture of a sample; no rows if there are fewer than two."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = staged(vectors.select("id", F.col("vec").cast("array<double>").alias("vec")), "to-project")
+    if rows.limit(2).count() < 2:
+        return rows.select("id", F.col("vec").alias("place")).limit(0)
+    rows = rows.select("id", array_to_vector("vec").alias("x"))
+    return PCA(k=size, inputCol="x", outputCol="y").fit(rows).transform(rows).select("id", vector_to_array("y").alias("place"))
+
+
 def select_by_means(metrics: DataFrame, euclid_high: bool = True) -> DataFrame:
     """Flags of each row of (id, cos_a, cos_b, euc_a, euc_b, count) against the mean of each metric.
 

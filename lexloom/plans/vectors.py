@@ -186,6 +186,14 @@ def join_words_to_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.valid_vectors(table(spark, folder, "word_matrix"), SIZE).select("id").join(words, "id").select("id", "word", F.col("id").alias("ord"))
 
 
+@plans.query()
+def project_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest rows of one query and a draw of all others on their two main axes."""
+    vectors = _half(spark, folder, "a")
+    near_and_rest = sample_near_and_rest(spark, folder)
+    return similarity.projected(vectors.join(near_and_rest.select("id").distinct(), "id"))
+
+
 _TOP1 = f"(SELECT query, id FROM {_near('a', 'cosine', f'id = (SELECT min(id) FROM {_VALID})', 100)})"
 
 

@@ -194,11 +194,12 @@ class Sources:
     def names(self) -> list[str]:
         return list(self._readers)
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        """All sources, one after another, by column name."""
+    def read(self, spark: SparkSession, most: int | None = None) -> DataFrame:
+        """All sources, one after another, by column name; with ``most``, so many rows of each for a trial run."""
         out: DataFrame | None = None
         for reader in self._readers.values():
-            out = reader(spark) if out is None else out.unionByName(reader(spark))
+            rows = reader(spark) if most is None else reader(spark).limit(most)
+            out = rows if out is None else out.unionByName(rows)
         if out is None:
             raise ValueError("no sources")
         return out

@@ -365,3 +365,19 @@ def test_scope_deletes_what_was_staged(spark):
         path = df.inputFiles()[0]
         assert df.count() == 5 and files._exists(spark, path)
     assert not files._exists(spark, path)
+
+
+def test_metric_maps_and_trial_reads(spark):
+    rows = spark.createDataFrame([("a", "0.5", 1), ("a", "nan", 2), ("b", "x", 1), (" c ", "2", 1)], "word string, count string, ord int")
+    assert {(r.word, r["count"]) for r in vocab.counted_list(rows, whole=False).collect()} == {("a", 0.5), ("c", 2.0)}
+    sources = files.Sources()
+    for n in (5, 7):
+        sources.add(f"s{n}", lambda s, n=n: s.range(n))
+    assert sources.read(spark).count() == 12 and sources.read(spark, most=2).count() == 4 and sources.names() == ["s5", "s7"]
+
+
+def test_projection(spark):
+    df = spark.createDataFrame([(i, [float(i), 2.0 * i, 0.0]) for i in range(6)], "id bigint, vec array<double>")
+    got = {r.id: r.place for r in similarity.projected(df).collect()}
+    assert len(got) == 6 and abs(abs(got[5][0] - got[0][0]) - 5 * 5**0.5) < 1e-6
+    assert similarity.projected(df.limit(1)).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import sampling, text
 from lexloom.functions.spans import spans_text
 from lexloom.operators import annotate, screen
-from lexloom.plans import quotas
+from lexloom.plans import quotas, unicode_sql
 from lexloom.plans.base import Plans
 from lexloom.streaming import jobs
 from lexloom.tables import table
@@ -209,14 +209,13 @@ def text_normalized(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("record_id", text.normalized(F.col("text")).alias("collapsed"), F.nullif(text.identifier(F.col("thread_id"), default="\x00"), F.lit("\x00")).alias("tag"))
 
 
-@plans.query(f"SELECT doc_id, {quotas.COLLAPSED} AS ascii, CASE WHEN strlen(text) = length(text) THEN lower(text) END AS folded FROM {quotas.ascii_sql('documents', 'text')}")
-def text_ascii_casefold(spark: SparkSession, folder: str) -> DataFrame:
-    """Transliteration of all texts; full case folding, which SQL lacks, of those in ASCII."""
-    t = F.col("text")
-    return table(spark, folder, "documents").select("doc_id", text.normalized(t).alias("ascii"), F.when(F.octet_length(t) == F.length(t), text.nfkc_casefold(t)).alias("folded"))
+@plans.query(f"SELECT doc_id, {quotas.COLLAPSED} AS ascii FROM {quotas.ascii_sql('documents', 'text')}")
+def text_ascii(spark: SparkSession, folder: str) -> DataFrame:
+    """Transliteration of all texts."""
+    return table(spark, folder, "documents").select("doc_id", text.normalized(F.col("text")).alias("ascii"))
 
 
-@plans.query()
+@plans.query(f"SELECT doc_id, {unicode_sql.mapped('n', 'folded', True)} AS folded FROM (SELECT doc_id, folded, {unicode_sql.nfkc('text')} AS n FROM (SELECT doc_id, text, {unicode_sql.map_sql(unicode_sql.NFKC)} AS nfkc, {unicode_sql.map_sql(unicode_sql.FOLDED)} AS folded FROM documents))")
 def text_casefold(spark: SparkSession, folder: str) -> DataFrame:
     """NFKC with full case folding of all texts."""
     return table(spark, folder, "documents").select("doc_id", text.nfkc_casefold(F.col("text")).alias("folded"))

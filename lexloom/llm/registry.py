@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import abuse, canonical, cutoff, knn, langid, mixing, spans, tokenizer
 from lexloom.operators import similarity
+from lexloom.plans.unicode_sql import FOLDED, NFKC, map_sql, mapped, nfkc
 from lexloom.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +119,25 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_collapsed, p3_found, p3_rates, p4_found, p4_segments, p4_documents, p5_found, p5_cutoffs, p6_ids, p7_selection, p7_shares, p7_large_selection, p7_large_shares, p8_found, p8_shares)}
 
+
+def _reduced(text: str) -> str:
+    return f"regexp_replace(({mapped(text, 'folded', True)}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+_SPACE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]"
+_ENDS = f"({_SPACE}|[\\x{{feff}}\\x{{200b}}\\x{{2060}}])+"
+_UNSEEN = "[\\x{ad}\\x{180e}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{2064}\\x{feff}]"
+_NAME = f"^{_SPACE}*[\\p{{L}}\\p{{N}}_\\-]+{_SPACE}*:"
+_FORMS = f"""(SELECT record_id, CASE WHEN fields IS NULL THEN {_reduced('n')} ELSE '#' || array_to_string(list_sort(list_distinct(list_transform(fields, lambda p: {_reduced('p[1]')} || '=' || {_reduced('p[2]')}))), ',') END AS form FROM
+    (SELECT *, CASE WHEN js IS NOT NULL THEN list_transform(json_keys(js), lambda k: [k, json_extract_string(js, '$."' || k || '"')])
+        WHEN len(lines) > 1 AND len(list_filter(lines, lambda x: regexp_matches(x, '{_NAME}') AND NOT regexp_matches(x, '{_NAME}//'))) = len(lines)
+        THEN list_transform(lines, lambda x: [split_part(x, ':', 1), substr(x, strpos(x, ':') + 1)]) END AS fields FROM
+        (SELECT *, CASE WHEN bare[1] = '{{' AND json_valid(bare) AND json_type(bare) = 'OBJECT' THEN bare END AS js FROM
+            (SELECT *, regexp_replace(n, '^{_ENDS}|{_ENDS}$', '', 'g') AS bare, list_filter(regexp_split_to_array(regexp_replace(n, '{_UNSEEN}', '', 'g'), '\\r\\n|\\r|\\n'), lambda x: regexp_matches(x, '[^{_SPACE[1:-1]}]')) AS lines FROM
+                (SELECT record_id, folded, {nfkc('text')} AS n FROM
+                    (SELECT DISTINCT record_id, text, {map_sql(NFKC)} AS nfkc, {map_sql(FOLDED)} AS folded FROM toxic_document WHERE record_id IS NOT NULL))))))"""
+_KEYED = f"(SELECT record_id, CASE WHEN length(regexp_replace(form, '[#=,]', '', 'g')) >= {canonical.MIN_CHARS} THEN form END AS form FROM {_FORMS})"
+
 _VALID_HINTS = """
     SELECT source, record_id, hint FROM (
         SELECT record_id, max_by(lower(trim(source)), hint) AS source, max(hint) AS hint FROM toxic_document
@@ -139,6 +159,8 @@ _P8 = """
         SELECT doc_id, min(i) AS span_start, max(i) + 200 - min(i) AS span_len FROM runs GROUP BY doc_id, run"""
 ORACLES: dict[str, str] = {
     "p1_recall": f"SELECT count(*) FILTER (n > 1) AS queries, (coalesce(sum(least(n - 1, 10)), 0))::BIGINT AS pairs, true AS recall_reached FROM {_VALID}, (SELECT count(*) AS n FROM {_VALID}) WHERE id % 50 = 0",
+    "p2_found": f"SELECT a AS record_id_a, record_id AS record_id_b FROM (SELECT record_id, min(record_id) OVER (PARTITION BY form) AS a FROM {_KEYED} WHERE form IS NOT NULL) WHERE a <> record_id",
+    "p2_collapsed": f"SELECT min(record_id) AS record_id, count(*) AS copies FROM {_KEYED} WHERE form IS NOT NULL GROUP BY form UNION ALL SELECT record_id, 1 FROM {_KEYED} WHERE form IS NULL",
     "p8_found": _P8,
     "p8_shares": f"""SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(chars, 0)::BIGINT AS shared_chars, coalesce(spans, 0) AS n_spans, CASE WHEN length(text) > 0 THEN coalesce(chars, 0) / length(text) ELSE 0.0 END AS share
         FROM documents LEFT JOIN (SELECT doc_id, sum(span_len) AS chars, count(*) AS spans FROM ({_P8}) GROUP BY doc_id) USING (doc_id)""",

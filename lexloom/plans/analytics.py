@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lexloom.functions.sampling import pick_sql, u01_sql, weighted_sql
 from lexloom.operators import genplan, profile
 from lexloom.plans.base import Plans
+from lexloom.sources import files
+from lexloom.storage import fresh_path
 from lexloom.streaming.jobs import event_windows
 from lexloom.tables import table
 
@@ -46,7 +48,12 @@ _REQUESTS = f"""(SELECT *, {weighted_sql(list(MODELS), list(MODELS.values()), u0
 
 
 def _planned(spark: SparkSession) -> DataFrame:
-    return genplan.requests(spark.createDataFrame(LEXICON, _COLUMNS), BUCKETS, MODELS, rewards=REWARDS)
+    """The requests for a folder of lexicon files, of which one is broken."""
+    at = fresh_path(spark, "lexicon")
+    entries = spark.createDataFrame([(i, *row) for i, row in enumerate(LEXICON)], "i int, " + _COLUMNS)
+    entries.repartitionById(len(LEXICON), "i").drop("i").write.json(at)
+    spark.createDataFrame([('{"lemma": "broken", "pos',)], "value string").coalesce(1).write.mode("append").text(at)
+    return genplan.requests(files.read_lexicon(spark, at, _COLUMNS), BUCKETS, MODELS, rewards=REWARDS)
 
 
 @plans.query(f"SELECT lemma, idx, model, {', '.join(_DRAWN)}, target_words FROM {_REQUESTS}")

@@ -28,12 +28,17 @@ class Gate:
     limit: int = 0
 
 
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key; rows are sorted after the shuffle only, as few come twice."""
+    return rows.repartition(key).dropDuplicates([key])
+
+
 def deliveries_once(records: DataFrame, key: str = "record_id") -> DataFrame:
     """One row per key with a source name without case and blanks; rows without a key are left out.
 
     Deliveries of a record are alike but for ``ingested_at``, which is dropped.
     """
-    rows = records.drop("ingested_at").filter(F.col(key).isNotNull()).dropDuplicates([key])
+    rows = once(records.drop("ingested_at").filter(F.col(key).isNotNull()), key)
     return rows.withColumn("source", F.lower(F.trim("source")))
 
 
@@ -59,7 +64,9 @@ def quality_gate(records: DataFrame, gate: Gate = Gate(), key: str = "record_id"
         floor = F.when(source == name, value).otherwise(floor)
     rows = records.filter(F.col(key).isNotNull() & F.col("source").isNotNull() & F.col("hint").isNotNull() & ~F.isnan("hint") & (F.col("hint") >= floor))
     rows = rows.filter(F.coalesce(~known | (lang == gate.language), F.lit(True)))
-    rows = rows.select(source.alias("source"), F.col(key).alias("ord"), text.alias("text"), "hint").filter(F.length("text") >= gate.min_len).dropDuplicates(["ord"])
+    # a one-row generator keeps the filter from being moved below, where it would make the text again
+    rows = rows.select(source.alias("source"), F.col(key).alias("ord"), F.explode(F.array(text)).alias("text"), "hint")
+    rows = once(rows.filter(F.length("text") >= gate.min_len), "ord")
     if gate.limit:
         rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("ord"))).filter(F.col("rn") <= gate.limit).drop("rn")
     return rows

@@ -107,6 +107,7 @@ def keyed_records(df: DataFrame, record: str = "record_id", text: str = "text")
     An identifier that comes again counts once; should its texts differ, the one with the greatest key stands.
     """
     rows = canonical_keys(df, record, text).filter(F.col("record_id").isNotNull())
+    rows = rows.repartition("record_id")  # few come twice, so nothing is gained by a sort before the shuffle
     return staged(rows.groupBy("record_id").agg(F.max("key").alias("key")), "canonical")
 
 

@@ -36,7 +36,7 @@ def scored_records(df: DataFrame, record: str, source: str, score: str) -> DataF
     """
     rows = df.select(F.lower(F.trim(F.col(source))).alias("source"), F.col(record).alias("record_id"), F.col(score).cast("double").alias("score"))
     rows = rows.filter(valid_score(F.col("score")) & F.col("record_id").isNotNull() & F.col("source").isNotNull())
-    best = rows.groupBy("record_id").agg(F.max(F.struct("score", "source")).alias("best"))
+    best = rows.repartition("record_id").groupBy("record_id").agg(F.max(F.struct("score", "source")).alias("best"))  # no sort before the shuffle
     return best.select("best.source", "record_id", (F.col("best.score") + F.lit(0.0)).alias("score"))
 
 

@@ -366,7 +366,6 @@ def _found(df: DataFrame, samples: DataFrame, record: str, text: str) -> DataFra
     shared = df.sparkSession.sparkContext.broadcast(fit_model(samples, df.select(F.col(record).alias("record_id"), "lang", F.col(text).alias("text")) if "lang" in df.columns else None))
     rows = df.filter(F.col(record).isNotNull()).select(F.col(record).cast("bigint").alias("record_id"), label.alias("label"), F.col(text).cast("string").alias("text"))
     found = rows.mapInArrow(lambda it: _segmented(it, shared), f"record_id bigint, label string, enough boolean, found {_SEGMENTS}").filter(F.size("found") > 0)
-    found = found.repartition("record_id")  # few come twice, so nothing is gained by a sort before the shuffle
     return found.groupBy("record_id").agg(F.max("label").alias("label"), F.max(F.struct("enough", "found")).alias("x")).select("record_id", "label", "x.*")
 
 

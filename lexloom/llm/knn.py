@@ -10,7 +10,8 @@
 3. One shuffle sends a vector once to every partition that holds one of its lists, with float32 numbers. Each
    list is compared with its queries by a matrix product around its mean; what rounding can't tell from the best is
    measured in double precision, and the best of a query in a partition go to a last aggregation by query. A list that
-   is too long (there are at most MAX_LISTS) is split again, in its task, by the same rules.
+   is too long (there are at most MAX_LISTS) is split again, in its task, by the same rules. Where vectors go to many
+   partitions, the partitions take turns: the disk holds one turn's shuffle and the best of each query in earlier turns.
 
 Every valid vector is indexed and is a query. Recall is measured in the tests and stated in the README.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.storage import staged
+from lexloom.storage import delete, fresh_path, release, staged
 
 #: Vectors per list, and the bound on the number of lists: centroids take at most MAX_LISTS * dimension * 4 bytes.
 LIST_SIZE = 400
@@ -50,8 +51,11 @@ RUNS = (16, 128)
 ENTERED, CLIMB = 4_096, 2
 #: Lists per partition, at least and as a rule; the vectors that a partition of several lists holds at most.
 MIN_LISTS_PER_PART, LISTS_PER_PART, VECTORS_PER_PART = 8, 64, 50_000
-#: A partition that more vectors visit is split by visitor.
+#: Partitions are made smaller where more vectors visit one of them on average; one that more visit still is split by visitor.
 VISITORS_PER_TASK = 100_000
+#: If more copies of a vector than the first number would be shuffled, the vectors are staged and shuffled in turns, each
+#: of about the second number of copies.
+COPIES_AT_ONCE, COPIES_PER_TURN, MAX_TURNS = 2.5, 1.0, 60
 #: Queries whose neighbours are held at once while lists are compared.
 QUERIES_AT_ONCE = 16_384
 
@@ -232,7 +236,7 @@ def _groups(rows: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarra
 
 @dataclass
 class Index:
-    """What the executors need: the graph, the partition of each list, into how many tasks each partition is split, about how many vectors each list holds, the distance ratio of those nearest to each list, and how many vectors a query should meet at least."""
+    """What the executors need: the graph, the partition of each list, into how many tasks each partition is split, about how many vectors each list holds, the distance ratio of those nearest to each list, how many vectors a query should meet at least, and the turns of tasks (the first task of each, and the number of tasks)."""
 
     graph: CentroidGraph
     part_of: np.ndarray
@@ -240,6 +244,7 @@ class Index:
     held: np.ndarray
     ratio: np.ndarray
     need: int
+    turns: np.ndarray | None = None
 
 
 def _measured(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -532,15 +537,38 @@ def build_index(units: Units, total: int, size: int, list_size: int = LIST_SIZE,
     near = staged(near, "vector-nearest")
     met = near.join(units.vectors(of=near.select("id").distinct()), "id").select("q", "vec").toArrow()
     own, needed = needed_ratio(graph.centroids, x[met["q"].to_numpy()], _matrix(met["vec"], size)) if met.num_rows else (np.empty(0, np.int64), np.empty(0))
-    index = Index(graph, (np.arange(n) * parts // n).astype(np.int32), np.ones(parts, np.int64), fitted["n"].to_numpy() * (total / sampled), fitted_ratios(n, own, needed), LEAST_MET * k)
-    row, lists_, _, visited = route(index, x)
-    pairs = np.unique(row[visited] * parts + index.part_of[lists_[visited]])
-    visitors = np.bincount(pairs % parts, minlength=parts) * (total / len(x))
-    index.splits = np.maximum(1, np.ceil(visitors / VISITORS_PER_TASK)).astype(np.int64)
+    index = Index(graph, np.zeros(n, np.int32), np.ones(1, np.int64), fitted["n"].to_numpy() * (total / sampled), fitted_ratios(n, own, needed), LEAST_MET * k)
+    place(index, parts, total, *route(index, x))
     return index
 
 
-def _routed(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa.RecordBatch]:
+def place(index: Index, parts: int, total: int, row: np.ndarray, lists: np.ndarray, stored: np.ndarray, visited: np.ndarray) -> None:
+    """Divides the lists among ``parts`` partitions or more, and these among tasks and turns, by the routes of a sample of all ``total`` vectors."""
+    n, scale = len(index.part_of), total / len(np.unique(row))
+    sent = lambda part, some, parts: np.bincount(np.unique(row[some] * parts + part[lists[some]]) % parts, minlength=parts) * scale
+    while True:
+        part = (np.arange(n) * parts // n).astype(np.int32)
+        visitors = sent(part, visited, parts)
+        more = min(max(1, n // MIN_LISTS_PER_PART), int(-(-visitors.sum() // VISITORS_PER_TASK)))
+        if more <= parts:
+            break
+        parts = more
+    splits = np.maximum(1, np.ceil(visitors / VISITORS_PER_TASK)).astype(np.int64)
+    load = np.repeat(sent(part, visited | stored, parts) / splits, splits)
+    load += np.repeat(sent(part, stored, parts) * (splits - 1) / splits, splits)  # what is stored goes to all tasks of a partition
+    index.part_of, index.splits, index.turns = part, splits, turns_of(load / total)
+
+
+def turns_of(load: np.ndarray) -> np.ndarray:
+    """The first task of each turn, and the number of tasks; ``load`` is about how many copies of a vector each task gets."""
+    copies = load.sum()
+    turns = 1 if copies <= COPIES_AT_ONCE else int(min(MAX_TURNS, len(load), np.ceil(copies / COPIES_PER_TURN)))
+    edges = np.searchsorted(np.cumsum(load), copies * np.arange(1, turns) / turns) + 1
+    return np.unique(np.r_[0, edges, len(load)])
+
+
+def _coded(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa.RecordBatch]:
+    """(id, vec, lists, turns): the lists that each vector has to do with, coded, and a bit for each turn in which it is sent."""
     index = shared.value
     start = np.r_[0, np.cumsum(index.splits)[:-1]]
     for whole in batches:
@@ -550,22 +578,44 @@ def _routed(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa
             done += batch.num_rows
             row, lists, stored, visited = route(index, _matrix(batch.column("vec"), size))
             code = (lists.astype(np.int32) << 2) | (stored.astype(np.int32) << 1) | visited
-            part = index.part_of[lists]
-            splits = index.splits[part]
-            own = (batch.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)[row] % splits
-            # a visitor goes to one task of a split partition, what is stored to all of them
-            copies = np.where(stored, splits, 1)
-            at = np.repeat(np.arange(len(row)), copies)
-            turn = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
-            turn = (own[at] + turn) % splits[at]
-            code = np.where(turn == own[at], code[at], code[at] & ~1)
-            row, part = row[at], (start[part[at]] + turn).astype(np.int32)
-            order = np.lexsort((code, part, row))
-            row, part, code = row[order], part[order], code[order].astype(np.int32)
-            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
-            at = pa.array(row[starts])
-            offsets = pa.array(np.r_[starts, len(row)].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), batch.column("id").take(at), batch.column("vec").take(at), pa.ListArray.from_arrays(offsets, pa.array(code))], ["part", "id", "vec", "lists"])
+            order = np.lexsort((code, row))
+            row, code = row[order], code[order].astype(np.int32)
+            part = index.part_of[code >> 2]
+            first = np.searchsorted(index.turns, start[part], "right") - 1
+            last = np.searchsorted(index.turns, start[part] + index.splits[part] - 1, "right") - 1
+            starts = np.searchsorted(row, np.arange(batch.num_rows))
+            turns = np.bitwise_or.reduceat((np.int64(1) << (last + 1)) - (np.int64(1) << first), starts)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)].astype(np.int32)), pa.array(code)), pa.array(turns)], ["id", "vec", "lists", "turns"])
+
+
+def _sent(batches: Iterator[pa.RecordBatch], shared, turn: int) -> Iterator[pa.RecordBatch]:
+    """(part, id, vec, lists): a coded vector for each task of a turn, numbered from 0, and the lists it has to do with there."""
+    index = shared.value
+    start = np.r_[0, np.cumsum(index.splits)[:-1]]
+    low, high = index.turns[turn : turn + 2]
+    for batch in batches:
+        lists = batch.column("lists")
+        row, code = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        part = index.part_of[code >> 2]
+        splits = index.splits[part]
+        own = (batch.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)[row] % splits
+        # a visitor goes to one task of a split partition, what is stored to all of them
+        copies = np.where(code & 2 > 0, splits, 1)
+        at = np.repeat(np.arange(len(row)), copies)
+        turned = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+        turned = (own[at] + turned) % splits[at]
+        code = np.where(turned == own[at], code[at], code[at] & ~1)
+        row, task = row[at], (start[part[at]] + turned).astype(np.int32)
+        here = (task >= low) & (task < high)
+        row, task, code = row[here], task[here] - np.int32(low), code[here]
+        if not len(row):
+            continue
+        order = np.lexsort((code, task, row))
+        row, task, code = row[order], task[order], code[order].astype(np.int32)
+        starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (task[1:] != task[:-1])])
+        at = pa.array(row[starts])
+        offsets = pa.array(np.r_[starts, len(row)].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(task[starts]), batch.column("id").take(at), batch.column("vec").take(at), pa.ListArray.from_arrays(offsets, pa.array(code))], ["part", "id", "vec", "lists"])
 
 
 def _searched(batches: Iterator[pa.RecordBatch], shared, size: int, list_size: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -593,10 +643,11 @@ def _searched(batches: Iterator[pa.RecordBatch], shared, size: int, list_size: i
     yield from pa.Table.from_arrays(found, ["id", "others", "sims"]).to_batches(20_000)
 
 
-def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _top(batches: Iterator[pa.RecordBatch], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, other, similarity, rank) of the ``k`` best of each query, by query and rank."""
     got = [b for b in batches if b.num_rows]
     if not got:
-        return
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int32)
     table = pa.Table.from_batches(got)
     lists = table["others"].combine_chunks()
     q = np.repeat(table["id"].to_numpy(), lists.value_lengths().to_numpy())
@@ -608,11 +659,51 @@ def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     q, o, s = q[fresh], o[fresh], s[fresh]
     order = np.lexsort((o, -s, q))
     q, o, s = q[order], o[order], s[order]
-    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
     rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)])) + 1
     keep = rank <= k
-    for b in pa.Table.from_arrays([pa.array(q[keep]), pa.array(o[keep]), pa.array(s[keep]), pa.array(rank[keep].astype(np.int32))], ["id", "other", "similarity", "rank"]).to_batches(50_000):
-        yield b
+    return q[keep], o[keep], s[keep], rank[keep].astype(np.int32)
+
+
+def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    yield from pa.Table.from_arrays([pa.array(x) for x in _top(batches, k)], ["id", "other", "similarity", "rank"]).to_batches(50_000)
+
+
+def _merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(id, others, sims) once for each query."""
+    q, o, s, rank = _top(batches, k)
+    starts = np.flatnonzero(rank == 1)
+    offsets = pa.array(np.r_[starts, len(q)].astype(np.int32))
+    yield from pa.Table.from_arrays([pa.array(q[starts]), pa.ListArray.from_arrays(offsets, pa.array(o)), pa.ListArray.from_arrays(offsets, pa.array(s))], ["id", "others", "sims"]).to_batches(20_000)
+
+
+_FOUND = "id bigint, others array<bigint>, sims array<double>"
+
+
+def _found(units: Units, index: Index, total: int, size: int, list_size: int, k: int) -> DataFrame:
+    """(id, others, sims): the best of each query in the tasks that it visits, or in the turns if there are several."""
+    spark = units.keys.sparkSession
+    shared = spark.sparkContext.broadcast(index)
+    coded = units.vectors().select("id", "vec").mapInArrow(lambda it: _coded(it, shared, size), "id bigint, vec binary, lists array<int>, turns bigint")
+
+    def searched(rows: DataFrame, turn: int) -> DataFrame:
+        sent = rows.select("id", "vec", "lists").mapInArrow(lambda it: _sent(it, shared, turn), "part int, id bigint, vec binary, lists array<int>")
+        return sent.repartitionById(int(index.turns[turn + 1] - index.turns[turn]), "part").mapInArrow(lambda it: _searched(it, shared, size, list_size, k), _FOUND)
+
+    turns = len(index.turns) - 1
+    if turns == 1:
+        return searched(coded, 0)
+    path, found = fresh_path(spark, "vectors-coded"), fresh_path(spark, "neighbours-found")
+    coded.write.option("compression", "zstd").parquet(path)
+    coded = spark.read.schema(coded.schema).parquet(path)
+    tasks = max(1, -(-total * k // ROWS_PER_TASK))
+    for turn in range(turns):
+        mine = searched(coded.filter(F.col("turns").bitwiseAND(1 << turn) != 0), turn)
+        mine.repartition(tasks, "id").mapInArrow(lambda it: _merged(it, k), _FOUND).write.mode("append").option("compression", "zstd").parquet(found)
+        del mine
+        release(spark)
+    delete(spark, path)
+    return spark.read.schema(_FOUND).parquet(found)
 
 
 def nearest_neighbours(df: DataFrame, key: str = "row_ix", vector: str = "matrix", size: int = 128, k: int = 10, list_size: int = LIST_SIZE) -> DataFrame:
@@ -620,7 +711,7 @@ def nearest_neighbours(df: DataFrame, key: str = "row_ix", vector: str = "matrix
 
     Equal similarities rank by key. Fewer rows come out only where the visited lists hold fewer others. Similarities are
     those of the float32 unit vectors, in double precision. An empty table, or one without a valid row, gives an empty result.
-    ``df`` is read five times.
+    ``df`` is read five times. Where the index sends a vector to many partitions, they are searched in turns before this returns.
     """
     spark = df.sparkSession
     units = Units(df, key, vector, size)
@@ -641,9 +732,7 @@ def nearest_neighbours(df: DataFrame, key: str = "row_ix", vector: str = "matrix
     index = build_index(units, total, size, list_size, k)
     if index is None:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(index)
-    routed = units.vectors().select("id", "vec").mapInArrow(lambda it: _routed(it, shared, size), "part int, id bigint, vec binary, lists array<int>")
-    found = routed.repartitionById(int(index.splits.sum()), "part").mapInArrow(lambda it: _searched(it, shared, size, list_size, k), "id bigint, others array<bigint>, sims array<double>")
+    found = _found(units, index, total, size, list_size, k)
     tasks = max(1, -(-total * k * 3 // ROWS_PER_TASK))
     best = found.repartition(tasks, "id").mapInArrow(lambda it: _best(it, k), schema)
     return best if copies is None else best.unionByName(copies)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,9 +68,20 @@ def scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _open_scopes.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-            _made.pop(path, None)
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a place of :func:`fresh_path` before its time."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _made.pop(path, None)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nobody holds any more, which it else does when the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -114,6 +114,26 @@ def test_long_lists_are_split_and_partitions_change_nothing(spark, monkeypatch):
     assert [r[:2] for r in sorted(tuple(r) for r in knn.nearest_neighbours(df.repartition(7), size=16, k=10, list_size=40).collect())] == [r[:2] for r in one]
 
 
+def test_partitions_take_turns(spark, monkeypatch):
+    """However many partitions a vector goes to, about one copy of it is shuffled at once, and the neighbours are the same."""
+    monkeypatch.setattr(knn, "VISITORS_PER_TASK", 700)  # split partitions too
+    monkeypatch.setattr(knn, "MIN_LISTS_PER_PART", 2)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 24))  # without structure, so that a vector visits most lists
+    df = vectors(spark, enumerate(x))
+    monkeypatch.setattr(knn, "COPIES_AT_ONCE", 1e9)
+    one = sorted(tuple(r) for r in knn.nearest_neighbours(df, size=24, k=10, list_size=50).collect())
+    monkeypatch.setattr(knn, "COPIES_AT_ONCE", 2.5)
+    units = knn.Units(df, "row_ix", "matrix", 24)
+    index = knn.build_index(units, 3000, 24, 50, 10)
+    shared = spark.sparkContext.broadcast(index)
+    coded = units.vectors().select("id", "vec").mapInArrow(lambda it: knn._coded(it, shared, 24), "id bigint, vec binary, lists array<int>, turns bigint").cache()
+    sent = [coded.filter(coded.turns.bitwiseAND(1 << t) != 0).drop("turns").mapInArrow(lambda it, t=t: knn._sent(it, shared, t), "part int, id bigint, vec binary, lists array<int>").count() for t in range(len(index.turns) - 1)]
+    assert sum(sent) > 5 * 3000 and max(sent) < 2 * 3000
+    assert sorted(tuple(r) for r in knn.nearest_neighbours(df, size=24, k=10, list_size=50).collect()) == one
+    assert len(one) == 30_000
+
+
 # --- 2: formatting duplicates
 
 TEXTS = [

@@ -236,6 +236,24 @@ def test_abuse_edges(spark):
     assert abuse.found(records.limit(0), labels.limit(0), cands.limit(0)).count() == 0
 
 
+def test_abuse_counts_all_records(spark, monkeypatch):
+    """Words of any record count, not only of a sample, and n-grams of all labelled ones, whatever the partitions."""
+    rows = [(i, ("you are vermin and scum" if i % 2 else "you are kind and good") + f" thing{i % 5}", "s") for i in range(40)]
+    rows += [(100 + i, f"the word{i % 1000} is here today", "s") for i in range(4000)] + [(100, "the word0 is here today", "s")]
+    records, labels = spark.createDataFrame(rows, "record_id bigint, text string, source string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "record_id bigint, abusive int")
+    model = abuse.fit_model(records, labels)
+    assert all(model.vocabulary.get(abuse.plain_word(f"word{i}")) is not None for i in range(1000))
+    assert {r.record_id for r in abuse.score_records(records, model).filter("abusive").collect()} == {*range(1, 40, 2)}
+    again = abuse.fit_model(records.repartition(7), labels.repartition(3))
+    assert (again.tri == model.tri).all() and np.allclose(again.tri_ratio, model.tri_ratio) and np.isclose(again.threshold, model.threshold)
+    monkeypatch.setattr(abuse, "ROUNDS", 0)
+    monkeypatch.setattr(abuse, "FULL_ROUNDS", 0)
+    model = abuse.fit_model(records, labels)
+    ids, record = abuse._Reader(model.vocabulary).read([text for _, text, _ in rows[:40]])
+    one = abuse.fit_counts(ids, record % 2 > 0, np.ones(len(ids), bool), model.vocabulary)
+    assert (one.tri == model.tri).all() and np.allclose(one.tri_ratio, model.tri_ratio) and np.allclose(one.bi_ratio, model.bi_ratio)
+
+
 # --- 4: languages
 
 
